@@ -19,13 +19,16 @@ def granule_stream(spark: SparkSession, path: str, schema, files_per_trigger: in
     return reader.parquet(path)
 
 
+def _watermarked(df: DataFrame, time: str, late: str) -> DataFrame:
+    """Watermarks need a zoned timestamp; zoneless ones are read in the session zone."""
+    return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def first_per_key(granules: DataFrame, time: str = "start_time", late: str | None = COMPOSITE) -> DataFrame:
     """One row per granule key. With a watermark, keys older than ``late`` leave the state."""
-    if not granules.isStreaming:
-        return granules.dropDuplicates(GRANULE_KEY)
-    if late is None:
+    if late is None or not granules.isStreaming:
         return granules.dropDuplicates(GRANULE_KEY)
-    return granules.withWatermark(time, late).dropDuplicatesWithinWatermark(GRANULE_KEY)
+    return _watermarked(granules, time, late).dropDuplicatesWithinWatermark(GRANULE_KEY)
 
 
 def composite(observations: DataFrame, keys: list[str], value: str = "value", time: str = "ts", late: str = COMPOSITE) -> DataFrame:
@@ -33,7 +36,7 @@ def composite(observations: DataFrame, keys: list[str], value: str = "value", ti
 
     Partial sums per (window, cell) form before the shuffle, so a busy cell costs one row per task.
     """
-    timed = observations.withWatermark(time, late) if observations.isStreaming else observations
+    timed = _watermarked(observations, time, late) if observations.isStreaming else observations
     return (
         timed.groupBy(F.window(time, COMPOSITE), *keys)
         .agg(F.avg(value).alias(value), F.count(value).alias("n"))
