@@ -62,11 +62,8 @@ def flag_counts(table: DataFrame) -> DataFrame:
 def field_summary(scored: DataFrame, value: str = "value") -> DataFrame:
     """Mean, 90th percentile and maximum of a field; 0 for an empty one."""
     p90 = exact_quantiles(scored, value, {"p90": 0.9}).scalar()
-    return scored.agg(
-        F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.first(p90), F.lit(0.0)).alias("p90"),
-        F.coalesce(F.max(value), F.lit(0.0)).alias("max"),
-    )
+    totals = scored.agg(F.avg(value).alias("mean"), F.max(value).alias("max")).withColumn("p90", p90)
+    return totals.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "p90", "max")])
 
 
 def value_ranges(df: DataFrame, columns: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:

@@ -37,7 +37,7 @@ def imputer_medians(df: DataFrame, features: list[str], where: Column | None = N
     """
     fitted = as_model_input(df if where is None else df.where(where), features)
     medians = column_quantiles(fitted, features, {"median": 0.5}, key="feature")
-    names = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
     return names.join(medians, "feature", "left").select(
         "feature", F.coalesce(F.col("median").cast("float"), F.lit(0.0).cast("float")).alias("median")
     )

@@ -62,27 +62,27 @@ def roc_auc(df: DataFrame, y: str = "y_bin", score: str = "score") -> DataFrame:
 
 def spearman(df: DataFrame, x: str = "y_cont", y: str = "score") -> DataFrame:
     """Rank correlation, ties averaged; NULL when one side is constant."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("c"))
-    weighted = pairs.join(average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, "rx"), x).join(
-        average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), y, "ry"), y
-    )
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    pairs = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    weighted = pairs.join(average_ranks(rows, "x", "rx"), "x").join(average_ranks(rows, "y", "ry"), "y")
     middle = weighted.agg(F.sum("c")).scalar() / 2.0 + 0.5
-    dx, dy, c = F.col("rx") - middle, F.col("ry") - middle, F.col("c")
-    sums = weighted.agg(F.sum(c * dx * dy).alias("xy"), F.sum(c * dx * dx).alias("xx"), F.sum(c * dy * dy).alias("yy"))
+    centred = weighted.select("c", (F.col("rx") - middle).alias("dx"), (F.col("ry") - middle).alias("dy"))
+    dx, dy, c = F.col("dx"), F.col("dy"), F.col("c")
+    sums = centred.agg(F.sum(c * dx * dy).alias("xy"), F.sum(c * dx * dx).alias("xx"), F.sum(c * dy * dy).alias("yy"))
     return sums.select(
         F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("spearman")
     )
 
 
-def hit_at_k(df: DataFrame, y: str = "y_bin", score: str = "score", key: str = "k") -> DataFrame:
+def hit_at_k(df: DataFrame, y: str = "y_bin", score: str = "score", key: tuple[str, ...] = ("k",)) -> DataFrame:
     """Share of positives among the k best scores, k being the number of positives.
 
     Equal scores are taken in key order. NULL without positives or with a missing score.
     """
-    ranked = prefix_sums(df, [F.desc(score), F.asc(key)], {"_before": F.lit(1).cast("long")})
+    ranked = prefix_sums(df, [F.desc(score), *map(F.asc, key)], {"_before": F.lit(1).cast("long")})
     k = df.agg(F.sum(F.col(y).cast("long"))).scalar()
-    sums = ranked.agg(
-        F.sum(F.when(F.col("_before") < k, F.col(y).cast("long"))).alias("hits"),
+    sums = ranked.withColumn("_top", F.col("_before") < k).agg(
+        F.sum(F.when(F.col("_top"), F.col(y).cast("long"))).alias("hits"),
         F.sum(F.col(y).cast("long")).alias("k"),
         F.max(F.col(score).isNull() | F.isnan(F.col(score).cast("double"))).alias("gap"),
     )

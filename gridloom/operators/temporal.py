@@ -51,10 +51,16 @@ def steps_of(days: float, step: float | None) -> int:
 
 
 def rolling_steps(df: DataFrame, days: tuple[int, ...] = config.ROLLING_DAYS) -> dict[int, int]:
+    """Rolling window lengths on this record's axis (reads back the median step)."""
     step = median_step(df).first()[0]
     return {d: steps_of(d, step) for d in days}
 
 
+def record_steps(df: DataFrame, time: str = "time") -> int:
+    """Number of time steps on record (reads back one number)."""
+    return df.select(time).distinct().count()
+
+
 def densify(df: DataFrame, grid: Grid, values: list[str], time: str = "time") -> DataFrame:
     """One row per cell and time step; steps without an observation get NULL values.
 
@@ -162,6 +168,8 @@ def with_anomalies(df: DataFrame, values: list[str], time: str = "time", suffix:
 
 def rolling_mean(value: str, steps: int, time: str = "time") -> Column:
     """Centred mean over ``steps`` rows that skips missing values; even windows lean back."""
+    if steps == 1:
+        return F.col(value)
     back = steps // 2
     window = Window.partitionBy(*CELL).orderBy(time).rowsBetween(-back, steps - 1 - back)
     return F.avg(value).over(window)
@@ -196,7 +204,10 @@ def temporal_features(
 
 
 def at_nearest_time(df: DataFrame, wanted, time: str = "time") -> DataFrame:
-    """Rows of the composite closest to ``wanted``; of two equally close ones the earlier."""
+    """Rows of the composite closest to ``wanted``; of two equally close ones the earlier.
+
+    The chosen time is a subquery result, so it prunes partitions of a table laid out by time.
+    """
     axis = df.select(time).distinct()
     target = F.lit(wanted).cast("timestamp")
     distance = F.abs(F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(target))
@@ -209,8 +220,9 @@ def at_latest_time(df: DataFrame, time: str = "time") -> DataFrame:
 
 
 def in_year(df: DataFrame, year: int, time: str = "time") -> DataFrame:
-    """A plain range on the time column, which a parquet scan can push down."""
-    return df.where(F.col(time).between(F.make_date(F.lit(year), F.lit(1), F.lit(1)), F.make_date(F.lit(year), F.lit(12), F.lit(31))) if isinstance(df.schema[time].dataType, T.DateType) else F.year(time) == year)
+    """A half-open range on the time column, which a parquet scan can push down."""
+    first, after = (F.lit(f"{y:04d}-01-01").cast(df.schema[time].dataType) for y in (year, year + 1))
+    return df.where((F.col(time) >= first) & (F.col(time) < after))
 
 
 def temporal_mean(df: DataFrame, values: list[str], year: int | None = None, time: str = "time") -> DataFrame:

@@ -19,6 +19,7 @@ from gridloom.operators import datasets, labels, metrics
 
 REGRESSORS = ("GBT", "RandomForest", "Linear", "NoSkill")
 CLASSIFIERS = REGRESSORS
+CLASS_MEASURES = ("accuracy", "precision", "recall", "f1", "roc_auc", "spearman", "hit_at_k")
 
 
 @dataclass(frozen=True)
@@ -102,11 +103,21 @@ def prepare(
     """Labelled, imputed and split rows of one species. Reads back one median per feature."""
     features = datasets.resolve_features(matrix.columns, requested)
     labelled, kind = labels.attach_labels(matrix, species, policy, catches)
-    medians = {r["feature"]: r["median"] for r in datasets.imputer_medians(labelled, features).collect()}
+    # The label join neither adds nor drops rows, so medians need not run through it.
+    medians = {r["feature"]: r["median"] for r in datasets.imputer_medians(matrix, features).collect()}
     transform = labels.transform_of(kind)
     return Prepared(datasets.training_set(labelled, features, transform, medians, splits=splits), features, medians, kind, transform)
 
 
+def _fit_with_early_stop(name: str, features: list[str], rows: DataFrame, n_train: int, classify: bool = False, **settings):
+    """Study fit: boosting runs long and stops on the validation rows; the others use training rows."""
+    if name == "GBT":
+        options = {"trees": config.BOOSTED_TREES_STUDY["trees"], **settings}
+        learner = make_learner(name, features, classify, n_train, validation="val", **options)
+        return learner.fit(rows.where("train OR val"))
+    return make_learner(name, features, classify, n_train, **settings).fit(rows.where("train"))
+
+
 def split_metrics(scored: DataFrame, split: str) -> dict:
     """Metrics of one split as a dictionary (a one-row aggregate)."""
     row = metrics.regression_metrics(scored.where(F.col(split)))
@@ -145,11 +156,8 @@ def train_classifier(
         return None, metrics.no_skill(rows).withColumn("score", F.lit(0.0))
     fit_rows = rows.where("train OR val").persist()
     try:
-        pipeline = make_learner(
-            learner, ready.features, classify=True, rows=fit_rows.where("train").count(),
-            validation="val" if learner == "GBT" else None, **settings,
-        )
-        model = pipeline.fit(fit_rows if learner == "GBT" else fit_rows.where("train"))
+        n_train = fit_rows.where("train").count()
+        model = _fit_with_early_stop(learner, ready.features, fit_rows, n_train, classify=True, **settings)
     finally:
         fit_rows.unpersist()
     scored = model.transform(rows).withColumns(
@@ -225,7 +233,7 @@ def compare(
                     scored = rows.withColumn("prediction", F.lit(mean))
                 else:
                     options = (settings or {}).get(name, {})
-                    fitted = make_learner(name, ready.features, rows=sizes["train"] or 1, **options).fit(rows.where("train"))
+                    fitted = _fit_with_early_stop(name, ready.features, rows, sizes["train"] or 1, **options)
                     scored = fitted.transform(rows)
                 seconds = clock.perf_counter() - started
                 val, hold = split_metrics(scored, "val"), split_metrics(scored, "test")
@@ -239,3 +247,31 @@ def compare(
     return spark.createDataFrame(
         rows_out, f"species string, algorithm string, label_kind string, n_train long, n_val long, n_holdout long, train_s double, {measures}"
     )
+
+
+def compare_classifiers(
+    matrix: DataFrame, species: list[str], learners: list[str], catches: DataFrame | None = None,
+    policy: str = "prefer_catch", requested: list[str] | None = None, splits=None, settings: dict | None = None,
+    positive_ratio: float = 0.5,
+) -> DataFrame:
+    """Hotspot study: class and ranking metrics per species, learner and window."""
+    parts = []
+    for code in species:
+        for name in learners:
+            options = (settings or {}).get(name, {})
+            _, scored = train_classifier(matrix, code, catches, policy, requested, splits, name, positive_ratio, **options)
+            for window in ("val", "test"):
+                rows = scored.where(F.col(window)).select("iy", "ix", "time", "y", "y_bin", "predicted", "score").persist()
+                try:
+                    found = [
+                        metrics.class_metrics(rows).first(),
+                        metrics.roc_auc(rows).first(),
+                        metrics.spearman(rows, "y", "score").first(),
+                        metrics.hit_at_k(rows, key=("iy", "ix", "time")).first(),
+                    ]
+                finally:
+                    rows.unpersist()
+                measures = {k: v for row in found if row is not None for k, v in row.asDict().items()}
+                parts.append((code, name, window, *[measures.get(m) for m in CLASS_MEASURES]))
+    columns = ", ".join(f"{m} double" for m in CLASS_MEASURES)
+    return matrix.sparkSession.createDataFrame(parts, f"species string, algorithm string, window string, {columns}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import config
@@ -36,10 +36,13 @@ def read_observations(
     return picked.select("time", "lat", "lon", scores.nan_to_null(F.col("value").cast("double")).alias("value"))
 
 
-def with_granule_time(df: DataFrame, name: str = "granule") -> DataFrame:
-    """Composite time from the granule name, the file's own time where the name has none."""
-    modified = F.col("_metadata.file_modification_time") if name == "_metadata.file_name" else None
-    return df.withColumn("time", names.granule_time(F.col(name), modified))
+def with_granule_time(df: DataFrame, name: Column, modified: Column | None = None) -> DataFrame:
+    """Composite time from the granule name, else the file's own time.
+
+    For a table just read from files pass ``_metadata.file_name`` and
+    ``_metadata.file_modification_time``.
+    """
+    return df.withColumn("time", names.granule_time(name, modified))
 
 
 def write_observations(df: DataFrame, path: str, mode: str = "append") -> None:

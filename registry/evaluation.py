@@ -142,6 +142,13 @@ def fit_frame(spark, sf):
     return learning.fit_frame(bundle, _labelled(spark, sf).withColumns(t.splits()))
 
 
+@query("benchmark_classifiers")
+def benchmark_classifiers(spark, sf):
+    return learning.compare_classifiers(
+        t.matrix(spark, sf), ["scad"], ["Linear", "NoSkill"], t.catches(spark, sf), requested=REQUESTED, splits=t.splits()
+    )
+
+
 @query("benchmark_table")
 def benchmark_table(spark, sf):
     options = {"GBT": SMALL, "RandomForest": SMALL}

@@ -171,7 +171,8 @@ def _labelled(spark, sf):
 
 
 def _training(spark, sf):
-    return datasets.training_set(_labelled(spark, sf), NUMERIC, "log1p", splits=t.splits())
+    medians = datasets.imputer_medians(t.matrix(spark, sf), NUMERIC)
+    return datasets.training_set(_labelled(spark, sf), NUMERIC, "log1p", medians, splits=t.splits())
 
 
 IMPUTED = ", ".join(f"round(coalesce(CAST({f} AS FLOAT), (SELECT m FROM med WHERE feature = '{f}'))::DOUBLE, 6) + 0.0::DOUBLE AS {f}" for f in NUMERIC)

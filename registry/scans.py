@@ -39,14 +39,11 @@ def granule_year(spark, sf):
       strptime(regexp_extract(granule_name, '_MODIS\\.(\\d{8})_(\\d{8})\\.', 2), '%Y%m%d') AS b FROM granules)"""))
 def granule_time(spark, sf):
     named = t.granules(spark, sf).select("granule_name").distinct()
-    return observations.with_granule_time(named, "granule_name").select(
+    return observations.with_granule_time(named, F.col("granule_name")).select(
         "granule_name", F.col("time").cast("timestamp_ntz").alias("time"), names.granule_date(F.col("granule_name")).alias("day")
     )
 
 
-LOADED = "SELECT fma, species, year, quarter, volume_mt, 4.5::DOUBLE + (nk * 3 % 20) * 0.5::DOUBLE AS lat, 116::DOUBLE + (nk * 4 % 16) * 0.5::DOUBLE AS lon"
-
-
 @query("load_catch", sql_over("landings", """SELECT CAST(fma AS INTEGER) AS fma, species, year, CAST(least(greatest(quarter * 2 - 2, 1), 4) AS INTEGER) AS quarter,
     round(CAST(sum(cents) AS BIGINT) / 100, 6) AS volume_mt, 4.5::DOUBLE + (nk * 3 % 20) * 0.5::DOUBLE AS lat, 116::DOUBLE + (nk * 4 % 16) * 0.5::DOUBLE AS lon
     FROM landings GROUP BY fma, species, year, quarter, nk"""))

@@ -154,8 +154,8 @@ def region_of(spark, sf):
     return analytics.with_region(t.grid_of(spark, sf).cells(spark)).select("iy", "ix", "region")
 
 
-@query("snap_cells", """SELECT c_custkey, round_even(CAST(c_acctbal / 100 AS DOUBLE) * 10, 0)::DOUBLE / 10 AS snapped,
-    round_even(CAST(c_custkey * 0.05::DOUBLE AS DOUBLE) * 10, 0)::DOUBLE / 10 AS halves FROM customer""")
+@query("snap_cells", """SELECT c_custkey, round_even(CAST(c_acctbal / 100 AS DOUBLE) * 10, 0)::DOUBLE / 10 + 0.0::DOUBLE AS snapped,
+    round_even(CAST(c_custkey * 0.05::DOUBLE AS DOUBLE) * 10, 0)::DOUBLE / 10 + 0.0::DOUBLE AS halves FROM customer""")
 def snap_cells(spark, sf):
     c = t.read(spark, sf, "customer")
     return c.select("c_custkey", geo.snap(F.col("c_acctbal") / 100).alias("snapped"), geo.snap(F.col("c_custkey") * F.lit(0.05)).alias("halves"))

@@ -64,7 +64,7 @@ def obs(spark, sf) -> DataFrame:
         "iy", "ix", *_lat_lon(), "step",
         F.date_add(F.lit("1995-01-01").cast("date"), F.col("step") * 8 + 3).alias("time"),
         (24 + (F.col("q") % 51) * F.lit(0.16)).alias("sst"),
-        F.when(d % 11 != 10, (d % 11) * F.lit(0.32)).alias("chl"),
+        F.when(d % 11 == 0, 0.0).when(d % 11 != 10, (d % 11) * F.lit(0.32) + 0.00512).alias("chl"),
         F.when(p % 13 != 0, 20 + (p % 41) * F.lit(0.64)).alias("par"),
         F.when(t % 10 != 9, F.lit(0.0256) * (1 + t % 9)).alias("kd490"),
     )
@@ -216,7 +216,7 @@ SQL_TABLES: dict[str, tuple[list[str], str]] = {
         FROM (SELECT {_CELL}, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2)"""),
     "obs": ([], f"""SELECT iy, ix, {_LL}, step, CAST(DATE '1995-01-01' + CAST(step * 8 + 3 AS INTEGER) AS DATE) AS time,
           24 + (q % 51) * 0.16::DOUBLE AS sst,
-          CASE WHEN d % 11 <> 10 THEN (d % 11) * 0.32::DOUBLE END AS chl,
+          CASE WHEN d % 11 = 0 THEN 0 WHEN d % 11 <> 10 THEN (d % 11) * 0.32::DOUBLE + 0.00512::DOUBLE END AS chl,
           CASE WHEN p % 13 <> 0 THEN 20 + (p % 41) * 0.64::DOUBLE END AS par,
           CASE WHEN t % 10 <> 9 THEN 0.0256::DOUBLE * (1 + t % 9) END AS kd490
         FROM (SELECT {_CELL}, CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 8) AS INTEGER) AS step,

@@ -22,12 +22,12 @@ def _dense(spark, sf, values=WIDE):
     return temporal.densify(t.obs(spark, sf), t.grid_of(spark, sf), values)
 
 
-@query("densify", sql_over("dense", f"SELECT iy, ix, {DAY}, lat, lon, round(sst, 6) AS sst, round(chl, 6) AS chl, par, round(kd490, 6) AS kd490 FROM dense"))
+@query("densify", sql_over("dense", f"SELECT iy, ix, {DAY}, lat, lon, round(sst, 6) + 0.0::DOUBLE AS sst, round(chl, 6) + 0.0::DOUBLE AS chl, round(par, 6) + 0.0::DOUBLE AS par, round(kd490, 6) + 0.0::DOUBLE AS kd490 FROM dense"))
 def densify(spark, sf):
     return _dense(spark, sf)
 
 
-@query("gap_fill", sql_over("filled", f"SELECT variable, iy, ix, {DAY}, round(value, 6) AS value, filled FROM filled"))
+@query("gap_fill", sql_over("filled", f"SELECT variable, iy, ix, {DAY}, round(value, 6) + 0.0::DOUBLE AS value, filled FROM filled"))
 def gap_fill(spark, sf):
     return temporal.gap_fill(t.pixels(spark, sf))
 
@@ -47,7 +47,7 @@ def _roll(v: str, n: int) -> str:
     return f"avg({v}) OVER (PARTITION BY iy, ix ORDER BY time ROWS BETWEEN {n // 2} PRECEDING AND {n - 1 - n // 2} FOLLOWING)"
 
 
-@query("rolling_mean", sql_over("dense", f"SELECT iy, ix, {DAY}, " + ", ".join(f"round({_roll('chl', n)}, 6) AS chl_roll{d}d" for d, n in ((7, 1), (14, 2), (30, 4), (90, 11))) + " FROM dense"))
+@query("rolling_mean", sql_over("dense", f"SELECT iy, ix, {DAY}, " + ", ".join(f"round({_roll('chl', n)}, 6) + 0.0::DOUBLE AS chl_roll{d}d" for d, n in ((7, 1), (14, 2), (30, 4), (90, 11))) + " FROM dense"))
 def rolling_mean(spark, sf):
     dense = _dense(spark, sf, ["chl"])
     out = temporal.with_rolling_means(dense, ["chl"], temporal.rolling_steps(t.obs(spark, sf)))
@@ -59,7 +59,7 @@ def median_step(spark, sf):
     return temporal.median_step(t.obs(spark, sf))
 
 
-@query("monthly_climatology", sql_over("obs", "SELECT iy, ix, CAST(month(time) AS INTEGER) AS month, round(avg(sst), 6) AS sst, round(avg(chl), 6) AS chl FROM obs GROUP BY 1, 2, 3"))
+@query("monthly_climatology", sql_over("obs", "SELECT iy, ix, CAST(month(time) AS INTEGER) AS month, round(avg(sst), 6) + 0.0::DOUBLE AS sst, round(avg(chl), 6) + 0.0::DOUBLE AS chl FROM obs GROUP BY 1, 2, 3"))
 def monthly_climatology(spark, sf):
     return temporal.monthly_climatology(t.obs(spark, sf), ["sst", "chl"])
 
@@ -75,8 +75,8 @@ def month_sin_cos(spark, sf):
 
 
 TEMPORAL = ", ".join(
-    [f"round({v}, 6) AS {v}" for v in WIDE]
-    + [f"round({_roll(v, n)}, 6) AS {v}_roll{d}d" for v in WIDE for d, n in ((7, 1), (14, 2), (30, 4), (90, 11))]
+    [f"round({v}, 6) + 0.0::DOUBLE AS {v}" for v in WIDE]
+    + [f"round({_roll(v, n)}, 6) + 0.0::DOUBLE AS {v}_roll{d}d" for v in WIDE for d, n in ((7, 1), (14, 2), (30, 4), (90, 11))]
     + [f"round({v} - avg({v}) OVER (PARTITION BY iy, ix, month(time)), 6) + 0.0::DOUBLE AS {v}_anom" for v in WIDE]
     + [f"round({f}(2 * pi() * month(time) / 12), 6) + 0.0::DOUBLE AS month_{f}" for f in ("sin", "cos")]
 )
@@ -87,13 +87,13 @@ def temporal_features(spark, sf):
     return temporal.temporal_features(_dense(spark, sf), temporal.rolling_steps(t.obs(spark, sf)))
 
 
-@query("cube_assemble", sql_over("cube", f"SELECT iy, ix, {DAY}, round(sst, 6) AS sst, round(chl, 6) AS chl, round(par, 6) AS par, round(kd490, 6) AS kd490 FROM cube"))
+@query("cube_assemble", sql_over("cube", f"SELECT iy, ix, {DAY}, round(sst, 6) + 0.0::DOUBLE AS sst, round(chl, 6) + 0.0::DOUBLE AS chl, round(par, 6) + 0.0::DOUBLE AS par, round(kd490, 6) + 0.0::DOUBLE AS kd490 FROM cube"))
 def cube_assemble(spark, sf):
     return cube.assemble(temporal.gap_fill(t.pixels(spark, sf)), WIDE)
 
 
 @query("long_matrix", sql_over("cube bathy", """SELECT c.iy, c.ix, b.lat, b.lon, CAST(c.time AS VARCHAR) AS time, CAST(c.time AS VARCHAR) AS date,
-    round(CASE WHEN depth < 0 THEN sst END, 6) AS sst, round(CASE WHEN depth < 0 THEN chl END, 6) AS chl, round(CASE WHEN depth < 0 THEN par END, 6) AS par, round(CASE WHEN depth < 0 THEN kd490 END, 6) AS kd490, depth
+    round(CASE WHEN depth < 0 THEN sst END, 6) + 0.0::DOUBLE AS sst, round(CASE WHEN depth < 0 THEN chl END, 6) + 0.0::DOUBLE AS chl, round(CASE WHEN depth < 0 THEN par END, 6) + 0.0::DOUBLE AS par, round(CASE WHEN depth < 0 THEN kd490 END, 6) + 0.0::DOUBLE AS kd490, depth
     FROM cube c JOIN bathy b ON b.iy = c.iy AND b.ix = c.ix"""))
 def long_matrix(spark, sf):
     wide = cube.assemble(temporal.gap_fill(t.pixels(spark, sf)), WIDE)
@@ -115,11 +115,11 @@ FEATURES = "WITH " + ", ".join([
     "f AS (SELECT m.*, fr.frontal_index FROM m JOIN fr ON fr.iy = m.iy AND fr.ix = m.ix AND fr.time = m.time)",
     *[_disk_sql(km, f"l{km}_{v}").replace("sst", v).replace("dense", "f") for v in ("sst", "frontal_index") for km in (60, 120)],
     f"tf AS (SELECT iy, ix, time, {TEMPORAL} FROM m)",
-]) + " SELECT f.iy, f.ix, CAST(f.time AS VARCHAR) AS time, round(f.slope, 6) AS slope, round(f.dist_coast, 6) AS dist_coast, " + ", ".join(
-    f"tf.{c}" for c in ("sst", "chl_roll30d", "sst_roll90d", "sst_anom", "kd490_anom")
-) + ", round(f.frontal_index, 6) AS frontal_index, CASE WHEN tf.sst_anom IS NOT NULL THEN greatest(-tf.sst_anom, 0) + 0.0::DOUBLE END AS upwelling_proxy" \
-    + ", round(CASE WHEN f.chl > 0 THEN log10(greatest(f.chl, 1e-4) + 1e-4) END, 6) AS productivity_index, " + ", ".join(
-    f"round(coalesce(f.{v}, l{km}_{v}.m), 6) AS {v}_lag{km}km" for v in ("sst", "frontal_index") for km in (60, 120)
+]) + " SELECT f.iy, f.ix, CAST(f.time AS VARCHAR) AS time, round(f.slope, 6) + 0.0::DOUBLE AS slope, round(f.dist_coast, 6) + 0.0::DOUBLE AS dist_coast, " + ", ".join(
+    f"tf.{c} + 0.0::DOUBLE AS {c}" for c in ("sst", "chl_roll30d", "sst_roll90d", "sst_anom", "kd490_anom")
+) + ", round(f.frontal_index, 6) + 0.0::DOUBLE AS frontal_index, CASE WHEN tf.sst_anom IS NOT NULL THEN greatest(-tf.sst_anom, 0) + 0.0::DOUBLE END AS upwelling_proxy" \
+    + ", round(CASE WHEN f.chl > 0 THEN log10(greatest(f.chl, 1e-4) + 1e-4) END, 6) + 0.0::DOUBLE AS productivity_index, " + ", ".join(
+    f"round(coalesce(f.{v}, l{km}_{v}.m), 6) + 0.0::DOUBLE AS {v}_lag{km}km" for v in ("sst", "frontal_index") for km in (60, 120)
 ) + " FROM f JOIN tf ON tf.iy = f.iy AND tf.ix = f.ix AND tf.time = f.time " + " ".join(
     f"JOIN l{km}_{v} ON l{km}_{v}.iy = f.iy AND l{km}_{v}.ix = f.ix AND l{km}_{v}.time = f.time" for v in ("sst", "frontal_index") for km in (60, 120)
 )
@@ -138,17 +138,17 @@ def feature_matrix(spark, sf):
     )
 
 
-@query("habitat_suitability", sql_over("obs", f"SELECT iy, ix, {DAY}, round({habitat_sql('sardinella')}, 6) AS suitability FROM obs"))
+@query("habitat_suitability", sql_over("obs", f"SELECT iy, ix, {DAY}, round({habitat_sql('sardinella')}, 6) + 0.0::DOUBLE AS suitability FROM obs"))
 def habitat_suitability(spark, sf):
     return t.obs(spark, sf).select("iy", "ix", "time", scores.habitat_suitability("sardinella").alias("suitability"))
 
 
-@query("suitability_all_species", sql_over("obs", f"SELECT iy, ix, {DAY}, " + ", ".join(f"round({habitat_sql(s.code)}, 6) AS suitability_{s.code}" for s in config.SPECIES) + " FROM obs"))
+@query("suitability_all_species", sql_over("obs", f"SELECT iy, ix, {DAY}, " + ", ".join(f"round({habitat_sql(s.code)}, 6) + 0.0::DOUBLE AS suitability_{s.code}" for s in config.SPECIES) + " FROM obs"))
 def suitability_all_species(spark, sf):
     return t.obs(spark, sf).select("iy", "ix", "time", *[c.alias(n) for n, c in scores.suitability_columns().items()])
 
 
-@query("productivity_index", sql_over("obs", f"SELECT iy, ix, {DAY}, round(CASE WHEN chl > 0 THEN log10(greatest(chl, 1e-4) + 1e-4) END, 6) AS productivity_index FROM obs"))
+@query("productivity_index", sql_over("obs", f"SELECT iy, ix, {DAY}, round(CASE WHEN chl > 0 THEN log10(greatest(chl, 1e-4) + 1e-4) END, 6) + 0.0::DOUBLE AS productivity_index FROM obs"))
 def productivity_index(spark, sf):
     return t.obs(spark, sf).select("iy", "ix", "time", scores.productivity_index(F.col("chl")).alias("productivity_index"))
 
@@ -160,7 +160,7 @@ def upwelling_proxy(spark, sf):
     return df.select("iy", "ix", "time", scores.upwelling_proxy(F.col("chl_anom")).alias("upwelling_proxy"))
 
 
-@query("annual_mean", sql_over("obs", """SELECT a.iy, a.ix, round(a.m, 6) AS chl_all, round(b.m, 6) AS chl_1998 FROM (SELECT iy, ix, avg(chl) AS m FROM obs GROUP BY 1, 2) a
+@query("annual_mean", sql_over("obs", """SELECT a.iy, a.ix, round(a.m, 6) + 0.0::DOUBLE AS chl_all, round(b.m, 6) + 0.0::DOUBLE AS chl_1998 FROM (SELECT iy, ix, avg(chl) AS m FROM obs GROUP BY 1, 2) a
     LEFT JOIN (SELECT iy, ix, avg(chl) AS m FROM obs WHERE year(time) = 1998 GROUP BY 1, 2) b ON a.iy = b.iy AND a.ix = b.ix"""))
 def annual_mean(spark, sf):
     o = t.obs(spark, sf)
