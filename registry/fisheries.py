@@ -97,9 +97,9 @@ def catch_cells(spark, sf):
     return _cells(spark, sf)
 
 
-@query("catch_summary", sql_over(PLACES, f"SELECT species, count(volume_mt) AS rows, round(sum(volume_mt), 6) AS volume_mt, min(year) AS first_year, max(year) AS last_year FROM ({CELLS}) GROUP BY 1"))
+@query("catch_summary", sql_over(PLACES, f"SELECT species, count(volume_mt) AS rows, round(sum(volume_mt), 2) AS volume_mt, min(year) AS first_year, max(year) AS last_year FROM ({CELLS}) GROUP BY 1"))
 def catch_summary(spark, sf):
-    return catches.catch_summary(_cells(spark, sf))
+    return catches.catch_summary(_cells(spark, sf)).withColumn("volume_mt", F.round("volume_mt", 2))
 
 
 @query("catch_ingest", sql_over("sheet areas centroids", f"""WITH reports AS (SELECT s.file, r.geo AS geo_raw, a.species, h.year, h.quarter, try_cast(s.cell AS DOUBLE) AS volume_mt
