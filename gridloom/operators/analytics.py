@@ -23,11 +23,9 @@ def by_every_region(df: DataFrame, regions=config.REGIONS, out: str = "region")
 def region_ranking(scored: DataFrame, value: str = "value", regions=config.REGIONS) -> DataFrame:
     """Cells, mean, 90th percentile and maximum per region, best mean first."""
     rows = with_region(scored.where(F.col(value).isNotNull()), regions).where(F.col("region").isNotNull())
-    totals = rows.groupBy("region").agg(
-        F.count(value).alias("cells"), F.avg(value).alias("mean"), F.max(value).alias("max")
-    )
-    peaks = exact_quantiles(rows, value, {"p90": 0.9}, ["region"])
-    return totals.join(peaks, "region").select("region", "cells", "mean", "p90", "max").orderBy(F.desc("mean"), "region")
+    table = exact_quantiles(rows, value, {"p90": 0.9}, ["region"], totals=True)
+    ordered = table.select("region", F.col("count").alias("cells"), "mean", "p90", "max")
+    return ordered.orderBy(F.desc("mean"), "region")
 
 
 def condition_trend(scored: DataFrame, value: str, region: config.Region | None = None) -> DataFrame:
@@ -61,9 +59,10 @@ def flag_counts(table: DataFrame) -> DataFrame:
 
 def field_summary(scored: DataFrame, value: str = "value") -> DataFrame:
     """Mean, 90th percentile and maximum of a field; 0 for an empty one."""
-    p90 = exact_quantiles(scored, value, {"p90": 0.9}).scalar()
-    totals = scored.agg(F.avg(value).alias("mean"), F.max(value).alias("max")).withColumn("p90", p90)
-    return totals.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "p90", "max")])
+    table = exact_quantiles(scored, value, {"p90": 0.9}, totals=True)
+    # An ungrouped maximum always yields a row, so an empty field reads as zeros.
+    one = table.agg(*[F.max(c).alias(c) for c in ("mean", "p90", "max")])
+    return one.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "p90", "max")])
 
 
 def value_ranges(df: DataFrame, columns: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:

@@ -17,10 +17,12 @@ MAX_GROUPS = 4096
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: dict[str, float], by: list[str] | None = None
+    df: DataFrame, value: str, probabilities: dict[str, float], by: list[str] | None = None, totals: bool = False
 ) -> DataFrame:
     """One row per group: ``by`` plus one column per named probability.
 
+    ``totals`` adds ``count, mean, max`` of the group from the same pass.
+
     Meant for few groups (regions, features, one group over everything); more than
     ``MAX_GROUPS`` is an error, because then plain ``percentile`` is the better plan.
     """
@@ -53,10 +55,10 @@ def exact_quantiles(
     slot = F.when(q.isNull(), F.lit(1)).otherwise(slot)
     counted = (
         rows.withColumn("_q", F.element_at(brackets, F.col("_g")))
-        .select(*by, "_g", slot.alias("_slot"), "_v")
-        .select(*by, "_g", "_slot", F.when(F.col("_slot") % 2 == 1, F.col("_v")).alias("_v"))
+        .select(*by, "_g", slot.alias("_slot"), F.col("_v").alias("_raw"))
+        .select(*by, "_g", "_slot", "_raw", F.when(F.col("_slot") % 2 == 1, F.col("_raw")).alias("_v"))
         .groupBy(*by, "_g", "_slot", "_v")
-        .agg(F.count(F.lit(1)).alias("c"))
+        .agg(F.count(F.lit(1)).alias("c"), *([F.sum("_raw").alias("s"), F.max("_raw").alias("m")] if totals else []))
     )
     order = Window.partitionBy("_g").orderBy("_slot", "_v")
     upto = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -68,7 +70,10 @@ def exact_quantiles(
         found = F.coalesce(F.col("_v"), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
         return F.max(F.when(hit, found))
 
-    parts, result = [], []
+    parts, result, moments = [], [], []
+    if totals:
+        parts = [F.sum("c").alias("count"), (F.sum("s") / F.sum("c")).alias("mean"), F.max("m").alias("max")]
+        moments = ["count", "mean", "max"]
     for name, prob in named:
         position = F.round((F.col("_n") - 1) * F.lit(float(prob)), 9)
         low = F.floor(position)
@@ -80,7 +85,7 @@ def exact_quantiles(
         result.append((lo + (hi - lo) * w).alias(name))
     order_of = {name: i for i, name in enumerate(probabilities)}
     result = [c for _, c in sorted(zip([n for n, _ in named], result), key=lambda item: order_of[item[0]])]
-    return ranked.groupBy(*by, "_g").agg(*parts).select(*by, *result)
+    return ranked.groupBy(*by, "_g").agg(*parts).select(*by, *moments, *result)
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probabilities: dict[str, float], key: str = "variable") -> DataFrame:

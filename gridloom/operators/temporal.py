@@ -38,11 +38,15 @@ def time_axes(df: DataFrame, by: str, time: str = "time") -> Column:
     return per.agg(F.map_from_entries(F.collect_list(F.struct(by, "axis")))).scalar()
 
 
+def _step_days(df: DataFrame, time: str) -> DataFrame:
+    """Days to the next time step, one row per step of the record."""
+    following = F.lead(time).over(Window.orderBy(time))
+    return df.select(time).distinct().select(F.date_diff(following, F.col(time)).alias("days"))
+
+
 def median_step(df: DataFrame, time: str = "time") -> DataFrame:
     """Median number of whole days between consecutive time steps (one row)."""
-    axis = df.select(time).distinct()
-    following = F.lead(time).over(Window.orderBy(time))
-    return axis.select(F.date_diff(following, F.col(time)).alias("days")).agg(F.median("days").alias("median_step"))
+    return _step_days(df, time).agg(F.median("days").alias("median_step"))
 
 
 def steps_of(days: float, step: float | None) -> int:
@@ -50,24 +54,28 @@ def steps_of(days: float, step: float | None) -> int:
     return max(1, round(days / max(step or 1, 1)))
 
 
-def rolling_steps(df: DataFrame, days: tuple[int, ...] = config.ROLLING_DAYS) -> dict[int, int]:
-    """Rolling window lengths on this record's axis (reads back the median step)."""
-    step = median_step(df).first()[0]
-    return {d: steps_of(d, step) for d in days}
+def record(df: DataFrame, time: str = "time") -> tuple[int, float | None]:
+    """Number of time steps and median days between them (reads back these two numbers)."""
+    gaps = _step_days(df, time).agg(F.count(F.lit(1)), F.median("days")).first()
+    return gaps[0], gaps[1]
 
 
-def record_steps(df: DataFrame, time: str = "time") -> int:
-    """Number of time steps on record (reads back one number)."""
-    return df.select(time).distinct().count()
+def rolling_steps(df: DataFrame, days: tuple[int, ...] = config.ROLLING_DAYS) -> dict[int, int]:
+    """Rolling window lengths on this record's axis."""
+    _, step = record(df)
+    return {d: steps_of(d, step) for d in days}
 
 
-def densify(df: DataFrame, grid: Grid, values: list[str], time: str = "time") -> DataFrame:
+def densify(
+    df: DataFrame, grid: Grid, values: list[str], time: str = "time", axis_from: DataFrame | None = None
+) -> DataFrame:
     """One row per cell and time step; steps without an observation get NULL values.
 
     Each observation also emits the empty steps up to the next one, so the full table comes out
-    of one left join on the cell instead of a join on (cell, time).
+    of one left join on the cell instead of a join on (cell, time). ``axis_from`` names a cheaper
+    table with the same time steps, such as the pixels that ``df`` was computed from.
     """
-    axis = time_axis(df, time)
+    axis = time_axis(df if axis_from is None else axis_from, time)
     cells = grid.cells(df.sparkSession)
     placed = cells.join(df.select(*CELL, time, *values), CELL, "left").withColumn(
         "_at", F.array_position(axis, F.col(time))

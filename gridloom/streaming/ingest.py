@@ -24,8 +24,13 @@ def _watermarked(df: DataFrame, time: str, late: str) -> DataFrame:
     return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
 
 
-def first_per_key(granules: DataFrame, time: str = "start_time", late: str | None = COMPOSITE) -> DataFrame:
-    """One row per granule key. With a watermark, keys older than ``late`` leave the state."""
+def first_per_key(granules: DataFrame, time: str = "start_time", late: str | None = None) -> DataFrame:
+    """One row per granule key.
+
+    The state is the manifest: one key per granule ever seen, so backfilled files are never lost.
+    For sources that arrive in time order, ``late`` bounds the state; rows older than that are
+    then dropped.
+    """
     if late is None or not granules.isStreaming:
         return granules.dropDuplicates(GRANULE_KEY)
     return _watermarked(granules, time, late).dropDuplicatesWithinWatermark(GRANULE_KEY)

@@ -41,7 +41,7 @@ def no_broadcast(spark):
 def test_time_features_shuffle_the_observations_once(pixels, no_broadcast):
     g = Grid(4.5, 116.0, 0.5, 2, 16)
     wide = cube.assemble(temporal.gap_fill(pixels), ["sst", "chl", "par", "kd490"])
-    out = temporal.temporal_features(temporal.densify(wide, g, ["sst", "chl", "par", "kd490"]), {7: 1, 14: 2, 30: 4, 90: 11})
+    out = temporal.temporal_features(temporal.densify(wide, g, ["sst", "chl", "par", "kd490"], axis_from=pixels), {7: 1, 14: 2, 30: 4, 90: 11})
     plan = plan_of(out)
     # The time axes are subqueries over (variable, time); everything keyed by cell counts here.
     by_cell = re.findall(r"Exchange hashpartitioning\(iy#\d+, ix#\d+, \d+\), REPARTITION_BY_COL", plan)
@@ -66,6 +66,7 @@ def test_no_python_and_no_pairing(spark, name):
 
 def test_scan_prunes_partitions_and_pushes_the_box(spark, pixels, tmp_path):
     observations.write_observations(pixels.select("variable", "time", "lat", "lon", "value"), str(tmp_path / "o"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = plan_of(observations.read_observations(spark, str(tmp_path / "o"), "sst", [1998], (117.0, 5.0, 121.0, 12.0)))
     assert re.search(r"PartitionFilters: \[[^\]]*variable[^\]]*year", plan)
     assert "GreaterThanOrEqual(lat" in plan and "LessThanOrEqual(lon" in plan
