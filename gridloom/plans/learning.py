@@ -145,6 +145,14 @@ def train(
     return Bundle(species, ready.label_kind, ready.transform, ready.features, ready.medians, fitted, report)
 
 
+def _score_classes(model: PipelineModel | None, rows: DataFrame) -> DataFrame:
+    if model is None:
+        return metrics.no_skill(rows).withColumn("score", F.lit(0.0))
+    return model.transform(rows).withColumns(
+        {"score": vector_to_array("probability")[1], "predicted": F.col("prediction").cast("int")}
+    )
+
+
 def train_classifier(
     matrix: DataFrame, species: str, catches: DataFrame | None = None, policy: str = "prefer_catch",
     requested: list[str] | None = None, splits=None, learner: str = "GBT", positive_ratio: float = 0.5, **settings,
@@ -153,17 +161,14 @@ def train_classifier(
     ready = prepare(matrix, species, catches, policy, requested, splits)
     rows = datasets.hotspot_labels(ready.rows, positive_ratio)
     if learner == "NoSkill":
-        return None, metrics.no_skill(rows).withColumn("score", F.lit(0.0))
+        return None, _score_classes(None, rows)
     fit_rows = rows.where("train OR val").persist()
     try:
         n_train = fit_rows.where("train").count()
         model = _fit_with_early_stop(learner, ready.features, fit_rows, n_train, classify=True, **settings)
     finally:
         fit_rows.unpersist()
-    scored = model.transform(rows).withColumns(
-        {"score": vector_to_array("probability")[1], "predicted": F.col("prediction").cast("int")}
-    )
-    return model, scored
+    return model, _score_classes(model, rows)
 
 
 def fit_frame(bundle: Bundle, labelled: DataFrame) -> DataFrame:
@@ -249,6 +254,16 @@ def compare(
     )
 
 
+def _class_measures(rows: DataFrame) -> list:
+    """All class and ranking metrics of one window; each is a one-row result."""
+    tables = (
+        metrics.class_metrics(rows), metrics.roc_auc(rows), metrics.spearman(rows, "y", "score"),
+        metrics.hit_at_k(rows, key=("iy", "ix", "time")),
+    )
+    found = {k: v for row in (t.first() for t in tables) if row is not None for k, v in row.asDict().items()}
+    return [found.get(m) for m in CLASS_MEASURES]
+
+
 def compare_classifiers(
     matrix: DataFrame, species: list[str], learners: list[str], catches: DataFrame | None = None,
     policy: str = "prefer_catch", requested: list[str] | None = None, splits=None, settings: dict | None = None,
@@ -257,21 +272,22 @@ def compare_classifiers(
     """Hotspot study: class and ranking metrics per species, learner and window."""
     parts = []
     for code in species:
-        for name in learners:
-            options = (settings or {}).get(name, {})
-            _, scored = train_classifier(matrix, code, catches, policy, requested, splits, name, positive_ratio, **options)
-            for window in ("val", "test"):
-                rows = scored.where(F.col(window)).select("iy", "ix", "time", "y", "y_bin", "predicted", "score").persist()
+        ready = prepare(matrix, code, catches, policy, requested, splits)
+        rows = datasets.hotspot_labels(ready.rows, positive_ratio).persist()
+        try:
+            n_train = rows.where("train").count()
+            for name in learners:
+                options = (settings or {}).get(name, {})
+                model = None if name == "NoSkill" else _fit_with_early_stop(
+                    name, ready.features, rows, n_train, classify=True, **options
+                )
+                columns = ["iy", "ix", "time", "val", "test", "y", "y_bin", "predicted", "score"]
+                scored = _score_classes(model, rows).where("val OR test").select(*columns).persist()
                 try:
-                    found = [
-                        metrics.class_metrics(rows).first(),
-                        metrics.roc_auc(rows).first(),
-                        metrics.spearman(rows, "y", "score").first(),
-                        metrics.hit_at_k(rows, key=("iy", "ix", "time")).first(),
-                    ]
+                    parts += [(code, name, w, *_class_measures(scored.where(F.col(w)))) for w in ("val", "test")]
                 finally:
-                    rows.unpersist()
-                measures = {k: v for row in found if row is not None for k, v in row.asDict().items()}
-                parts.append((code, name, window, *[measures.get(m) for m in CLASS_MEASURES]))
+                    scored.unpersist()
+        finally:
+            rows.unpersist()
     columns = ", ".join(f"{m} double" for m in CLASS_MEASURES)
     return matrix.sparkSession.createDataFrame(parts, f"species string, algorithm string, window string, {columns}")

@@ -33,7 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="gridloom-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -44,6 +45,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def pin(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: fixes row order and partition bounds for later passes."""
     context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

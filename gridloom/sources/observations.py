@@ -18,11 +18,12 @@ def standardize(df: DataFrame) -> DataFrame:
 def read_observations(
     spark: SparkSession, path: str, variable: str, years: list[int] | None = None,
     bbox: tuple[float, float, float, float] | None = config.STUDY_BBOX, pad: float = config.GRANULE_PAD,
+    required: bool = False,
 ) -> DataFrame:
     """Pixels ``(time, lat, lon, value)`` of one variable.
 
     The table is partitioned by ``variable, year``: both filters prune folders, the box prunes
-    row groups. Unreadable files are skipped.
+    row groups. Unreadable files are skipped; with ``required`` an empty result is an error.
     """
     df = standardize(spark.read.option("ignoreCorruptFiles", "true").parquet(path))
     missing = {"variable", "time", "lat", "lon", "value"} - set(df.columns)
@@ -33,6 +34,8 @@ def read_observations(
         picked = picked.where(F.col("year").isin(years))
     if bbox:
         picked = picked.where(geo.in_box(F.col("lat"), F.col("lon"), bbox, pad))
+    if required and picked.isEmpty():
+        raise ValueError(f"no usable pixels of {variable!r}")
     return picked.select("time", "lat", "lon", scores.nan_to_null(F.col("value").cast("double")).alias("value"))
 
 

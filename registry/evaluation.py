@@ -145,7 +145,7 @@ def fit_frame(spark, sf):
 @query("benchmark_classifiers")
 def benchmark_classifiers(spark, sf):
     return learning.compare_classifiers(
-        t.matrix(spark, sf), ["scad"], ["RandomForest", "NoSkill"], t.catches(spark, sf),
+        t.matrix(spark, sf), ["scad"], ["RandomForest"], t.catches(spark, sf),
         requested=REQUESTED, splits=t.splits(), settings={"RandomForest": SMALL},
     )
 
