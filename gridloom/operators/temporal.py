@@ -104,15 +104,18 @@ def gap_fill(
     by: str = "variable",
     value: str = "value",
     time: str = "time",
+    axis_from: DataFrame | None = None,
 ) -> DataFrame:
     """Fills short gaps of each cell's series; rows in and out carry values only.
 
     ``pixels(by, iy, ix, time, value)``: gaps are counted in steps of the variable's own axis.
     Inner gaps are interpolated in elapsed time, leading and trailing ones continue the line
     through the two nearest values, runs longer than ``max_gap`` stay empty, and so do cells
-    with a single value. ``filled`` tells the new rows apart.
+    with a single value. ``filled`` tells the new rows apart. ``axis_from(by, time)`` lists the
+    composites that exist; without it they are the times of the pixels, so a composite that is
+    clouded everywhere would not count as a step.
     """
-    axis = F.element_at(time_axes(pixels, by, time), F.col(by))
+    axis = F.element_at(time_axes(pixels if axis_from is None else axis_from, by, time), F.col(by))
     valid = pixels.where(F.col(value).isNotNull()).repartition(*CELL)
     series = Window.partitionBy(by, *CELL).orderBy(time)
     here = F.struct(

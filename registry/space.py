@@ -102,6 +102,13 @@ NEAREST = f"""WITH {_target_sql(0.7)},
     SELECT CAST(o.time AS VARCHAR) AS time, p.ty AS iy, p.tx AS ix, p.lat, p.lon, round(o.sst, 6) AS sst FROM pick p JOIN obs o ON o.iy = p.iy AND o.ix = p.ix WHERE o.sst IS NOT NULL"""
 
 
+@query("regrid_bilinear_known_raster", sql_over("obs dims", BILINEAR))
+def regrid_known_raster(spark, sf):
+    """The same with the source raster given, so that the axes need no pass over the data."""
+    g = t.grid_of(spark, sf)
+    return regrid.regrid_bilinear(t.obs(spark, sf), _target(g, 0.2), "sst", source=g)
+
+
 @query("regrid_nearest", sql_over("obs dims", NEAREST))
 def regrid_nearest(spark, sf):
     return regrid.regrid_nearest(t.obs(spark, sf), _target(t.grid_of(spark, sf), 0.7), "sst")
