@@ -76,12 +76,14 @@ def pixels(spark, sf) -> DataFrame:
 
 
 def grid_of(spark, sf) -> Grid:
-    return Grid.covering(bathy(spark, sf), RES)
+    """Box of all line items' cells; no grouping, so no shuffle."""
+    return Grid.covering(read(spark, sf, "lineitem").select(*_cell_columns()).select(*_lat_lon()), RES)
 
 
 def matrix(spark, sf) -> DataFrame:
     """Observed rows with depth, season and an index: a small feature table."""
-    df = obs(spark, sf).join(bathy(spark, sf).select("iy", "ix", "depth"), ["iy", "ix"])
+    # Every observed cell has a depth; a left join drops out of plans that do not read it.
+    df = obs(spark, sf).join(bathy(spark, sf).select("iy", "ix", "depth"), ["iy", "ix"], "left")
     return df.withColumns(
         {
             "month_sin": scores.month_sin(F.col("time")),
