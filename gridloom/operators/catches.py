@@ -18,7 +18,7 @@ def plain_name(geo_raw: Column) -> Column:
 def unify_variants(df: DataFrame, prefix: str = config.VARIANT_PREFIX, by: list[str] | None = None) -> DataFrame:
     """Spellings of one place that starts with ``prefix`` become one row: the largest volume.
 
-    One aggregate for both kinds of rows: ordinary rows are told apart by a key of their own.
+    Other rows pass through as they are; only the variants are grouped.
     """
     by = PERIOD if by is None else by
     variant = F.startswith(plain_name(F.col("geo_raw")), F.lit(prefix))

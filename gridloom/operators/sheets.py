@@ -60,8 +60,8 @@ def matrix_headers(cells: DataFrame) -> DataFrame:
 def matrix_rows(cells: DataFrame) -> DataFrame:
     """``(file, row_no, geo, label)`` below the header, the place carried down its block.
 
-    The carry is resolved with the blocks' row ranges: label rows are few, and each species row
-    looks up the range it falls in through a window over the row labels of one file.
+    The window runs over the two label columns of one file; a sheet cannot have more than
+    1,048,576 rows, so no file outgrows a task.
     """
     below = cells.join(_header_rows(cells), "file").where(
         (F.col("row_no") > F.col("quarter_row")) & (F.col("col_no") <= 2) & F.col("cell").isNotNull()

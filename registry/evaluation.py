@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import datasets, labels, metrics
+from gridloom.operators import datasets, metrics
 from gridloom.plans import learning
 from registry import tables as t
 from registry.base import query

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom import config
 from gridloom.functions import geo, names
 from gridloom.operators import catches as catch_ops
 from gridloom.operators import ranking, temporal

@@ -128,13 +128,13 @@ def catches(spark, sf) -> DataFrame:
 
 
 def areas(spark, sf) -> DataFrame:
-    """(geo, fma); some places have no area."""
+    """(geo, fma). A look-up with gaps, so that dropping unmapped places has something to drop."""
     nation = read(spark, sf, "nation")
     return nation.where("n_nationkey % 9 <> 8").select(F.col("n_name").alias("geo"), (F.col("n_regionkey") + 1).alias("fma"))
 
 
 def centroids(spark, sf) -> DataFrame:
-    """(geo, lat, lon); some places have no centroid."""
+    """(geo, lat, lon). A look-up with other gaps than ``areas``."""
     n = F.col("n_nationkey")
     return read(spark, sf, "nation").where("n_nationkey % 11 <> 10").select(
         F.col("n_name").alias("geo"), (4.5 + (n * 3 % 20) * 0.5 + 0.03).alias("lat"), (116.0 + (n * 4 % 16) * 0.5 - 0.04).alias("lon")
