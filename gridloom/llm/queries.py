@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import mixing, token_counts, token_files
+from gridloom.llm import mixing, quality_rules, secrets, token_counts, token_files
 from gridloom.llm.common import table
 from gridloom.session import scratch_path
 
@@ -78,3 +78,57 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_token_counts")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+OP6_SQL = r"""
+WITH base AS (
+  SELECT doc_id, lang, source, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+         CAST(coalesce(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')), 0) AS BIGINT) AS n_symbols,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+positions AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM base WHERE len(w) >= 3),
+windows AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w[p], w[p + 1], w[p + 2]) AS c FROM positions),
+repeated AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM windows, (SELECT unnest([0, 1, 2]) AS o) WHERE c >= 2 GROUP BY doc_id),
+metrics AS (
+  SELECT b.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(len(lines) AS BIGINT) AS n_lines,
+         CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM base b LEFT JOIN repeated r USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM metrics),
+entries AS (
+  SELECT doc_id, lang, source, base_failed, metric,
+         CASE metric WHEN 'symbols' THEN n_symbols WHEN 'dup_lines' THEN n_dup_lines WHEN 'repeats' THEN n_repeat_words ELSE word_chars END::DOUBLE
+         / greatest(CASE metric WHEN 'dup_lines' THEN n_lines ELSE n_words END, 1) AS v
+  FROM judged, (SELECT unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS metric)),
+sketch AS (
+  SELECT lang, source, metric, CASE WHEN v > 0 THEN CAST(ceil(round(ln(v) / ln(1.02::DOUBLE), 6)) AS BIGINT) ELSE -1000000 END AS bucket, count(*) AS n
+  FROM entries WHERE NOT base_failed GROUP BY ALL),
+walked AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total,
+         round(CASE WHEN bucket = -1000000 THEN 0 ELSE pow(1.02::DOUBLE, bucket) * (2 / 2.02::DOUBLE) END, 9) AS value
+  FROM sketch),
+quartiles AS (
+  SELECT lang, source, metric, min(value) FILTER (upto > floor((total - 1) * 0.25)) AS q25, min(value) FILTER (upto > floor((total - 1) * 0.5)) AS q50,
+         min(value) FILTER (upto > floor((total - 1) * 0.75)) AS q75
+  FROM walked GROUP BY ALL),
+fences AS (
+  SELECT *, q50 + 6 * greatest(q75 - q50, s) AS high, CASE WHEN metric = 'word_length' THEN q50 - 6 * greatest(q50 - q25, s) ELSE -1 END AS low
+  FROM (SELECT *, CASE metric WHEN 'symbols' THEN 0.05::DOUBLE WHEN 'dup_lines' THEN 0.1::DOUBLE WHEN 'repeats' THEN 0.05::DOUBLE ELSE 0.3::DOUBLE END AS s FROM quartiles)),
+verdicts AS (
+  SELECT e.doc_id, coalesce(bool_and(v <= high AND v >= low), false) AS inside
+  FROM entries e LEFT JOIN fences f ON e.lang IS NOT DISTINCT FROM f.lang AND e.source IS NOT DISTINCT FROM f.source AND e.metric = f.metric
+  GROUP BY e.doc_id)
+SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words, j.base_failed, NOT j.base_failed AND v.inside AS kept
+FROM judged j JOIN verdicts v USING (doc_id)
+"""
+
+
+@query("op6_quality_rules", OP6_SQL)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    judged = quality_rules.quality_rules(table(spark, sf, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op10_secrets")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf, "documents"))
