@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import mixing, quality_rules, secrets, token_counts, token_files
+from gridloom.llm import decontamination, mixing, quality_rules, secrets, token_counts, token_files
 from gridloom.llm.common import table
 from gridloom.session import scratch_path
 
@@ -132,3 +132,34 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_secrets")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf, "documents"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, array_to_string(w[s : s + 9], ' ') AS phrase, least(len(w), 10) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS s FROM i WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d), lengths WHERE p + n - 1 <= len(w)),
+hits AS (SELECT doc_id, p, n, item_id FROM places JOIN windows USING (phrase, n)),
+words AS (SELECT doc_id, count(DISTINCT p + o) AS n_hit FROM hits, (SELECT unnest(range(0, 10)) AS o) WHERE o < n GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names
+  FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+@query("op9_decontamination", OP9_SQL)
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
