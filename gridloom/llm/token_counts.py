@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import importable
+
 # The published pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 400_000
@@ -153,6 +155,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id: str =
     strings inside a text are one token each, as the tokenizer's default has it. There is no
     shuffle: a text is counted where it is read.
     """
+    importable(docs.sparkSession)
     return docs.select(
         id,
         F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),

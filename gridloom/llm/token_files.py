@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from gridloom.llm.common import importable
+
 BLOCK = 65_536
-CACHE = 400_000
+CHUNKS, WORDS = 800_000, 500_000
 SCHEMA = (
     "shard int, chunk int, at long, n_ids int, kind string, crc long, planes array<binary>, doc_no array<long>, "
     "doc_id array<long>, doc_at array<long>, doc_ids array<long>, piece_ids array<int>"
@@ -76,38 +79,48 @@ class CachedEncoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.last[i] = token.endswith("</w>")
-        # The file's own pre-tokenizer pattern, to know how many words a chunk has.
+        # The file's own pre-tokenizer pattern.
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        # Special strings, and letters whose lower case depends on context, are left to the tokenizer.
+        self.odd = regex.compile(r"<\||[\u0130\u03a3]")
+        self.pieces: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Encodes many chunks as one text; its ids are dealt out by the number of words of each."""
-        # Special strings and letters that change when case or form does are encoded on their own.
-        plain = [c for c in new if "<|" not in c and c.isprintable()]
-        odd = [c for c in new if "<|" in c or not c.isprintable()]
-        for c, ids in zip(odd, self._ids(odd)):
-            self.known[c] = ids
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
+        """Encodes new chunks by the words in them; words not met before are encoded as one text.
+
+        Each word ends in exactly one token marked as last, which cuts the ids of that text again.
+        """
+        find, pieces = self.words.findall, self.pieces
+        plain = [(c, find(c.lower())) for c in new if c.isprintable() and not self.odd.search(c) and is_normalized("NFC", c)]
+        fresh = list({p for _, own in plain for p in own}.difference(pieces))
+        if len(pieces) + len(fresh) > WORDS:
+            pieces.clear()
+            fresh = list({p for _, own in plain for p in own})
+        for i in range(0, len(fresh), 4096):
+            part = fresh[i : i + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            upto = np.cumsum([len(self.words.findall(c)) for c in part])
-            if len(upto) == 0 or upto[-1] != len(ends):
-                for c, own in zip(part, self._ids(part)):
-                    self.known[c] = own
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(part):
+                pieces.update(zip(part, self._ids(part)))
                 continue
-            edges = np.concatenate(([0], ends))[np.concatenate(([0], upto))]
-            raw = ids.tobytes()
-            for c, a, b in zip(part, (edges[:-1] * 4).tolist(), (edges[1:] * 4).tolist()):
-                self.known[c] = raw[a:b]
+            raw, a = ids.tobytes(), 0
+            for p, b in zip(part, ends.tolist()):
+                pieces[p] = raw[a:b]
+                a = b
+        known, get = self.known, pieces.__getitem__
+        for c, own in plain:
+            known[c] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
+        rest = [c for c in new if c not in known]
+        known.update(zip(rest, self._ids(rest)))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*chunks).difference(self.known)
-        if len(self.known) + len(new) > CACHE:
+        if len(self.known) + len(new) > CHUNKS:
             self.known = {}
             new = set().union(*chunks)
         if new:
@@ -175,8 +188,8 @@ def write_token_files(
         first = 0
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(keys), 128):
-                for key, ids in zip(keys[i : i + 128], own.batch(texts.slice(i, 128).to_pylist())):
+            for i in range(0, len(keys), 512):
+                for key, ids in zip(keys[i : i + 512], own.batch(texts.slice(i, 512).to_pylist())):
                     ids += end
                     pending.append((doc_no, key, first, ids, 0))
                     doc_no, first, size = doc_no + 1, first + len(ids) // 4, size + len(ids)
@@ -190,6 +203,7 @@ def write_token_files(
         if out:
             yield _schema_of(out)
 
+    importable(docs.sparkSession)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     laid = rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -201,27 +215,37 @@ def token_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def read_pieces(chunks: DataFrame) -> DataFrame:
-    """The pieces of documents in each block: ``PIECES``. A damaged block is an error."""
+def read_pieces(chunks: DataFrame, whole: bool | None = None) -> DataFrame:
+    """The pieces of documents in each block: ``PIECES``. A damaged block is an error.
+
+    ``whole`` asks for only those pieces that are (or are not) whole documents.
+    """
+    importable(chunks.sparkSession)
+    names = [field.split(" ")[0] for field in PIECES.split(", ")]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def batch_of(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, size = [[] for _ in names], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 raw = from_planes(row["planes"], row["n_ids"], row["kind"])
                 if zlib.crc32(raw) != row["crc"]:
                     raise ValueError(f"block {row['chunk']} of file {row['shard']} is damaged")
-                upto = np.concatenate(([0], np.cumsum(row["piece_ids"]))).tolist()
-                n = len(row["doc_no"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["shard"]] * n, pa.int32()), pa.array(row["doc_no"], pa.int64()), pa.array(row["doc_id"], pa.int64()),
-                        pa.array(row["doc_at"], pa.int64()), pa.array(row["doc_ids"], pa.int64()),
-                        pa.array([row["at"] + a for a in upto[:-1]], pa.int64()),
-                        pa.array([raw[a * 4 : b * 4] for a, b in zip(upto, upto[1:])], pa.binary()),
-                    ],
-                    names=["shard", "doc_no", "doc_id", "doc_at", "doc_ids", "at", "ids"],
-                )
+                a = 0
+                for no, key, at, n, own in zip(row["doc_no"], row["doc_id"], row["doc_at"], row["doc_ids"], row["piece_ids"]):
+                    if whole is None or whole == (n == own):
+                        for column, v in zip(columns, (row["shard"], no, key, at, n, row["at"] + a, raw[a * 4 : (a + own) * 4])):
+                            column.append(v)
+                        size += own
+                    a += own
+                if size >= 16 * BLOCK:
+                    yield batch_of(columns)
+                    columns, size = [[] for _ in names], 0
+        yield batch_of(columns)
 
     return chunks.mapInArrow(pieces, PIECES)
 
@@ -240,12 +264,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     ``start`` counts the ids of all documents before. Only documents that cross a block are shuffled.
     """
     chunks = token_chunks(spark, path)
-    pieces = read_pieces(chunks)
-    whole = F.octet_length("ids") == F.col("doc_ids") * 4
-    inside = pieces.where(whole).select("shard", "doc_id", "doc_at", "doc_ids", "ids")
+    inside = read_pieces(chunks, whole=True).select("shard", "doc_id", "doc_at", "doc_ids", "ids")
     joined = F.aggregate(F.sort_array(F.collect_list(F.struct("at", "ids"))), F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
     # A group is one document, which is one row of the input too.
-    crossing = pieces.where(~whole).groupBy("shard", "doc_no", "doc_id", "doc_at", "doc_ids").agg(joined.alias("ids"))
+    crossing = read_pieces(chunks, whole=False).groupBy("shard", "doc_no", "doc_id", "doc_at", "doc_ids").agg(joined.alias("ids"))
     docs = inside.unionByName(crossing.drop("doc_no"))
     based = docs.join(F.broadcast(shard_offsets(chunks)), "shard")
     return based.select("doc_id", (F.col("base") + F.col("doc_at")).alias("start"), F.col("doc_ids").alias("n_tokens"), "ids")
