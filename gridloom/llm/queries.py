@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontamination, mixing, quality_rules, secrets, token_counts, token_files
+from gridloom.llm import decontamination, mixing, quality_model, quality_rules, secret_scan, token_counts, token_files
 from gridloom.llm.common import table
 from gridloom.session import scratch_path
 
@@ -131,7 +131,7 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op10_secrets")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
-    return secrets.secret_report(table(spark, sf, "documents"))
+    return secret_scan.secret_report(table(spark, sf, "documents"))
 
 
 OP9_SQL = r"""
@@ -163,3 +163,8 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op5_quality_model")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_model.classified(table(spark, sf, "documents"), table(spark, sf, "labels"))
