@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontamination, mixing, quality_model, quality_rules, secret_scan, token_counts, token_files
+from gridloom.llm import decontamination, jaccard_join, mixing, quality_model, quality_rules, secret_scan, token_counts, token_files
 from gridloom.llm.common import table
 from gridloom.session import scratch_path
 
@@ -168,3 +168,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_quality_model")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.classified(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op7_jaccard_join")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.linked_groups(table(spark, sf, "documents"), width=3, percent=90)
