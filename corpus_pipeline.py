@@ -1,10 +1,65 @@
-"""From raw documents to token files: five stages, each written and read again."""
+"""From raw documents to token files: five stages, each written to Parquet and read again.
+
+``STAGES`` lists them in order. A stage takes ``(spark, docs, sf_dir)`` and returns all its
+predecessor's documents that it keeps, with the columns of ``documents``; the last returns one row
+per document written to the token files.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import decontamination, jaccard_join, mixing, quality_model, token_files
+from gridloom.llm.common import stored, table
+from gridloom.session import scratch_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on their labels, accepts."""
+    return quality_model.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by 5-word shingles at 0.8."""
+    return jaccard_join.one_of_each(docs, width=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources by weight; a document stands as often as it is taken."""
+    return mixing.mixed_documents(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token files and returns ``doc_id, start, n_tokens, ids_crc32`` read from them."""
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_copies", near_copies),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+    ("tokenize", tokenize),
+]
+
+# A trained classifier and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what lies between two stages is a Parquet table."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs, f"stage-{name}")
+    return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontamination, jaccard_join, mixing, quality_model, quality_rules, secret_scan, token_counts, token_files
+from gridloom.llm import decontamination, jaccard_join, licenses, mixing, quality_model, quality_rules, quote_links, secret_scan, token_counts, token_files
 from gridloom.llm.common import table
 from gridloom.session import scratch_path
 
@@ -173,3 +173,13 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_jaccard_join")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.linked_groups(table(spark, sf, "documents"), width=3, percent=90)
+
+
+@query("op1_quote_links")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return quote_links.linked_conversations(table(spark, sf, "conversations"))
+
+
+@query("op2_licenses")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf, "documents"))
