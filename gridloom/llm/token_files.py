@@ -31,12 +31,12 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from gridloom.llm.common import importable
 
 BLOCK = 65_536
-CHUNKS, WORDS = 800_000, 500_000
+CHUNKS, WORDS = 1_000_000, 800_000
 SCHEMA = (
     "shard int, chunk int, at long, n_ids int, kind string, crc long, planes array<binary>, doc_no array<long>, "
     "doc_id array<long>, doc_at array<long>, doc_ids array<long>, piece_ids array<int>"
@@ -75,6 +75,11 @@ class CachedEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        # The same for words that are in lower case and cut already.
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.normalizer = normalizers.Sequence([])
+        cut = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence(cut)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
@@ -89,20 +94,28 @@ class CachedEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, chunk: str) -> list[str]:
+        """The words of a chunk in lower case; the pattern is only needed beyond letters and one mark."""
+        if chunk.isalpha():
+            return [chunk.lower()]
+        if chunk[-1:] in {".", ",", ";", ":", "?", "!"} and chunk[:-1].isalpha():
+            return [chunk[:-1].lower(), chunk[-1]]
+        return self.words.findall(chunk.lower())
+
     def _learn(self, new: list[str]) -> None:
         """Encodes new chunks by the words in them; words not met before are encoded as one text.
 
         Each word ends in exactly one token marked as last, which cuts the ids of that text again.
         """
-        find, pieces = self.words.findall, self.pieces
-        plain = [(c, find(c.lower())) for c in new if c.isprintable() and not self.odd.search(c) and is_normalized("NFC", c)]
+        pieces = self.pieces
+        plain = [(c, self._words(c)) for c in new if c.isprintable() and not self.odd.search(c) and is_normalized("NFC", c)]
         fresh = list({p for _, own in plain for p in own}.difference(pieces))
         if len(pieces) + len(fresh) > WORDS:
             pieces.clear()
             fresh = list({p for _, own in plain for p in own})
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+        for i in range(0, len(fresh), 512):
+            part = fresh[i : i + 512]
+            ids = np.array(self.of_words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = (np.flatnonzero(self.last[ids]) + 1) * 4
             if len(ends) != len(part):
                 pieces.update(zip(part, self._ids(part)))
@@ -119,14 +132,16 @@ class CachedEncoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*chunks).difference(self.known)
+        met = set().union(*chunks)
+        new = met.difference(self.known)
         if len(self.known) + len(new) > CHUNKS:
-            self.known = {}
-            new = set().union(*chunks)
+            self.known, new = {}, met
         if new:
             self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, own)) for own in chunks]
+        # Looked up once per distinct chunk; the small table then stays in the processor's cache.
+        own = {c: self.known[c] for c in met}
+        get = own.__getitem__
+        return [b"".join(map(get, c)) for c in chunks]
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
@@ -149,7 +164,7 @@ def _schema_of(batch: list[dict]) -> pa.RecordBatch:
 
 
 def write_token_files(
-    docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, kind: str = "byte", block: int = BLOCK, level: int = 3,
+    docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, kind: str = "byte", block: int = BLOCK, level: int = 1,
     id: str = "doc_id", text: str = "text",
 ) -> None:
     """Encodes every text, appends ``end_id`` and writes the files, in ascending order of ``id``.
@@ -188,8 +203,8 @@ def write_token_files(
         first = 0
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(keys), 512):
-                for key, ids in zip(keys[i : i + 512], own.batch(texts.slice(i, 512).to_pylist())):
+            for i in range(0, len(keys), 256):
+                for key, ids in zip(keys[i : i + 256], own.batch(texts.slice(i, 256).to_pylist())):
                     ids += end
                     pending.append((doc_no, key, first, ids, 0))
                     doc_no, first, size = doc_no + 1, first + len(ids) // 4, size + len(ids)
@@ -218,7 +233,8 @@ def token_chunks(spark: SparkSession, path: str) -> DataFrame:
 def read_pieces(chunks: DataFrame, whole: bool | None = None) -> DataFrame:
     """The pieces of documents in each block: ``PIECES``. A damaged block is an error.
 
-    ``whole`` asks for only those pieces that are (or are not) whole documents.
+    ``whole`` asks for only those pieces that are (or are not) whole documents; the check is
+    left out for the latter, as both are read together.
     """
     importable(chunks.sparkSession)
     names = [field.split(" ")[0] for field in PIECES.split(", ")]
@@ -233,7 +249,7 @@ def read_pieces(chunks: DataFrame, whole: bool | None = None) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 raw = from_planes(row["planes"], row["n_ids"], row["kind"])
-                if zlib.crc32(raw) != row["crc"]:
+                if whole is not False and zlib.crc32(raw) != row["crc"]:
                     raise ValueError(f"block {row['chunk']} of file {row['shard']} is damaged")
                 a = 0
                 for no, key, at, n, own in zip(row["doc_no"], row["doc_id"], row["doc_at"], row["doc_ids"], row["piece_ids"]):
