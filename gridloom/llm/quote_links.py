@@ -45,7 +45,7 @@ def parsed_lines(messages: DataFrame) -> DataFrame:
     leveled = lines.select("c", "t", "m", "pos", level_of(F.col("raw")).alias("level"), F.regexp_replace("raw", MARKS, "").alias("line"))
     # A window is one message.
     order = Window.partitionBy("m").orderBy("pos")
-    blank = F.trim("line") == ""
+    blank = ~F.col("line").rlike(r"\S")
     fresh = F.when(blank | (F.lag("level").over(order) != F.col("level")) | F.lag("pos").over(order).isNull(), 1).otherwise(0)
     marked = leveled.withColumns({"blank": blank, "fresh": fresh, "next": F.lead("level").over(order)})
     lead_in = (F.col("level") == 0) & F.col("line").rlike(INTRODUCTION) & (F.coalesce("next", F.lit(0)) > 0)
@@ -130,7 +130,7 @@ def linked_conversations(conversations: DataFrame) -> DataFrame:
     ).select("m", F.concat_ws("\n", F.transform("kept", lambda k: k["line"])).alias("body"), "n_quotes", "max_level")
     rows = messages.join(own, "m", "left").join(links, "m", "left").join(trees, "m", "left").select(
         "conv_id", "turn", "role", "c", "t", "m",
-        F.trim(F.coalesce("body", "text", F.lit(""))).alias("body"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
+        F.regexp_replace(F.coalesce("body", "text", F.lit("")), r"^\s+|\s+$", "").alias("body"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
         F.coalesce("max_level", F.lit(0)).cast("int").alias("max_level"), F.col("parent_t").alias("reply_to"),
         F.coalesce("root_t", "t").alias("root_turn"), F.coalesce("root", "m").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
     )
