@@ -39,10 +39,6 @@ def granule_date(name: Column) -> Column:
     return F.to_date(F.try_to_timestamp(_group(name, ANY_DATE), F.lit("yyyyMMdd")))
 
 
-def base_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
-
-
 def glob_matches(name: Column, pattern: str) -> Column:
     """Shell-style name pattern with ``*`` and ``?``."""
     body = "".join({"*": ".*", "?": "."}.get(ch, re.escape(ch)) for ch in pattern)

@@ -18,10 +18,11 @@ def plain_name(geo_raw: Column) -> Column:
 def unify_variants(df: DataFrame, prefix: str = config.VARIANT_PREFIX, by: list[str] | None = None) -> DataFrame:
     """Spellings of one place that starts with ``prefix`` become one row: the largest volume.
 
-    Other rows pass through as they are; only the variants are grouped.
+    Other rows, those without a name too, pass through as they are; only the variants are grouped,
+    file by file where the rows name their file.
     """
-    by = PERIOD if by is None else by
-    variant = F.startswith(plain_name(F.col("geo_raw")), F.lit(prefix))
+    by = ([c for c in ("file",) if c in df.columns] + PERIOD) if by is None else by
+    variant = F.coalesce(F.startswith(plain_name(F.col("geo_raw")), F.lit(prefix)), F.lit(False))
     merged = (
         df.where(variant).groupBy(*by).agg(F.min("geo_raw").alias("geo_raw"), F.max("volume_mt").alias("volume_mt"))
     )

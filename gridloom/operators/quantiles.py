@@ -1,91 +1,51 @@
-"""Exact, linearly interpolated quantiles that do not gather a group in one place.
+"""Exact, linearly interpolated quantiles of any number of groups of any size.
 
-``percentile`` keeps every distinct value of a group in one buffer, which a group with a third
-of the table would overflow. Here a sketch first brackets each wanted quantile. Values outside
-the brackets only need counting and collapse before the shuffle; the few distinct values inside
-are counted and ranked. The sketch decides how much is ranked, never what the answer is.
+Rows collapse to counts of distinct ``(group, value)`` before the shuffle. These are ordered over all
+groups at once by range partitions, so neither a large group nor a large number of groups lands in
+one task or on the driver; a group's ranks follow from running counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
-SMALL_GROUP = 100_000
-MAX_GROUPS = 4096
+from gridloom.operators.ranking import prefix_sums
 
 
 def exact_quantiles(
     df: DataFrame, value: str, probabilities: dict[str, float], by: list[str] | None = None, totals: bool = False
 ) -> DataFrame:
-    """One row per group: ``by`` plus one column per named probability.
+    """One row per group: ``by`` plus one column per named probability. The input is read once.
 
-    ``totals`` adds ``count, mean, max`` of the group from the same pass.
-
-    Meant for few groups (regions, features, one group over everything); more than
-    ``MAX_GROUPS`` is an error, because then plain ``percentile`` is the better plan.
+    NULL is a group of its own; NULL values are left out. ``totals`` adds ``count, mean, max``.
     """
     by = by or []
-    named = sorted(probabilities.items(), key=lambda item: item[1])
-    # A group key that is never NULL lets the brackets be looked up in a map.
-    group = F.to_json(F.struct(*by)) if by else F.lit("")
-    v = F.col(value)
-    rows = df.where(v.isNotNull()).select(*by, v.alias("_v"), group.alias("_g"))
-
-    slack = 10 / ACCURACY
-    bounds = [p for _, prob in named for p in (max(prob - slack, 0.0), min(prob + slack, 1.0))]
-    sketch = rows.groupBy("_g").agg(
-        F.count("_v").alias("n"), F.percentile_approx("_v", bounds, ACCURACY).alias("q")
-    )
-    entry = F.when(F.col("n") > SMALL_GROUP, F.col("q"))
-    brackets = sketch.agg(
-        F.when(
-            F.count("_g") > MAX_GROUPS, F.raise_error(F.lit("too many groups for bracketed quantiles")).cast("map<string,array<double>>")
-        ).otherwise(F.map_from_entries(F.collect_list(F.struct("_g", entry.cast("array<double>")))))
-    ).scalar()
-
-    # slot 2i: strictly between brackets i-1 and i; slot 2i+1: inside bracket i.
-    q = F.col("_q")
-    slot: Column = F.lit(2 * len(named))
-    for i in reversed(range(len(named))):
-        slot = F.when(
-            F.col("_v") <= q[2 * i + 1], F.when(F.col("_v") >= q[2 * i], F.lit(2 * i + 1)).otherwise(F.lit(2 * i))
-        ).otherwise(slot)
-    slot = F.when(q.isNull(), F.lit(1)).otherwise(slot)
-    counted = (
-        rows.withColumn("_q", F.element_at(brackets, F.col("_g")))
-        .select(*by, "_g", slot.alias("_slot"), F.col("_v").alias("_raw"))
-        .select(*by, "_g", "_slot", "_raw", F.when(F.col("_slot") % 2 == 1, F.col("_raw")).alias("_v"))
-        .groupBy(*by, "_g", "_slot", "_v")
-        .agg(F.count(F.lit(1)).alias("c"), *([F.sum("_raw").alias("s"), F.max("_raw").alias("m")] if totals else []))
+    keys = [f"_g{i}" for i in range(max(len(by), 1))]
+    groups = [F.col(b).alias(k) for b, k in zip(by, keys)] or [F.lit(0).alias(keys[0])]
+    rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"))
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = prefix_sums(counts, [F.col(c) for c in (*keys, "_v")], {"_before": F.col("_c")})
+    sizes = ranked.groupBy(*[F.col(k).alias(f"_of{k}") for k in keys]).agg(
+        F.min("_before").alias("_base"), F.sum("_c").alias("_n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.max("_v").alias("max")
     )
-    order = Window.partitionBy("_g").orderBy("_slot", "_v")
-    upto = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumns({"_upto": upto, "_n": F.sum("c").over(Window.partitionBy("_g"))})
+    placed = ranked.join(sizes, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys])
+    first = F.col("_before") - F.col("_base")
 
     def at(rank: Column) -> Column:
-        hit = (F.col("_upto") - F.col("c") <= rank) & (rank < F.col("_upto"))
-        # A wanted rank outside every bracket would be a broken sketch guarantee.
-        found = F.coalesce(F.col("_v"), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-        return F.max(F.when(hit, found))
+        return F.max(F.when((first <= rank) & (rank < first + F.col("_c")), F.col("_v")))
 
-    parts, result, moments = [], [], []
+    parts, result = [], []
     if totals:
-        parts = [F.sum("c").alias("count"), (F.sum("s") / F.sum("c")).alias("mean"), F.max("m").alias("max")]
-        moments = ["count", "mean", "max"]
-    for name, prob in named:
+        parts = [F.first("_n").alias("count"), F.first("mean").alias("mean"), F.first("max").alias("max")]
+        result = [F.col(c) for c in ("count", "mean", "max")]
+    for name, prob in probabilities.items():
         position = F.round((F.col("_n") - 1) * F.lit(float(prob)), 9)
         low = F.floor(position)
-        parts += [
-            at(low).alias(f"{name}_lo"), at(F.ceil(position)).alias(f"{name}_hi"),
-            F.max(position - low).alias(f"{name}_w"),
-        ]
+        parts += [at(low).alias(f"{name}_lo"), at(F.ceil(position)).alias(f"{name}_hi"), F.max(position - low).alias(f"{name}_w")]
         lo, hi, w = F.col(f"{name}_lo"), F.col(f"{name}_hi"), F.col(f"{name}_w")
         result.append((lo + (hi - lo) * w).alias(name))
-    order_of = {name: i for i, name in enumerate(probabilities)}
-    result = [c for _, c in sorted(zip([n for n, _ in named], result), key=lambda item: order_of[item[0]])]
-    return ranked.groupBy(*by, "_g").agg(*parts).select(*by, *moments, *result)
+    return placed.groupBy(*keys).agg(*parts).select(*[F.col(k).alias(b) for b, k in zip(by, keys)], *result)
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probabilities: dict[str, float], key: str = "variable") -> DataFrame:

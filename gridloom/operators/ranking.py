@@ -41,8 +41,21 @@ def top_cells(df: DataFrame, value: str, n: int = 5) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows without replacement, the same ones for the same seed."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    """``n`` rows without replacement, the same ones for the same seed: those of the least hash of the key.
+
+    Counts per leading hash digits (a table of fixed size) tell from which prefix on rows are no longer
+    needed; only rows up to it are ordered, by range partitions, and cut at ``n``.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key], F.lit(str(seed)))
+    hashed = df.withColumn("_h", F.md5(text))
+    prefix = F.substring("_h", 1, 4)
+    counts = hashed.groupBy(prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    # At most 65,536 rows, so a window without a partition is bounded.
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = counts.select("_p", before.alias("_b")).where(F.col("_b") < n).agg(F.max("_p")).scalar()
+    near = hashed.where(prefix <= last)
+    ranked = prefix_sums(near, [F.col("_h"), *map(F.col, key)], {"_before": F.lit(1).cast("long")})
+    return ranked.where(F.col("_before") < n).select(*df.columns)
 
 
 def evenly_spaced(df: DataFrame, order: str, n: int, by: list[str]) -> DataFrame:

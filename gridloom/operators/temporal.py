@@ -38,6 +38,25 @@ def time_axes(df: DataFrame, by: str, time: str = "time") -> Column:
     return per.agg(F.map_from_entries(F.collect_list(F.struct(by, "axis")))).scalar()
 
 
+def _numbered(axis_from: DataFrame, by: list[str], time: str) -> DataFrame:
+    """``by, time, _at``: the steps of each axis, counted from 1. As long as the record has steps."""
+    order = Window.partitionBy(*by).orderBy(time)
+    steps = axis_from.select(*by, time).where(F.col(time).isNotNull()).distinct()
+    return steps.select(*[F.col(c).alias(f"_axis_{c}") for c in (*by, time)], F.row_number().over(order).cast("long").alias("_at"))
+
+
+def _on_axis(df: DataFrame, axis_from: DataFrame, by: list[str], time: str) -> DataFrame:
+    """Adds ``_at``, the step of each row; a row whose step is not on the axis is an error, not a loss.
+
+    The axis is broadcast: its rows are the time steps of the record (by variable), not observations.
+    """
+    steps = _numbered(axis_from, by, time)
+    placed = df.join(F.broadcast(steps), [F.col(c).eqNullSafe(F.col(f"_axis_{c}")) for c in (*by, time)], "left")
+    where = F.concat_ws(" ", F.lit("not on the time axis:"), *[F.col(c).cast("string") for c in (*by, time)])
+    checked = F.coalesce(F.col("_at"), F.raise_error(where).cast("long"))
+    return placed.withColumn("_at", checked).drop(*[f"_axis_{c}" for c in (*by, time)])
+
+
 def _step_days(df: DataFrame, time: str) -> DataFrame:
     """Days to the next time step, one row per step of the record."""
     following = F.lead(time).over(Window.orderBy(time))
@@ -75,11 +94,10 @@ def densify(
     of one left join on the cell instead of a join on (cell, time). ``axis_from`` names a cheaper
     table with the same time steps, such as the pixels that ``df`` was computed from.
     """
-    axis = time_axis(df if axis_from is None else axis_from, time)
+    steps_of_record = df if axis_from is None else axis_from
+    axis = time_axis(steps_of_record, time)
     cells = grid.cells(df.sparkSession)
-    placed = cells.join(df.select(*CELL, time, *values), CELL, "left").withColumn(
-        "_at", F.array_position(axis, F.col(time))
-    )
+    placed = cells.join(_on_axis(df.select(*CELL, time, *values), steps_of_record, [], time), CELL, "left")
     order = Window.partitionBy(*CELL).orderBy("_at")
     bounds = placed.withColumns(
         {
@@ -113,14 +131,13 @@ def gap_fill(
     through the two nearest values, runs longer than ``max_gap`` stay empty, and so do cells
     with a single value. ``filled`` tells the new rows apart. ``axis_from(by, time)`` lists the
     composites that exist; without it they are the times of the pixels, so a composite that is
-    clouded everywhere would not count as a step.
+    clouded everywhere would not count as a step. A variable or time that it does not list is an error.
     """
-    axis = F.element_at(time_axes(pixels if axis_from is None else axis_from, by, time), F.col(by))
-    valid = pixels.where(F.col(value).isNotNull()).repartition(*CELL)
+    steps_of_record = pixels if axis_from is None else axis_from
+    axis = F.element_at(time_axes(steps_of_record, by, time), F.col(by))
+    valid = _on_axis(pixels.where(F.col(value).isNotNull()), steps_of_record, [by], time).repartition(*CELL)
     series = Window.partitionBy(by, *CELL).orderBy(time)
-    here = F.struct(
-        F.array_position(axis, F.col(time)).alias("at"), seconds(pixels, time).alias("t"), F.col(value).alias("v")
-    )
+    here = F.struct(F.col("_at").alias("at"), seconds(pixels, time).alias("t"), F.col(value).alias("v"))
     linked = (
         valid.select(by, *CELL, time, value, here.alias("p"), F.size(axis).cast("long").alias("_last"))
         .withColumns({"_b": F.lag("p").over(series), "_n": F.lead("p").over(series)})

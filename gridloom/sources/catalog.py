@@ -36,11 +36,12 @@ def upsert(entries: DataFrame, sequence: str = "seq", keys: list[str] | None = N
     return latest.select(*keys, sequence, "_row.*")
 
 
-def append_manifest(manifest: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Appends rows; a repeated key keeps the new row (the last of them if ``new`` repeats it)."""
-    order = "_seq"
-    old = manifest.withColumn(order, F.lit(-1).cast("long"))
-    added = new.withColumn(order, F.monotonically_increasing_id())
+def append_manifest(manifest: DataFrame, new: DataFrame, sequence: str, keys: list[str] | None = None) -> DataFrame:
+    """Appends rows; a repeated key keeps the new row, of several the last by ``sequence``, a column of ``new``."""
+    order = "_order"
+    place = lambda added, c: F.struct(F.lit(added).alias("added"), c.cast("long").alias("at"))
+    old = manifest.withColumn(order, place(0, F.lit(0)))
+    added = new.withColumn(order, place(1, F.col(sequence))).drop(sequence)
     return upsert(old.unionByName(added, allowMissingColumns=True), order, keys).drop(order)
 
 

@@ -130,9 +130,9 @@ def test_feature_resolution():
 def test_manifest_upsert_is_idempotent(spark, tmp_path):
     empty = catalog.load_manifest(spark, str(tmp_path / "none"))
     new = spark.createDataFrame([("s", "g1", 5), ("s", "g2", 6), ("s", "g1", 7)], "short_name string, granule_name string, size_bytes bigint").coalesce(1)
-    once = catalog.append_manifest(empty, new)
+    once = catalog.append_manifest(empty, new.withColumn("seq", F.monotonically_increasing_id()), "seq")
     assert {(r.granule_name, r.size_bytes) for r in once.collect()} == {("g1", 7), ("g2", 6)}
-    assert sorted(map(str, catalog.append_manifest(once, once).collect())) == sorted(map(str, once.collect()))
+    assert sorted(map(str, catalog.append_manifest(once, once.withColumn("seq", F.lit(0)), "seq").collect())) == sorted(map(str, once.collect()))
 
 
 def test_catch_files(spark, tmp_path):
