@@ -29,6 +29,7 @@ from gridloom.llm.components import component_labels
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SLICE = 256
 BLOCK = 256
+SKETCH = 64
 HUB_ROUNDS = 2
 # Ids are broadcast to filter documents up to this many (8 bytes each); beyond, they are joined.
 BROADCAST_IDS = 1_000_000
@@ -81,8 +82,9 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
 class Bands:
     """Size bands for a threshold of ``percent``: lower ends, segments and spare segments of each tag.
 
-    Tag ``j`` joins the bands ``j - 1`` and ``j``. With ``spare`` segments more than differences plus
-    one, a set with no more than ``spare`` empty segments still shares a filled one.
+    Tag ``j`` joins the bands ``j - 1`` and ``j``. Segments of no or one shingle say little: many sets
+    share them. With ``spare`` segments more than differences plus one, a set with no more than
+    ``spare`` of those still shares a richer one, so only sets with more of them need them as tiles.
     """
 
     def __init__(self, percent: int):
@@ -95,7 +97,8 @@ class Bands:
             high = self.low[band] * 100 // self.percent
             differences = 2 * high * (100 - self.percent) // (100 + self.percent)
             least = self.low[band - 1] if band > 1 else 1
-            spare = 1 + int(2 * (differences + 1) * np.exp(-least / (differences + 1))) if differences else 0
+            mean = least / (differences + 1)
+            spare = 1 + int(1.5 * (differences + 1) * (1 + mean) * np.exp(-mean)) if differences else 0
             self.segments[band], self.spare[band] = differences + 1 + spare, spare
             self.low.append(high + 1)
             self.segments.append(1)
@@ -119,11 +122,15 @@ def tile_rows(hashes: np.ndarray, begins: np.ndarray, bands: Bands) -> tuple[np.
         if len(element):
             first = np.flatnonzero(np.concatenate(([True], (element[1:] != element[:-1]) | (segment[1:] != segment[:-1]))))
             own = element[first]
+            rich = np.diff(np.append(first, len(element))) > 1
+            poor = (sizes > 0) & (count - np.bincount(own[rich], minlength=len(sizes)) > spare[tag])
             total = np.add.reduceat(content, first)
-            keys.append(mixed(total + mixed(tag[own].astype(np.uint64) * _M[4] + segment[first])))
-            owners.append(own)
+            key = mixed(total + mixed(tag[own].astype(np.uint64) * _M[4] + segment[first]))
+            used = rich | poor[own]
+            keys.append(key[used])
+            owners.append(own[used])
             filled = np.bincount(own, minlength=len(sizes))
-            for d in np.flatnonzero((sizes > 0) & (count - filled > spare[tag])):
+            for d in np.flatnonzero(poor & (count > filled)):
                 empty = np.setdiff1d(np.arange(count[d], dtype=np.uint64), segment[begins[d] : begins[d + 1]])
                 keys.append(mixed(mixed(np.full(len(empty), tag[d], dtype=np.uint64) * _M[4] + empty)))
                 owners.append(np.full(len(empty), d))
@@ -192,25 +199,27 @@ def tile_members(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def set_cards(docs: DataFrame, width: int) -> DataFrame:
-    """``node, n, bitmap, hashes`` of each row."""
+    """``node, n, bitmap, hashes`` of each row, and ``sketch``, the bitmap folded to ``SKETCH`` bytes."""
 
     def cards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, hashes, begins in _slices(batches, width):
             own = [hashes[a:b] for a, b in zip(begins, begins[1:])]
+            maps = [parity_bitmap(h) for h in own]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(np.diff(begins), pa.int64()), pa.array([parity_bitmap(h) for h in own], pa.binary()), pa.array([h.tobytes() for h in own], pa.binary())],
-                names=["node", "n", "bitmap", "hashes"],
+                [ids, pa.array(np.diff(begins), pa.int64()), pa.array(maps, pa.binary()),
+                 pa.array([folded(m, SKETCH).tobytes() for m in maps], pa.binary()), pa.array([h.tobytes() for h in own], pa.binary())],
+                names=["node", "n", "bitmap", "sketch", "hashes"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(cards, "node long, n long, bitmap binary, hashes binary")
+    return docs.select("doc_id", "text").mapInArrow(cards, "node long, n long, bitmap binary, sketch binary, hashes binary")
 
 
 def _of(cards: DataFrame, side: str, columns: list[str]) -> DataFrame:
     return cards.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
 
 
-def verified(pairs: DataFrame, cards: DataFrame, percent: int, bounded: bool = False) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes that link. ``bounded`` pairs have passed the bound already."""
+def verified(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes that link: the bound first, the sorted arrays for what passes."""
 
     def room(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -228,10 +237,9 @@ def verified(pairs: DataFrame, cards: DataFrame, percent: int, bounded: bool = F
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield p.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-    if not bounded:
-        light = ["n", "bitmap"]
-        pairs = pairs.join(_of(cards, "a", light), "a").join(_of(cards, "b", light), "b").mapInPandas(room, "a long, b long")
-        pairs = stored(pairs, "bounded-pairs")
+    light = ["n", "bitmap"]
+    pairs = pairs.join(_of(cards, "a", light), "a").join(_of(cards, "b", light), "b").mapInPandas(room, "a long, b long")
+    pairs = stored(pairs, "bounded-pairs")
     return pairs.join(_of(cards, "a", ["hashes"]), "a").join(_of(cards, "b", ["hashes"]), "b").mapInPandas(exact, "a long, b long")
 
 
@@ -251,24 +259,21 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _block_pairs(open_rows: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a tile that pass the bound, each from the first tile they share.
+    """Distinct pairs of different components in a tile that pass the bound, on bitmaps folded to one length.
 
     A tile of many nodes is cut into blocks, and each pair of blocks is a group of its own.
     """
-    keys = open_rows.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     spread = open_rows.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = spread.join(keys, "node").join(cards.select("node", "n", "bitmap"), "node").select(
-        "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "comp", "n", "bitmap", "keys"
+    rows = spread.join(cards.select("node", "n", "sketch"), "node").select(
+        "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "comp", "n", "sketch"
     )
 
     def compare(group: pd.DataFrame) -> list[tuple[int, int]]:
-        key, lo, hi = int(group["key"].iloc[0]), group["lo"].iloc[0], group["hi"].iloc[0]
+        lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
         node, comp, n, mine = (group[c].to_numpy() for c in ("node", "comp", "n", "mine"))
-        size = min(map(len, group["bitmap"]))
-        maps = np.stack([folded(b, size) for b in group["bitmap"]])
-        own = [set(k) for k in group["keys"]]
+        maps = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(len(node), -1)
         found = []
         for i in range(len(node) - 1):
             later = slice(i + 1, None)
@@ -279,7 +284,7 @@ def _block_pairs(open_rows: DataFrame, cards: DataFrame, percent: int) -> DataFr
             if len(at):
                 differ = np.bitwise_count(maps[at] ^ maps[i]).sum(axis=1, dtype=np.int64)
                 at = at[(100 + percent) * differ <= (n[at] + n[i]) * (100 - percent)]
-            found += [(min(node[i], node[j]), max(node[i], node[j])) for j in at.tolist() if min(own[i] & own[j]) == key]
+            found += [(min(node[i], node[j]), max(node[i], node[j])) for j in at.tolist()]
         return found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,7 +299,7 @@ def _block_pairs(open_rows: DataFrame, cards: DataFrame, percent: int) -> DataFr
         if held is not None and len(held):
             yield pd.DataFrame(compare(held), columns=["a", "b"], dtype="int64")
 
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(run, "a long, b long")
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(run, "a long, b long").distinct()
 
 
 def linked_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -326,9 +331,10 @@ def linked_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
         checked = checked.unionByName(pairs)
         links = links.unionByName(stored(verified(pairs, cards, percent), "hub-links"))
         labels = component_labels(links)
-        open_rows = stored(_open_members(members, labels), "open-tiles")
+        # A tile in one component stays in one.
+        open_rows = stored(_open_members(open_rows.select("key", "node"), labels), "open-tiles")
     rest = stored(_block_pairs(open_rows, cards, percent).join(checked, ["a", "b"], "left_anti"), "block-pairs")
-    links = links.unionByName(stored(verified(rest, cards, percent, bounded=True), "block-links"))
+    links = links.unionByName(stored(verified(rest, cards, percent), "block-links"))
     # Rows that share an id but not a set are joined through that id.
     labels = component_labels(links.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     return summaries.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(

@@ -36,7 +36,7 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 from gridloom.llm.common import importable
 
 BLOCK = 65_536
-CHUNKS, WORDS = 1_000_000, 800_000
+CHUNKS, WORDS = 500_000, 500_000
 SCHEMA = (
     "shard int, chunk int, at long, n_ids int, kind string, crc long, planes array<binary>, doc_no array<long>, "
     "doc_id array<long>, doc_at array<long>, doc_ids array<long>, piece_ids array<int>"
