@@ -36,7 +36,8 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 from gridloom.llm.common import importable
 
 BLOCK = 65_536
-CHUNKS, WORDS = 500_000, 500_000
+# Entries a worker keeps: chunks met in two batches, chunks met in one, words.
+OFTEN, ONCE, WORDS = 500_000, 300_000, 300_000
 SCHEMA = (
     "shard int, chunk int, at long, n_ids int, kind string, crc long, planes array<binary>, doc_no array<long>, "
     "doc_id array<long>, doc_at array<long>, doc_ids array<long>, piece_ids array<int>"
@@ -59,11 +60,14 @@ def from_planes(planes: list[bytes], n_ids: int, kind: str) -> bytes:
     """The ids of a block again."""
     size = (n_ids + 7) // 8 if kind == "bit" else n_ids
     spread = zstandard.ZstdDecompressor().decompress
-    rows = np.frombuffer(b"".join(spread(p, max_output_size=max(size, 1)) for p in planes), dtype=np.uint8).reshape(len(planes), size)
+    rows = [np.frombuffer(spread(p, max_output_size=max(size, 1)), dtype=np.uint8) for p in planes]
     if kind == "bit":
-        bits = np.unpackbits(rows, axis=1, bitorder="little")[:, :n_ids]
+        bits = np.unpackbits(np.stack(rows), axis=1, bitorder="little")[:, :n_ids]
         return np.packbits(bits.T, axis=1, bitorder="little").tobytes()
-    return rows.T.tobytes()
+    out = np.empty((n_ids, len(rows)), dtype=np.uint8)
+    for k, row in enumerate(rows):
+        out[:, k] = row
+    return out.tobytes()
 
 
 class CachedEncoder:
@@ -89,7 +93,9 @@ class CachedEncoder:
         # Special strings, and letters whose lower case depends on context, are left to the tokenizer.
         self.odd = regex.compile(r"<\||[\u0130\u03a3]")
         self.pieces: dict[str, bytes] = {}
+        # Chunks met again are kept; those met once make room for others.
         self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -108,7 +114,10 @@ class CachedEncoder:
         Each word ends in exactly one token marked as last, which cuts the ids of that text again.
         """
         pieces = self.pieces
-        plain = [(c, self._words(c)) for c in new if c.isprintable() and not self.odd.search(c) and is_normalized("NFC", c)]
+        plain = [
+            (c, self._words(c)) for c in new
+            if c.isprintable() and ("<|" not in c if c.isascii() else not self.odd.search(c) and is_normalized("NFC", c))
+        ]
         fresh = list({p for _, own in plain for p in own}.difference(pieces))
         if len(pieces) + len(fresh) > WORDS:
             pieces.clear()
@@ -124,7 +133,7 @@ class CachedEncoder:
             for p, b in zip(part, ends.tolist()):
                 pieces[p] = raw[a:b]
                 a = b
-        known, get = self.known, pieces.__getitem__
+        known, get = self.young, pieces.__getitem__
         for c, own in plain:
             known[c] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
         rest = [c for c in new if c not in known]
@@ -133,13 +142,18 @@ class CachedEncoder:
     def batch(self, texts: list[str]) -> list[bytes]:
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
         met = set().union(*chunks)
-        new = met.difference(self.known)
-        if len(self.known) + len(new) > CHUNKS:
-            self.known, new = {}, met
+        if len(self.known) > OFTEN:
+            self.known = {}
+        if len(self.young) > ONCE:
+            self.young = {}
+        fresh = met.difference(self.known)
+        for c in self.young.keys() & fresh:
+            self.known[c] = self.young.pop(c)
+        new = fresh.difference(self.known)
         if new:
             self._learn(list(new))
         # Looked up once per distinct chunk; the small table then stays in the processor's cache.
-        own = {c: self.known[c] for c in met}
+        own = {c: self.known[c] for c in met.difference(new)} | {c: self.young[c] for c in new}
         get = own.__getitem__
         return [b"".join(map(get, c)) for c in chunks]
 
