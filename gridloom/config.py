@@ -136,7 +136,7 @@ CATCH_COLUMNS = ("fma", "species", "year", "quarter", "volume_mt", "lat", "lon")
 
 # Learner settings.
 BOOSTED_TREES = {"trees": 300, "depth": 6, "rate": 0.05, "rows": 0.8, "columns": 0.8, "seed": 42}
-BOOSTED_TREES_STUDY = {"trees": 1000, "patience": 50}
+BOOSTED_TREES_STUDY = {"trees": 1000}
 FOREST = {"trees": 200, "depth": 22, "min_leaf": 5, "seed": 42}
 RIDGE_ALPHA = 1.0
 LOGISTIC_ITERATIONS = 2000

@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from gridloom import config
 from gridloom.functions import scores
@@ -79,8 +80,15 @@ def predict(bundle: Bundle, frame: DataFrame) -> DataFrame:
 
 
 def importances(bundle: Bundle, spark: SparkSession, top: int | None = None) -> DataFrame:
-    """Features that the trees used, most important first (one row per feature)."""
-    weights = bundle.model.stages[-1].featureImportances
+    """Features that the model used, most important first (one row per feature).
+
+    Trees weigh by impurity; for linear models it is the share of the absolute coefficient, on
+    standardised inputs.
+    """
+    model = bundle.model.stages[-1]
+    weights = model.featureImportances if hasattr(model, "featureImportances") else abs(model.coefficients.toArray())
+    total = sum(weights) or 1.0
+    weights = [w / total for w in weights]
     rows = [(f, float(weights[i])) for i, f in enumerate(bundle.features)]
     table = spark.createDataFrame(rows, "feature string, importance double").where(F.col("importance") > 0)
     ordered = table.orderBy(F.desc("importance"), "feature")
@@ -193,16 +201,20 @@ def report_table(spark: SparkSession, bundles: list[Bundle]) -> DataFrame:
     )
 
 
+def _saved(spark: SparkSession, path: str) -> bool:
+    try:
+        return bool(spark.read.parquet(f"{path}/report").columns)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return False
+
+
 def save_bundle(bundle: Bundle, path: str, spark: SparkSession, force: bool = False) -> bool:
     """Model, medians and report under ``path``; skipped when present unless forced."""
     table = report_table(spark, [bundle])
-    if not force:
-        try:
-            spark.read.parquet(f"{path}/report").schema
-            return False
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+    if not force and _saved(spark, path):
+        return False
     bundle.model.write().overwrite().save(f"{path}/model")
     spark.createDataFrame(list(bundle.medians.items()), "feature string, median double").write.mode("overwrite").parquet(f"{path}/medians")
     table.write.mode("overwrite").parquet(f"{path}/report")
@@ -291,3 +303,65 @@ def compare_classifiers(
             rows.unpersist()
     columns = ", ".join(f"{m} double" for m in CLASS_MEASURES)
     return matrix.sparkSession.createDataFrame(parts, f"species string, algorithm string, window string, {columns}")
+
+
+REGRESSION_MEASURES = ("rmse", "mae", "r2")
+
+
+def unified_study(
+    matrix: DataFrame, species: list[str], learners: list[str], catches: DataFrame | None = None,
+    policy: str = "prefer_catch", requested: list[str] | None = None, splits=None, settings: dict | None = None,
+    positive_ratio: float = 0.5,
+) -> DataFrame:
+    """One row per species and learner: a classifier and a regressor on the same rows and splits.
+
+    ``threshold`` separates hot spots on the training rows; class, rank and regression measures come
+    for the validation window (``_val``) and the holdout (``_hold``); ``train_s`` covers both fits.
+    """
+    parts = []
+    for code in species:
+        ready = prepare(matrix, code, catches, policy, requested, splits)
+        rows = datasets.hotspot_labels(ready.rows, positive_ratio).persist()
+        try:
+            facts = rows.agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in ("train", "val", "test")], F.max("threshold").alias("threshold")).first()
+            n_train = facts["train"] or 1
+            for name in learners:
+                options, started = (settings or {}).get(name, {}), clock.perf_counter()
+                if name == "NoSkill":
+                    sorter, values = None, rows.withColumn("prediction", F.lit(rows.where("train").agg(F.avg("y")).first()[0]))
+                else:
+                    sorter = _fit_with_early_stop(name, ready.features, rows, n_train, classify=True, **options)
+                    values = _fit_with_early_stop(name, ready.features, rows, n_train, **options).transform(rows)
+                seconds = clock.perf_counter() - started
+                columns = ["iy", "ix", "time", "val", "test", "y", "y_bin", "predicted", "score"]
+                scored = _score_classes(sorter, rows).where("val OR test").select(*columns).persist()
+                try:
+                    found = [m for w in ("val", "test") for m in (*_class_measures(scored.where(F.col(w))), *split_metrics(values, w).values())]
+                finally:
+                    scored.unpersist()
+                parts.append((code, name, ready.label_kind, facts["threshold"], facts["train"], facts["val"], facts["test"], *found, seconds))
+        finally:
+            rows.unpersist()
+    measures = ", ".join(f"{m}_{w} double" for w in ("val", "hold") for m in (*CLASS_MEASURES, *REGRESSION_MEASURES))
+    return matrix.sparkSession.createDataFrame(
+        parts, f"species string, algorithm string, label_kind string, threshold double, n_train long, n_val long, n_holdout long, {measures}, train_s double"
+    )
+
+
+def train_all(
+    matrix: DataFrame, species: list[str], path: str, catches: DataFrame | None = None, policy: str = "prefer_catch",
+    requested: list[str] | None = None, splits=None, learner: str = "GBT", force: bool = False, **settings,
+) -> DataFrame:
+    """Trains and saves every species under ``path/<code>``; those already there are loaded unless forced.
+
+    The report table of all of them, with ``fitted`` telling which were trained now.
+    """
+    spark, bundles, fitted = matrix.sparkSession, [], []
+    for code in species:
+        if not force and _saved(spark, f"{path}/{code}"):
+            bundles.append(load_bundle(spark, f"{path}/{code}"))
+            continue
+        bundles.append(train(matrix, code, catches, policy, requested, splits, learner, **settings))
+        save_bundle(bundles[-1], f"{path}/{code}", spark, force=True)
+        fitted.append(code)
+    return report_table(spark, bundles).withColumn("fitted", F.col("species").isin(fitted))

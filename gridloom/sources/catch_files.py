@@ -38,6 +38,15 @@ def load_centroids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path).withColumnRenamed("psa_name", "geo")
 
 
+AREA_SCHEMA = "areas map<string, struct<name:string, provinces:array<struct<name:string, note:string>>>>"
+
+
+def load_area_map(spark: SparkSession, path: str) -> DataFrame:
+    """The nested map ``area -> (name, provinces)`` of a JSON file as ``(geo, fma)``, one row per place."""
+    areas = spark.read.schema(AREA_SCHEMA).option("multiLine", "true").json(path).select(F.explode("areas").alias("fma", "area"))
+    return areas.select(F.explode("area.provinces.name").alias("geo"), F.col("fma").cast("int").alias("fma"))
+
+
 def area_map(spark: SparkSession, areas: dict[int, list[str]]) -> DataFrame:
     """Management area -> place names, flattened to ``(geo, fma)``."""
     rows = [(int(fma), list(places)) for fma, places in areas.items()]

@@ -23,7 +23,8 @@ def read_observations(
     """Pixels ``(time, lat, lon, value)`` of one variable.
 
     The table is partitioned by ``variable, year``: both filters prune folders, the box prunes
-    row groups. Unreadable files are skipped; with ``required`` an empty result is an error.
+    row groups. Unreadable files are skipped, ``skipped_files`` names them; with ``required`` an empty
+    result is an error.
     """
     df = standardize(spark.read.option("ignoreCorruptFiles", "true").parquet(path))
     missing = {"variable", "time", "lat", "lon", "value"} - set(df.columns)
@@ -39,6 +40,15 @@ def read_observations(
     return picked.select("time", "lat", "lon", scores.nan_to_null(F.col("value").cast("double")).alias("value"))
 
 
+def skipped_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` of every Parquet file below ``path`` that yields no row, as a damaged one does."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "%20", " "), "^file:/+", "/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    rows = spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+    read = rows.select(plain(F.col("_metadata.file_path")).alias("file")).distinct()
+    return found.select(plain(F.col("path")).alias("file")).join(read, "file", "left_anti")
+
+
 def with_granule_time(df: DataFrame, name: Column, modified: Column | None = None) -> DataFrame:
     """Composite time from the granule name, else the file's own time.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,9 +11,11 @@ from gridloom.sources.catalog import GRANULE_KEY
 COMPOSITE = "8 days"
 
 
-def granule_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
-    """New files of a folder; the checkpoint remembers which have been read."""
+def granule_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, pattern: str | None = None) -> DataFrame:
+    """New files of a folder (of those that match ``pattern``); the checkpoint remembers which have been read."""
     reader = spark.readStream.schema(schema)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
@@ -36,6 +38,22 @@ def first_per_key(granules: DataFrame, time: str = "start_time", late: str | Non
     return _watermarked(granules, time, late).dropDuplicatesWithinWatermark(GRANULE_KEY)
 
 
+def calendar_window(time) -> Column:
+    """First day of the product's 8-day window, which starts anew on 1 January."""
+    first = F.trunc(time, "year")
+    return F.date_add(first, F.floor(F.date_diff(F.to_date(time), first) / 8).cast("int") * 8).cast("timestamp")
+
+
+def calendar_composite(observations: DataFrame, keys: list[str], value: str = "value", time: str = "ts", late: str = COMPOSITE) -> DataFrame:
+    """Mean per cell and calendar window, so that windows line up with granule times.
+
+    A stream emits a window once one that begins ``late`` after it has been seen.
+    """
+    placed = observations.withColumn("window_start", calendar_window(F.col(time)))
+    timed = placed.withWatermark("window_start", late) if observations.isStreaming else placed
+    return timed.groupBy("window_start", *keys).agg(F.avg(value).alias(value), F.count(value).alias("n"))
+
+
 def composite(observations: DataFrame, keys: list[str], value: str = "value", time: str = "ts", late: str = COMPOSITE) -> DataFrame:
     """Mean per cell and 8-day window of whatever was observed; a stream waits ``late`` for stragglers.
 

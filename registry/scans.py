@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import geo, names
 from gridloom.operators import catches as catch_ops
 from gridloom.operators import ranking, temporal
+from gridloom.operators.datasets import resolve_features as resolve
 from gridloom.operators.grid import land_points, mask_land, with_land_mask
 from gridloom.plans.forecasts import export_table, forecast
 from gridloom.session import scratch_path
@@ -135,7 +136,8 @@ def even_sample(spark, sf):
     return ranking.evenly_spaced(files, "granule_name", 7, ["short_name"])
 
 
-@query("seeded_sample")
+@query("seeded_sample", sql_over("obs", """SELECT iy, ix, CAST(time AS VARCHAR) AS time, round(sst, 6) AS sst FROM obs
+    ORDER BY md5(concat_ws('|', iy, ix, CAST(time AS VARCHAR), '42')), iy, ix, time LIMIT 1000"""))
 def seeded_sample(spark, sf):
     return ranking.seeded_sample(t.obs(spark, sf).select("iy", "ix", "time", "sst"), ["iy", "ix", "time"], 1000)
 
@@ -193,7 +195,7 @@ def time_options(spark, sf):
 @query("stream_ingest_dedupe", sql_over("granules", "SELECT DISTINCT short_name, granule_name FROM granules"))
 def stream_ingest_dedupe(spark, sf):
     schema = t.read(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = ingest.granule_stream(spark, sf, schema, pattern="events.parquet")
     fresh = ingest.first_per_key(t.granule_columns(stream)).select("short_name", "granule_name")
     out = scratch_path(spark, "ingest")
     ingest.run_available(fresh, f"{out}/rows", f"{out}/checkpoint")
@@ -205,3 +207,77 @@ def stream_ingest_dedupe(spark, sf):
 def composite_8day(spark, sf):
     points = t.read(spark, sf, "events").select("ts", F.col("user_id").alias("cell"), "value")
     return ingest.composite(points, ["cell"])
+
+
+_WINDOW = "date_trunc('year', ts) + to_days(CAST(8 * (date_diff('day', CAST(date_trunc('year', ts) AS DATE), CAST(ts AS DATE)) // 8) AS INTEGER))"
+
+
+@query("composite_calendar", f"""SELECT strftime({_WINDOW}, '%Y-%m-%d %H:%M:%S') AS window_start, user_id AS cell, round(avg(value), 6) AS value, count(value) AS n FROM events GROUP BY 1, 2""")
+def composite_calendar(spark, sf):
+    points = t.read(spark, sf, "events").select("ts", F.col("user_id").alias("cell"), "value")
+    return ingest.calendar_composite(points, ["cell"])
+
+
+@query("stream_composite", f"""WITH w AS (SELECT {_WINDOW} AS window_start, user_id, value FROM events)
+    SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, user_id AS cell, round(avg(value), 6) AS value, count(value) AS n FROM w
+    WHERE window_start <= (SELECT max(window_start) FROM w) - INTERVAL 8 DAYS GROUP BY 1, 2""")
+def stream_composite(spark, sf):
+    """Events, laid out as several files in time order, run as a stream to its end: the windows that have closed."""
+    events = t.read(spark, sf, "events").select("ts", F.col("user_id").alias("cell"), "value")
+    out = scratch_path(spark, "composites")
+    events.repartitionByRange(4, "ts").write.parquet(f"{out}/source")
+    stream = ingest.granule_stream(spark, f"{out}/source", events.schema, files_per_trigger=2)
+    closed = ingest.calendar_composite(stream, ["cell"])
+    ingest.run_available(closed, f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.schema(closed.schema).parquet(f"{out}/rows")
+
+
+@query("scan_renamed", sql_over("obs", "SELECT lat, lon, CAST(time AS VARCHAR) AS time, round(sst, 6) AS sst, round(chl, 6) AS chl, round(par, 6) AS par, round(kd490, 6) AS kd490 FROM obs"))
+def scan_renamed(spark, sf):
+    path = scratch_path(spark, "renamed")
+    raw = {"lat": "latitude", "lon": "longitude", "chl": "chlor_a", "kd490": "Kd_490"}
+    t.obs(spark, sf).select("lat", "lon", "time", "sst", "chl", "par", "kd490").withColumnsRenamed(raw).write.parquet(path)
+    return observations.standardize(spark.read.parquet(path)).select("lat", "lon", "time", "sst", "chl", "par", "kd490")
+
+
+@query("area_lookup", sql_over("areas", "SELECT geo, CAST(fma AS INTEGER) AS fma FROM areas"))
+def area_lookup(spark, sf):
+    path = scratch_path(spark, "areas")
+    province = F.struct(F.col("geo").alias("name"), F.lit(None).cast("string").alias("note"))
+    areas = t.areas(spark, sf).groupBy("fma").agg(F.struct(F.concat(F.lit("area "), "fma").alias("name"), F.collect_list(province).alias("provinces")).alias("area"))
+    # One nested value, as the look-up file holds it: as many entries as there are areas.
+    areas.agg(F.map_from_entries(F.collect_list(F.struct(F.col("fma").cast("int"), "area"))).alias("areas")).write.json(path)
+    return catch_files.load_area_map(spark, path)
+
+
+@query("centroid_scan", sql_over("centroids", "SELECT geo, round(lat, 6) AS lat, round(lon, 6) AS lon FROM centroids"))
+def centroid_scan(spark, sf):
+    path = scratch_path(spark, "centroids")
+    blank = lambda c: F.lit("").alias(c)
+    t.centroids(spark, sf).select(F.col("geo").alias("psa_name"), blank("adm_name"), blank("region"), "lat", "lon", blank("source")).write.option("header", True).csv(path)
+    return catch_files.load_centroids(spark, path).select("geo", "lat", "lon")
+
+
+@query("manifest_append", sql_over("granules", """SELECT short_name, granule_name, size_bytes, cloud_cover FROM granules
+    QUALIFY row_number() OVER (PARTITION BY short_name, granule_name ORDER BY seq % 3 = 0, CASE WHEN seq % 3 = 0 THEN seq ELSE -seq END DESC) = 1"""))
+def manifest_append(spark, sf):
+    """Two thirds of the entries are appended to a manifest of the others, in falling order of ``seq``."""
+    columns = ["short_name", "granule_name", "size_bytes", "cloud_cover"]
+    g = t.granules(spark, sf)
+    manifest = catalog.upsert(g.where("seq % 3 = 0")).select(*columns)
+    new = g.where("seq % 3 <> 0").select(*columns, (-F.col("seq")).alias("arrival"))
+    return catalog.append_manifest(manifest, new, "arrival").select(*columns)
+
+
+@query("bathy_scan", sql_over("bathy", "SELECT lat, lon, depth::FLOAT::DOUBLE AS depth FROM bathy WHERE lat BETWEEN 5 AND 12 AND lon BETWEEN 117 AND 121"))
+def bathy_scan(spark, sf):
+    path = scratch_path(spark, "bathymetry")
+    t.bathy(spark, sf).select(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "depth").write.parquet(path)
+    return observations.read_bathymetry(spark, path, BOX)
+
+
+@query("resolve_features", sql_over("matrix", "SELECT iy, ix, CAST(time AS VARCHAR) AS time, round(sst, 6) AS sst, round(kd490, 6) AS kd490, depth FROM matrix"))
+def resolve_features(spark, sf):
+    matrix = t.matrix(spark, sf)
+    names = resolve(matrix.columns, ["sst", "sst_anomaly", "kd490", "depth"])
+    return matrix.select("iy", "ix", "time", *names)

@@ -12,7 +12,7 @@ from gridloom.plans import features
 from registry import tables as t
 from registry.base import query
 from registry.space import FRONT, _disk_sql
-from registry.tables import habitat_sql, sql_over
+from registry.tables import SQL_TABLES, habitat_sql, sql_over
 
 DAY = "CAST(time AS VARCHAR) AS time"
 WIDE = ["sst", "chl", "par", "kd490"]
@@ -32,6 +32,16 @@ def gap_fill(spark, sf):
     return temporal.gap_fill(t.pixels(spark, sf))
 
 
+CATALOGUE = SQL_TABLES["filled"][1].replace("(SELECT DISTINCT variable, time FROM pixels) a", "(SELECT variable, time FROM (SELECT DISTINCT variable FROM pixels) CROSS JOIN (SELECT time FROM axis)) a")
+
+
+@query("gap_fill_catalogue", sql_over("pixels grid axis", f"SELECT variable, iy, ix, {DAY}, round(value, 6) + 0.0::DOUBLE AS value, filled FROM ({CATALOGUE})"))
+def gap_fill_catalogue(spark, sf):
+    """Steps counted on the composites of the catalogue, also those where a variable has no pixel at all."""
+    composites = t.obs(spark, sf).select("time", F.explode(F.array(*[F.lit(v) for v in WIDE])).alias("variable")).distinct()
+    return temporal.gap_fill(t.pixels(spark, sf), axis_from=composites)
+
+
 @query("long_gap_mask", sql_over("dense", f"""SELECT iy, ix, {DAY}, chl IS NULL AND sum(CASE WHEN chl IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY iy, ix, rid) > 4 AS long_gap
     FROM (SELECT *, count(chl) OVER (PARTITION BY iy, ix ORDER BY time) AS rid FROM dense)"""))
 def long_gap_mask(spark, sf):
@@ -100,10 +110,8 @@ def long_matrix(spark, sf):
     return cube.to_matrix(mask_land(cube.with_static(wide, t.bathy(spark, sf))))
 
 
-def _lag_join(var: str, km: int) -> str:
-    return f"coalesce(f.{var}, l{km}_{var}.m)"
-
-
+LAGGED = [(v, km) for v in config.LAG_VARIABLES for km in t.RADII_KM]
+ROLLED = [f"{v}_roll{d}d" for v in WIDE for d in config.ROLLING_DAYS]
 FEATURES = "WITH " + ", ".join([
     "land AS (SELECT * FROM bathy WHERE NOT depth < 0)",
     f"sl AS (SELECT iy, ix, degrees(atan(sqrt((gx / (55660 * cosl)) ** 2 + (gy / 55660::DOUBLE) ** 2))) AS slope FROM ({FRONT.replace('sst', 'depth').replace('PARTITION BY time, ', 'PARTITION BY ').replace('dense', 'bathy')}))",
@@ -113,15 +121,15 @@ FEATURES = "WITH " + ", ".join([
     + ", b.depth, sl.slope, dc.dist_coast FROM grid g CROSS JOIN caxis a JOIN bathy b ON b.iy = g.iy AND b.ix = g.ix JOIN sl ON sl.iy = g.iy AND sl.ix = g.ix JOIN dc ON dc.iy = g.iy AND dc.ix = g.ix LEFT JOIN cube c ON c.iy = g.iy AND c.ix = g.ix AND c.time = a.time)",
     "fr AS (SELECT iy, ix, time, CASE WHEN v IS NOT NULL THEN sqrt((gx / 0.5::DOUBLE / cosl) ** 2 + (gy / 0.5::DOUBLE) ** 2) END AS frontal_index FROM (" + FRONT.replace("FROM dense", "FROM m") + "))",
     "f AS (SELECT m.*, fr.frontal_index FROM m JOIN fr ON fr.iy = m.iy AND fr.ix = m.ix AND fr.time = m.time)",
-    *[_disk_sql(km, f"l{km}_{v}").replace("sst", v).replace("dense", "f") for v in ("sst", "frontal_index") for km in (60, 120)],
+    *[_disk_sql(km, f"l{km}_{v}").replace("sst", v).replace("dense", "f") for v, km in LAGGED],
     f"tf AS (SELECT iy, ix, time, {TEMPORAL} FROM m)",
-]) + " SELECT f.iy, f.ix, CAST(f.time AS VARCHAR) AS time, round(f.slope, 6) + 0.0::DOUBLE AS slope, round(f.dist_coast, 6) + 0.0::DOUBLE AS dist_coast, " + ", ".join(
-    f"tf.{c} + 0.0::DOUBLE AS {c}" for c in ("sst", "chl_roll30d", "sst_roll90d", "sst_anom", "kd490_anom")
+]) + " SELECT f.iy, f.ix, f.lat, f.lon, CAST(f.time AS VARCHAR) AS time, CAST(f.time AS VARCHAR) AS date, f.depth, round(f.slope, 6) + 0.0::DOUBLE AS slope, round(f.dist_coast, 6) + 0.0::DOUBLE AS dist_coast, " + ", ".join(
+    f"tf.{c} + 0.0::DOUBLE AS {c}" for c in [*WIDE, *ROLLED, *[f"{v}_anom" for v in WIDE], "month_sin", "month_cos"]
 ) + ", round(f.frontal_index, 6) + 0.0::DOUBLE AS frontal_index, CASE WHEN tf.sst_anom IS NOT NULL THEN greatest(-tf.sst_anom, 0) + 0.0::DOUBLE END AS upwelling_proxy" \
     + ", round(CASE WHEN f.chl > 0 THEN log10(greatest(f.chl, 1e-4) + 1e-4) END, 6) + 0.0::DOUBLE AS productivity_index, " + ", ".join(
-    f"round(coalesce(f.{v}, l{km}_{v}.m), 6) + 0.0::DOUBLE AS {v}_lag{km}km" for v in ("sst", "frontal_index") for km in (60, 120)
+    f"round(coalesce(f.{v}, l{km}_{v}.m), 6) + 0.0::DOUBLE AS {v}_lag{km}km" for v, km in LAGGED
 ) + " FROM f JOIN tf ON tf.iy = f.iy AND tf.ix = f.ix AND tf.time = f.time " + " ".join(
-    f"JOIN l{km}_{v} ON l{km}_{v}.iy = f.iy AND l{km}_{v}.ix = f.ix AND l{km}_{v}.time = f.time" for v in ("sst", "frontal_index") for km in (60, 120)
+    f"JOIN l{km}_{v} ON l{km}_{v}.iy = f.iy AND l{km}_{v}.ix = f.ix AND l{km}_{v}.time = f.time" for v, km in LAGGED
 )
 
 
@@ -130,12 +138,7 @@ def feature_matrix(spark, sf):
     g = t.grid_of(spark, sf)
     static = gradients.slope_degrees(t.bathy(spark, sf), g).select("iy", "ix", "depth", "slope")
     static = static.join(coast.distance_to_coast(t.bathy(spark, sf), g).select("iy", "ix", "dist_coast"), ["iy", "ix"])
-    settings = features.FeatureSettings(lag_radii_km=(60, 120), lag_variables=("sst", "frontal_index"))
-    out = features.feature_matrix(t.pixels(spark, sf), static, g, settings)
-    return out.select(
-        "iy", "ix", "time", "slope", "dist_coast", "sst", "chl_roll30d", "sst_roll90d", "sst_anom", "kd490_anom", "frontal_index",
-        "upwelling_proxy", "productivity_index", *[f"{v}_lag{km}km" for v in ("sst", "frontal_index") for km in (60, 120)],
-    )
+    return features.feature_matrix(t.pixels(spark, sf), static, g, features.FeatureSettings(lag_radii_km=t.RADII_KM))
 
 
 @query("habitat_suitability", sql_over("obs", f"SELECT iy, ix, {DAY}, round({habitat_sql('sardinella')}, 6) + 0.0::DOUBLE AS suitability FROM obs"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.operators import metrics
 from gridloom.plans import forecasts, learning
 from gridloom.streaming import ingest
 from registry import tables
@@ -74,3 +75,27 @@ def test_classifier_study(spark):
     )
     assert {r.window for r in table.collect()} == {"val", "test"}
     assert all(r.spearman is None for r in table.collect())
+
+
+@pytest.mark.parametrize("learner", ["RandomForest", "Linear"])
+def test_every_learner_is_reported_and_saved(spark, learner, tmp_path):
+    options = {} if learner == "Linear" else SMALL
+    made = learning.train_all(
+        tables.matrix(spark, SF), ["scad"], str(tmp_path), tables.catches(spark, SF), requested=REQUESTED, splits=tables.splits(), learner=learner, **options
+    ).first()
+    assert made.fitted and sum(i.importance for i in made.feature_importance) == pytest.approx(1.0)
+    again = learning.train_all(
+        tables.matrix(spark, SF), ["scad"], str(tmp_path), tables.catches(spark, SF), requested=REQUESTED, splits=tables.splits(), learner=learner, **options
+    ).first()
+    assert not again.fitted and again.n_train == made.n_train and again.val_metrics["rmse"] == pytest.approx(made.val_metrics["rmse"])
+
+
+def test_unified_study_feeds_the_ranking(spark):
+    table = learning.unified_study(
+        tables.matrix(spark, SF), ["scad"], ["Linear", "NoSkill"], tables.catches(spark, SF), requested=REQUESTED, splits=tables.splits()
+    )
+    rows = {r.algorithm: r for r in table.collect()}
+    assert set(rows) == {"Linear", "NoSkill"} and all(r.threshold is not None and r.n_train > 0 and r.rmse_val >= 0 for r in rows.values())
+    assert rows["NoSkill"].roc_auc_val in (0.5, None) and rows["NoSkill"].spearman_val is None
+    ranked = metrics.algorithm_ranking(table.withColumnsRenamed({f"{m}_val": m for m in ("r2", "rmse", "mae")}), ["r2", "rmse", "mae"])
+    assert ranked.count() == 2
