@@ -28,8 +28,11 @@ from gridloom.llm.components import component_labels
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SLICE = 256
-BLOCK = 256
+BLOCK = 1024
 SKETCH = 64
+# A shingle is frequent in a batch from this share of its rows on, and at least so many; the most
+# frequent ones, a list of fixed size, are left out of tiles first. No link depends on the list.
+OFTEN_SHARE, OFTEN_LEAST, OFTEN_SIZE = 0.005, 8, 50_000
 HUB_ROUNDS = 2
 # Ids are broadcast to filter documents up to this many (8 bytes each); beyond, they are joined.
 BROADCAST_IDS = 1_000_000
@@ -106,36 +109,57 @@ class Bands:
         return self
 
 
-def tile_rows(hashes: np.ndarray, begins: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Tile keys of all texts of a slice, and the text each belongs to."""
+def _tag_tiles(
+    hashes: np.ndarray, element: np.ndarray, n_texts: int, tag: np.ndarray, count: np.ndarray, spare: np.ndarray, poor_size: int, complete: bool, salt: int
+) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Tiles of one tag per text, and which texts have more poor segments than can be spared.
+
+    Segments of up to ``poor_size`` shingles are poor. They are tiles only of those texts, and only if
+    the list is to be ``complete``.
+    """
+    segment = ((hashes >> np.uint64(32)) * count[element].astype(np.uint64)) >> np.uint64(32)
+    name = mixed(tag.astype(np.uint64) * _M[4] + np.uint64(salt))
+    if len(element):
+        first = np.flatnonzero(np.concatenate(([True], (element[1:] != element[:-1]) | (segment[1:] != segment[:-1]))))
+        total = np.add.reduceat(mixed(hashes + _M[3]), first)
+    else:
+        first, total = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    own = element[first]
+    rich = np.diff(np.append(first, len(element))) > poor_size
+    poor = count - np.bincount(own[rich], minlength=n_texts) > spare
+    used = rich | (poor[own] if complete else False)
+    keys, owners = [mixed(total + mixed(name[own] + segment[first]))[used]], [own[used]]
+    if complete:
+        filled = np.bincount(own, minlength=n_texts)
+        for d in np.flatnonzero(poor & (filled > 0) & (count > filled)):
+            empty = np.setdiff1d(np.arange(count[d], dtype=np.uint64), segment[element == d])
+            keys.append(mixed(mixed(name[d] + empty)))
+            owners.append(np.full(len(empty), d))
+    return keys, owners, poor
+
+
+def tile_rows(hashes: np.ndarray, begins: np.ndarray, bands: Bands, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Tile keys of all texts of a slice, and the text each belongs to.
+
+    Shingles in ``often`` (sorted) are left out first: without them two similar sets differ in no more
+    shingles than with them, so they still share a filled segment unless both have too many empty
+    ones. Only such texts, which consist mostly of frequent shingles, have tiles over all shingles too.
+    """
     sizes = np.diff(begins)
     bands.upto(int(sizes.max(initial=1)) * 2 + 2)
     low, segments, spare = np.array(bands.low), np.array(bands.segments), np.array(bands.spare)
     band = np.searchsorted(low, sizes, side="right") - 1
     element = np.repeat(np.arange(len(sizes)), sizes)
-    content = mixed(hashes + _M[3])
     keys, owners = [], []
-    for step in (0, 1):
-        tag = band + step
-        count = segments[tag]
-        segment = ((hashes >> np.uint64(32)) * count[element].astype(np.uint64)) >> np.uint64(32)
-        if len(element):
-            first = np.flatnonzero(np.concatenate(([True], (element[1:] != element[:-1]) | (segment[1:] != segment[:-1]))))
-            own = element[first]
-            rich = np.diff(np.append(first, len(element))) > 1
-            poor = (sizes > 0) & (count - np.bincount(own[rich], minlength=len(sizes)) > spare[tag])
-            total = np.add.reduceat(content, first)
-            key = mixed(total + mixed(tag[own].astype(np.uint64) * _M[4] + segment[first]))
-            used = rich | poor[own]
-            keys.append(key[used])
-            owners.append(own[used])
-            filled = np.bincount(own, minlength=len(sizes))
-            for d in np.flatnonzero(poor & (count > filled)):
-                empty = np.setdiff1d(np.arange(count[d], dtype=np.uint64), segment[begins[d] : begins[d + 1]])
-                keys.append(mixed(mixed(np.full(len(empty), tag[d], dtype=np.uint64) * _M[4] + empty)))
-                owners.append(np.full(len(empty), d))
-    if not keys:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for tag in (band, band + 1):
+        rest = np.ones(len(element), dtype=bool)
+        if often is not None and len(often):
+            at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+            rare = often[at] != hashes
+            k, o, poor = _tag_tiles(hashes[rare], element[rare], len(sizes), tag, segments[tag], spare[tag], 0, False, 1)
+            keys, owners, rest = keys + k, owners + o, poor[element]
+        k, o, _ = _tag_tiles(hashes[rest], element[rest], len(sizes), tag, segments[tag], spare[tag], 1, True, 0)
+        keys, owners = keys + k, owners + o
     return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
 
@@ -165,6 +189,13 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(keys) if few else keys, F.col("doc_id") == F.col("_only"), how)
 
 
+def frequent(hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in a good share of the rows of a batch, and in how many."""
+    values, counts = np.unique(hashes, return_counts=True)
+    many = counts >= max(OFTEN_LEAST, OFTEN_SHARE * rows)
+    return values[many], counts[many]
+
+
 def _slices(batches: Iterator[pa.RecordBatch], width: int):
     for batch in batches:
         for i in range(0, batch.num_rows, SLICE):
@@ -173,24 +204,39 @@ def _slices(batches: Iterator[pa.RecordBatch], width: int):
 
 
 def set_summaries(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, digest`` of each row."""
+    """``doc_id, n_shingles, digest`` of each row; the first row of a batch has its frequent shingles too."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, hashes, begins in _slices(batches, width):
-            digests = [xxhash.xxh3_128_digest(hashes[a:b].tobytes()) for a, b in zip(begins, begins[1:])]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(begins), pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n_shingles", "digest"])
+        for batch in batches:
+            parts = list(_slices([batch], width))
+            for i, (ids, hashes, begins) in enumerate(parts):
+                digests = [xxhash.xxh3_128_digest(hashes[a:b].tobytes()) for a, b in zip(begins, begins[1:])]
+                often, counts = frequent(np.concatenate([h for _, h, _ in parts]), batch.num_rows) if i == 0 else ([], [])
+                first = lambda values: pa.array([values, *[[]] * (len(ids) - 1)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(np.diff(begins), pa.int64()), pa.array(digests, pa.binary()), first(np.asarray(often, dtype=np.uint64).view(np.int64)), first(np.asarray(counts, dtype=np.int64))],
+                    names=["doc_id", "n_shingles", "digest", "often", "counts"],
+                )
 
     importable(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(summarise, "doc_id long, n_shingles long, digest binary")
+    return docs.select("doc_id", "text").mapInArrow(summarise, "doc_id long, n_shingles long, digest binary, often array<long>, counts array<long>")
+
+
+def often_list(summaries: DataFrame) -> np.ndarray:
+    """The most frequent shingles over all batches, sorted; at most ``OFTEN_SIZE`` numbers reach the driver."""
+    each = summaries.where(F.size("often") > 0).select(F.inline(F.arrays_zip("often", "counts")))
+    top = each.groupBy("often").agg(F.sum("counts").alias("n")).orderBy(F.desc("n"), "often").limit(OFTEN_SIZE)
+    return np.sort(np.array([r["often"] for r in top.collect()], dtype=np.int64).view(np.uint64))
 
 
-def tile_members(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def tile_members(docs: DataFrame, width: int, percent: int, often: np.ndarray) -> DataFrame:
     """``key, node`` of every tile with two nodes or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for ids, hashes, begins in _slices(batches, width):
-            keys, owners = tile_rows(hashes, begins, bands)
+            keys, owners = tile_rows(hashes, begins, bands, shared.value)
             yield pa.RecordBatch.from_arrays([pa.array(keys), ids.take(pa.array(owners))], names=["key", "node"])
 
     rows = docs.select("doc_id", "text").mapInArrow(tiles, "key long, node long")
@@ -316,7 +362,7 @@ def linked_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     classes = stored(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "set-classes")
     copies = stored(filled.join(classes, "digest").where("doc_id != rep").select("doc_id", "rep"), "set-copies")
     distinct = _only(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), copies.select("doc_id"), "left_anti")
-    members = stored(tile_members(distinct, width, percent), "tile-members")
+    members = stored(tile_members(distinct, width, percent, often_list(summaries)), "tile-members")
     nodes = members.select("node").distinct()
     texts = _only(docs.select("doc_id", "text"), nodes, "left_semi")
     cards = stored(set_cards(texts, width).dropDuplicates(["node"]), "set-cards")

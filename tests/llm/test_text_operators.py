@@ -79,6 +79,7 @@ def test_join_equals_brute_force(spark, docs, texts, width, percent):
 def test_sets_that_fail_with_the_hub_are_found_in_blocks(spark, monkeypatch):
     """A ring of sets, each similar to its neighbours only, in tiles cut into blocks of two."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    monkeypatch.setattr(jaccard_join, "OFTEN_LEAST", 2)
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[i * 4 : i * 4 + 100]), "en", "a") for i in range(30)] + [(99, "alone here", "en", "a")]
     got = {r.doc_id: r.component_id for r in jaccard_join.linked_groups(documents(spark, rows), 1, 90).collect()}
@@ -95,8 +96,10 @@ def test_sizes_and_bitmaps_never_exclude_a_link():
             if 100 * len(b) >= percent * len(a):
                 assert jaccard_join.may_link(jaccard_join.parity_bitmap(a), jaccard_join.parity_bitmap(b), len(a), len(b), percent)
                 for x, y in ((a, b), (b, a)):
-                    tiles = [set(jaccard_join.tile_rows(h, np.array([0, len(h)]), jaccard_join.Bands(percent))[0].tolist()) for h in (x, y)]
-                    assert tiles[0] & tiles[1]
+                    for share in (0, 0.3, 0.9, 1):
+                        often = np.sort(a[rng.random(len(a)) < share])
+                        tiles = [set(jaccard_join.tile_rows(h, np.array([0, len(h)]), jaccard_join.Bands(percent), often)[0].tolist()) for h in (x, y)]
+                        assert tiles[0] & tiles[1]
 
 
 def test_components_of_a_long_chain(spark):
