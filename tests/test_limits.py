@@ -78,7 +78,7 @@ def test_skipped_files_are_named(spark, tmp_path):
     df = spark.createDataFrame([("sst", "2000-01-01", 5.0, 117.0, 1.0)], "variable string, time string, lat double, lon double, value double").withColumn("time", F.to_date("time"))
     observations.write_observations(df, str(tmp_path / "o"))
     assert observations.skipped_files(spark, str(tmp_path / "o")).count() == 0
-    bad = tmp_path / "o" / "variable=sst" / "year=2000" / "bad.parquet"
+    bad = tmp_path / "o" / "variable=sst" / "year=2000" / "zz-bad.parquet"
     bad.write_bytes(b"PAR1 no table PAR1")
     assert [r.file for r in observations.skipped_files(spark, str(tmp_path / "o")).collect()] == [str(bad)]
     assert observations.read_observations(spark, str(tmp_path / "o"), "sst").count() == 1
