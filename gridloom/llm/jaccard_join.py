@@ -365,7 +365,10 @@ def linked_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     members = stored(tile_members(distinct, width, percent, often_list(summaries)), "tile-members")
     nodes = members.select("node").distinct()
     texts = _only(docs.select("doc_id", "text"), nodes, "left_semi")
-    cards = stored(set_cards(texts, width).dropDuplicates(["node"]), "set-cards")
+    cards = set_cards(texts, width)
+    if not filled.groupBy("doc_id").count().where("count > 1").isEmpty():
+        cards = cards.dropDuplicates(["node"])  # rows that share an id; else the sets need no shuffle
+    cards = stored(cards, "set-cards")
 
     links = spark.createDataFrame([], "a long, b long")
     checked = links
