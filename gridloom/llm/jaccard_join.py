@@ -316,34 +316,36 @@ def _block_pairs(open_rows: DataFrame, cards: DataFrame, percent: int) -> DataFr
         "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "comp", "n", "sketch"
     )
 
-    def compare(group: pd.DataFrame) -> list[tuple[int, int]]:
-        lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
-        node, comp, n, mine = (group[c].to_numpy() for c in ("node", "comp", "n", "mine"))
-        maps = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(len(node), -1)
-        found = []
-        for i in range(len(node) - 1):
-            later = slice(i + 1, None)
-            fit = (comp[later] != comp[i]) & (100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i]))
-            if lo != hi:
-                fit &= mine[later] != mine[i]
-            at = np.flatnonzero(fit) + i + 1
-            if len(at):
-                differ = np.bitwise_count(maps[at] ^ maps[i]).sum(axis=1, dtype=np.int64)
-                at = at[(100 + percent) * differ <= (n[at] + n[i]) * (100 - percent)]
-            found += [(min(node[i], node[j]), max(node[i], node[j])) for j in at.tolist()]
-        return found
+    def compare(part: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        """All rows of a group with those after them, one distance between the two at a time."""
+        node, comp, n, mine, lo, hi = (part[c].to_numpy() for c in ("node", "comp", "n", "mine", "lo", "hi"))
+        maps = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint64).reshape(len(node), -1)
+        found, i, step = [], np.arange(len(node) - 1), 1
+        while len(i):
+            i = i[i + step < len(node)]
+            i = i[group[i] == group[i + step]]
+            j = i + step
+            fit = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((lo[i] == hi[i]) | (mine[i] != mine[j]))
+            x, y = i[fit], j[fit]
+            differ = np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int64)
+            near = (100 + percent) * differ <= (n[x] + n[y]) * (100 - percent)
+            found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1)[near])
+            step += 1
+        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2)), columns=["a", "b"], dtype="int64").drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            edges = np.flatnonzero((batch[["key", "lo", "hi"]].to_numpy()[1:] != batch[["key", "lo", "hi"]].to_numpy()[:-1]).any(axis=1)) + 1
-            starts = [0, *edges.tolist()] if len(batch) else []
-            pairs = [p for a, b in zip(starts, starts[1:]) for p in compare(batch.iloc[a:b])]
-            held = batch.iloc[starts[-1] :] if starts else None
-            yield pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+            marks = batch[["key", "lo", "hi"]].to_numpy()
+            group = np.concatenate(([0], np.cumsum((marks[1:] != marks[:-1]).any(axis=1))))[: len(batch)]
+            # The last group may go on in the next batch.
+            whole = int(np.searchsorted(group, group[-1])) if len(group) else 0
+            held = batch.iloc[whole:]
+            if whole:
+                yield compare(batch.iloc[:whole], group[:whole])
         if held is not None and len(held):
-            yield pd.DataFrame(compare(held), columns=["a", "b"], dtype="int64")
+            yield compare(held, np.zeros(len(held), dtype=np.int64))
 
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(run, "a long, b long").distinct()
 
