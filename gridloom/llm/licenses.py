@@ -5,7 +5,8 @@ shingles lies in one. Templates are cut into pieces of at most that many. A piec
 occurs in a window of ``2 BLOCK`` has a resemblance of at least ``m / (2 BLOCK)``; with ``BANDS``
 bands of one row each it is retrieved with probability ``1 - (1 - m / (2 BLOCK)) ** BANDS``, which
 is 0.9995 for three shingles and more for longer pieces. Templates of several pieces have as many
-chances.
+chances. A template of at most ``BLOCK`` shingles is only found whole at the containment asked for by
+default, so its first shingles are looked up among the text's own: none is missed.
 """
 
 from __future__ import annotations
@@ -41,6 +42,27 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced without permission."),
+    ("proprietary", "All rights reserved."),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License"),
+    ("GPL-3.0", "under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"),
+    ("GPL-2.0", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("LGPL-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License"),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-3.0", "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program"),
+    ("GPL-2.0", "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    ("LGPL-2.1", "By contrast, the GNU General Public Licenses are intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    ("AGPL-3.0", "By contrast, our General Public Licenses are intended to guarantee your freedom to share and change all versions of a program"),
+    ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License"),
+    ("Apache-2.0", '"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.'),
+    ("MPL-2.0", '"Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.'),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-4.0", "agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "agree to be bound by the terms and conditions of this Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC0-1.0", "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator"),
 )
 
 
@@ -82,9 +104,14 @@ def license_matches(docs: DataFrame, templates=TEMPLATES, containment: float = C
     masks = seeds(bands)
     table = stored(template_table(spark, templates, width), "license-templates")
     band = lambda hashes: F.array(*[F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(m)))) for m in masks])
-    keys = stored(table.select("template", F.explode("pieces").alias("p")).select("template", F.explode(band(F.col("p"))).alias("key")).distinct(), "license-keys")
+    # Of a short template as many shingles as may be missing, and one more: one of them is in any text that holds it.
+    sure = F.slice("shingles", 1, F.floor(F.size("shingles") * (1 - containment) + 1e-9).cast("int") + 1)
+    short = table.where(F.size("shingles") <= BLOCK).select("template", F.explode(sure).alias("key"), F.lit(True).alias("own"))
+    banded = table.select("template", F.explode("pieces").alias("p")).select("template", F.explode(band(F.col("p"))).alias("key"), F.lit(False).alias("own"))
+    keys = stored(banded.unionByName(short).distinct(), "license-keys")
     # As many values as pieces of the given templates times bands.
-    wanted = [r["key"] for r in keys.select("key").distinct().collect()]
+    values = keys.select("key", "own").distinct().collect()
+    wanted, own = [r["key"] for r in values if not r["own"]], [r["key"] for r in values if r["own"]]
     reach = table.agg(F.max("n_words")).first()[0] or 0
     span = 2 * BLOCK + width - 1
 
@@ -96,9 +123,11 @@ def license_matches(docs: DataFrame, templates=TEMPLATES, containment: float = C
     mask_column = F.array(*[F.lit(m) for m in masks])
     blocks = hashed.withColumn("m", mask_column).withColumn(
         "b", F.transform(F.sequence(F.lit(0), last), lambda b: F.transform("m", lambda m: least(b, m)))
-    ).drop("m", "h")
+    ).withColumn("s", F.filter(F.transform("h", lambda h, i: F.struct(F.floor(i / BLOCK).cast("int").alias("at"), h.alias("key"))), lambda x: x["key"].isin(own))).drop("m", "h")
     window = lambda b: F.zip_with(F.get("b", b), F.coalesce(F.get("b", b + 1), F.get("b", b)), lambda x, y: F.least(x, y))
-    hits = F.transform(F.sequence(F.lit(0), F.size("b") - 1), lambda b: F.struct(b.alias("at"), F.filter(window(b), lambda k: k.isin(wanted)).alias("keys")))
+    hits = F.transform(F.sequence(F.lit(0), F.size("b") - 1), lambda b: F.struct(
+        b.alias("at"), F.concat(F.filter(window(b), lambda k: k.isin(wanted)), F.transform(F.filter("s", lambda x: x["at"] == b), lambda x: x["key"])).alias("keys")
+    ))
     # The row number tells rows apart; not being deterministic, it also keeps the filter on the hits
     # from being moved below and computed over again.
     found = blocks.select("doc_id", "w", F.filter(hits, lambda x: F.size(x["keys"]) > 0).alias("hits"), F.monotonically_increasing_id().alias("row"))

@@ -325,6 +325,24 @@ def test_licenses_are_found_and_verified(spark):
     assert licenses.license_matches(documents(spark, rows), templates=(("none", "..."),)).count() == 0
 
 
+def test_license_lines_and_notices_as_documents_hold_them(spark):
+    """Short lines at every place of a window, and notices and opening passages of whole licenses."""
+    filler = [f"word{i}" for i in range(400)]
+    rows = [(i, " ".join(filler[:i]) + "\nAll rights reserved.\n" + " ".join(filler[i:]), "en", "a") for i in range(200)]
+    texts = {
+        "GPL-3.0": "Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GPL-2.0": "it is free; modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+        "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License.",
+        "LGPL-3.0": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+        "AGPL-3.0": "By contrast, our General Public Licenses are intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users.",
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    }
+    rows += [(1000 + k, " ".join(filler[:90]) + " " + text + " " + " ".join(filler[90:]), "en", "a") for k, text in enumerate(texts.values())]
+    rows += [(2000, " ".join(filler) + " all rights are reserved, of all rights", "en", "a")]
+    got = sorted((r.doc_id, r.license, r.containment) for r in licenses.license_matches(documents(spark, rows)).collect())
+    assert got == [(i, "proprietary", 1.0) for i in range(200)] + [(1000 + k, name, 1.0) for k, name in enumerate(texts)]
+
+
 def test_conversations_are_ordered_by_reply(spark):
     first = "Hello all,\n\nwhat about   the plan?\n\nBest"
     rows = [
