@@ -2,8 +2,8 @@
 
 A candidate is a long run of key-like characters with a digit. A window slides over it; the counts
 of the characters of its class are carried from step to step and with them the window's entropy.
-Spans of high entropy are added unless an allow-list pattern matches the candidate or a span of the
-three patterns overlaps them.
+Hexadecimal windows of either case have a lower threshold. Candidates are first cut at allow-list
+matches and at spans of the three patterns; what lies outside is scanned for itself.
 """
 
 from __future__ import annotations
@@ -23,12 +23,17 @@ KINDS = (
 HEX_RUNS = r"([0-9a-f]{24,})"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
+PARTS = "array<struct<start:bigint,word:string>>"
+HEXADECIMAL = {"hex": "[0-9A-Fa-f]", "digits": "[0-9]", "alpha": "[A-Za-z]"}
 # Character classes: alphabet and entropy in bits from which a window counts.
 CLASSES = {
     "hex": ("0123456789abcdef", 3.0),
     "key": ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3.7),
 }
 ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|x{6}|0{6}|1234567|abcdefg"
+# An allow-list match takes up to three letters and digits on both sides along, so that a token that is
+# hardly longer than a window is told by it; it never reaches beyond a separator.
+CUT = rf"(?i)[a-z0-9]{{0,3}}(?:{ALLOWED[4:]})(?:[a-z0-9]{{0,3}}(?:{ALLOWED[4:]}))*[a-z0-9]{{0,3}}"
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
@@ -58,16 +63,19 @@ def _spans(text: Column, pattern: str, measure: Column, least: int, kind: str, r
 def _entropy_span(word: Column) -> Column:
     """``struct(first, last)`` code points of the windows of high entropy in a candidate; NULL if none.
 
-    State: counts per character of the class, the sum of ``c log2 c``, and the windows found so far.
+    State: counts per character of the class, the sum of ``c log2 c``, the windows found so far, and
+    the places after the last character that is not hexadecimal, not a digit, not a letter. A window
+    of hexadecimal digits and letters alone counts from the class's bits in any candidate.
     """
     letters = F.split(word, "")
 
-    def scan(alphabet: str, bits: float) -> Column:
+    def scan(alphabet: str, bits: float, hex_bits: float) -> Column:
         index = lambda ch: F.instr(F.lit(alphabet), ch) - 1
         weigh = lambda c: F.when(c > 0, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(0.0)
         zero = F.struct(
             F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"),
             F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
+            *[F.lit(0).alias(name) for name in HEXADECIMAL],
         )
 
         def step(acc: Column, i: Column) -> Column:
@@ -83,17 +91,40 @@ def _entropy_span(word: Column) -> Column:
                 + F.coalesce(weigh(before_out - 1) - weigh(before_out), F.lit(0.0))
             )
             total = acc["sum"] + delta
-            high = (i >= WINDOW - 1) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= bits)
+            letter = F.get(letters, i)
+            since = {name: F.when(letter.rlike(pattern), acc[name]).otherwise(i + 1) for name, pattern in HEXADECIMAL.items()}
+            begin = i - (WINDOW - 1)
+            mixed = (since["hex"] <= begin) & (since["digits"] > begin) & (since["alpha"] > begin)
+            entropy = F.lit(math.log2(WINDOW)) - total / WINDOW
+            high = (i >= WINDOW - 1) & ((entropy >= bits) | (mixed & (entropy >= hex_bits)))
             return F.struct(
                 changed.alias("counts"), total.alias("sum"),
                 F.coalesce(acc["first"], F.when(high, i - (WINDOW - 1))).alias("first"),
                 F.when(high, i + 1).otherwise(acc["last"]).alias("last"),
+                *[c.alias(name) for name, c in since.items()],
             )
 
         index_at = lambda i: index(F.get(letters, i))
         return F.aggregate(F.sequence(F.lit(0), F.length(word) - 1), zero, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
-    return F.when(word.rlike("^[0-9a-f]+$"), scan(*CLASSES["hex"])).otherwise(scan(*CLASSES["key"]))
+    hex_bits = CLASSES["hex"][1]
+    return F.when(word.rlike("^[0-9a-f]+$"), scan(*CLASSES["hex"], hex_bits)).otherwise(scan(*CLASSES["key"], hex_bits))
+
+
+def _outside(start: Column, word: Column, spans: Column) -> Column:
+    """``(start, word)`` of the parts of a candidate outside ``spans``, which are in order of their starts."""
+    origin = F.struct(start.cast("bigint").alias("at"), F.array().cast(PARTS).alias("out"))
+    end = start + F.length(word)
+
+    def part(a: Column, b: Column) -> Column:
+        cut = F.struct(a.alias("start"), F.substring(word, (a - start + 1).cast("int"), (b - a).cast("int")).alias("word"))
+        return F.when(b - a >= WINDOW, F.array(cut)).otherwise(F.array()).cast(PARTS)
+
+    step = lambda acc, s: F.struct(
+        F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], part(acc["at"], F.least(s["start"], end))).alias("out")
+    )
+    crossing = F.filter(spans, lambda s: (s["start"] < end) & (start < s["end"]))
+    return F.aggregate(crossing, origin, step, lambda acc: F.concat(acc["out"], part(acc["at"], end)))
 
 
 def secret_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -124,30 +155,38 @@ def secret_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.transform(F.split(text, CANDIDATE, -1), lambda s: F.length(s).cast("bigint")).alias("gap"),
         F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("word"),
     )
-    typed = "array<struct<start:bigint,word:string>>"
 
     def locate(acc: Column, m: Column) -> Column:
         begin = acc["at"] + m["gap"]
-        entry = F.array(F.struct(begin.alias("start"), m["word"].alias("word"))).cast(typed)
-        wanted = F.coalesce(m["word"].rlike("[0-9]") & m["word"].rlike("[A-Za-z]") & ~m["word"].rlike(ALLOWED), F.lit(False))
+        entry = F.array(F.struct(begin.alias("start"), m["word"].alias("word"))).cast(PARTS)
+        wanted = F.coalesce(m["word"].rlike("[0-9]") & m["word"].rlike("[A-Za-z]"), F.lit(False))
         return F.struct(
             (begin + F.coalesce(F.length(m["word"]), F.lit(0))).alias("at"),
             F.when(wanted, F.concat(acc["out"], entry)).otherwise(acc["out"]).alias("out"),
         )
 
-    origin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(typed).alias("out"))
-    candidates = F.when(F.col("_d"), F.aggregate(runs, origin, locate, lambda a: a["out"])).otherwise(F.array().cast(typed))
+    origin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(PARTS).alias("out"))
+    candidates = F.when(F.col("_d"), F.aggregate(runs, origin, locate, lambda a: a["out"])).otherwise(F.array().cast(PARTS))
     located = traced.select(*keep, *found, candidates.alias("_c"))
     merged = located.select(*keep, "_c", F.sort_array(F.concat("_assign", "_access", "_hex")).alias("base"))
-    measured = merged.withColumn("_e", F.transform("_c", lambda c: F.struct(c["start"].alias("start"), _entropy_span(c["word"]).alias("at"))))
-    spans = F.transform(
+
+    def parts(c: Column) -> Column:
+        word = c["word"]
+        allowed = _spans(word, CUT, F.regexp_extract_all(word, F.lit(CUT), F.lit(0)), 1, "allowed", entropy)
+        moved = F.transform(allowed, lambda s: F.struct((s["start"] + c["start"]).alias("start"), s["rank"].alias("rank"), (s["end"] + c["start"]).alias("end"), s["kind"].alias("kind")))
+        cuts = F.sort_array(F.concat("base", F.when(word.rlike(ALLOWED), moved).otherwise(_none())))
+        kept = F.filter(_outside(c["start"], word, cuts), lambda p: p["word"].rlike("[0-9]") & p["word"].rlike("[A-Za-z]"))
+        return kept
+
+    cut = merged.withColumn("_p", F.flatten(F.transform("_c", parts)))
+    measured = cut.withColumn("_e", F.transform("_p", lambda c: F.struct(c["start"].alias("start"), _entropy_span(c["word"]).alias("at"))))
+    added = F.transform(
         F.filter("_e", lambda e: e["at"]["first"].isNotNull()),
         lambda e: F.struct(
             (e["start"] + e["at"]["first"]).alias("start"), F.lit(entropy).alias("rank"),
             (e["start"] + e["at"]["last"]).alias("end"), F.lit("entropy").alias("kind"),
         ),
     ).cast(SPAN)
-    added = F.filter(spans, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return measured.select(*keep, "base", added.alias("added"))
 
 

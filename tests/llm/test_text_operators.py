@@ -266,6 +266,22 @@ def test_secrets_equal_brute_force(spark):
     assert got[6].spans == f"entropy:{4 + high[0]}:{4 + high[-1] + 20}"
 
 
+def test_hexadecimal_of_any_case_and_parts_beside_allowed_text(spark):
+    rng = random.Random(6)
+    key = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    upper = [key("0123456789ABCDEF", 32) for _ in range(60)] + [key("0123456789ABCDEFabcdef", 40) for _ in range(60)]
+    secret = "Zx9Kq2Lm7Pw4Rt6Yb1Nc8Vd3Gh5"
+    hexed = "0f1e2d3c4b5a69788796a5b4c3d2e1f0"
+    parts = [f"see {'KEY=' + upper[0]} end", f"/sample/{secret}/end", f"{secret}/1234567/x", f"{secret}/{hexed}", f"in samplesample{secret[:20]}", f"a{'1' * 30}"]
+    rows = [(i, t, "en", "a") for i, t in enumerate(upper)] + [(1000 + i, t, "en", "a") for i, t in enumerate(parts)]
+    got = {r.doc_id: r.spans for r in secret_scan.secret_report(documents(spark, rows)).collect()}
+    assert sum("entropy" in got[i] for i in range(120)) >= 114
+    spans = {i: [s for s in got[1000 + i].split(",") if "entropy" in s] for i in range(len(parts))}
+    inside = lambda i, a, b: all(a <= int(s.split(":")[1]) and int(s.split(":")[2]) <= b for s in spans[i]) and len(spans[i]) == 1
+    assert inside(0, 4, 40) and inside(1, 7, 40) and inside(2, 0, 29) and inside(3, 0, 28) and f"hex:28:{28 + 32}" in got[1003]
+    assert spans[4] == spans[5] == []
+
+
 def test_contamination_equals_brute_force(spark):
     rng = random.Random(4)
     vocabulary = [f"t{i}" for i in range(30)] + ["Éa", "éa", "the", "of"]
