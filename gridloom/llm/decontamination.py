@@ -108,29 +108,34 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def proximity_matches(index: DataFrame, items: DataFrame, within: int = 20) -> DataFrame:
-    """``(row, item)`` where the three rarest distinct terms of an item lie within ``within`` words of the rarest.
+    """``(row, item)`` where the three rarest distinct terms of an item that occur at all lie near each other.
 
-    Items with fewer than three distinct terms match on those they have.
+    Near is within ``within`` words of the rarest, or within the distance that the terms have in the
+    item and a quarter of it, if that is more. Items with fewer than three distinct terms match on
+    those they have; of longer ones three terms have to occur. Texts that share an item's id are
+    matched one by one.
     """
-    each = items.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
-        F.explode(F.array_distinct(F.transform(terms_of(F.col("text")), ascii_lower))).alias("t"),
-    ).select("item", F.xxhash64("t").alias("term"))
+    words = items.select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.transform(terms_of(F.col("text")), ascii_lower).alias("w"),
+    ).select("item", F.xxhash64("w").alias("version"), F.least(F.size(F.array_distinct("w")), F.lit(3)).alias("n_terms"), F.posexplode("w").alias("at", "t"))
+    each = words.groupBy("item", "version", "n_terms", F.xxhash64("t").alias("term")).agg(F.min("at").alias("at"))
     lengths = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    known = each.join(lengths, "term", "left").groupBy("item").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("lists"))
-    picked = known.select("item", F.least(F.size("lists"), F.lit(3)).alias("n_terms"), F.posexplode(F.slice("lists", 1, 3)).alias("k", "l"))
-    places = stored(picked.select("item", "n_terms", "k", F.col("l.term").alias("term")), "item-terms")
+    known = each.join(lengths, "term").groupBy("item", "version", "n_terms").agg(F.sort_array(F.collect_list(F.struct("n", "term", "at"))).alias("lists"))
+    rarest = known.where(F.size("lists") >= F.col("n_terms")).withColumn("lists", F.slice("lists", 1, 3))
+    span = F.array_max(F.transform("lists", lambda x: F.abs(x["at"] - F.get("lists", F.lit(0))["at"])))
+    picked = rarest.select("item", "version", "n_terms", F.greatest(F.lit(within), F.ceil(1.25 * span)).cast("int").alias("reach"), F.posexplode("lists").alias("k", "l"))
+    places = stored(picked.select("item", "version", "n_terms", "reach", "k", F.col("l.term").alias("term")), "item-terms")
     postings = _only(index, places, "term").select("row", "term", "pos")
     few = places.limit(BROADCAST_IDS // 20 + 1).count() <= BROADCAST_IDS // 20
     lists = postings.join(F.broadcast(places) if few else places, "term")
     own = lambda k: F.collect_set(F.when(F.col("k") == k, F.col("pos"))).alias(f"p{k}")
-    grouped = lists.groupBy("row", "item", "n_terms").agg(own(0), own(1), own(2))
-    close = lambda k: lambda p: (F.col("n_terms") <= k) | F.exists(f"p{k}", lambda q: F.abs(p - q) <= within)
-    return grouped.where(F.exists("p0", lambda p: close(1)(p) & close(2)(p))).select("row", "item")
+    grouped = lists.groupBy("row", "item", "version", "n_terms", "reach").agg(own(0), own(1), own(2))
+    close = lambda k: lambda p: (F.col("n_terms") <= k) | F.exists(f"p{k}", lambda q: F.abs(p - q) <= F.col("reach"))
+    return grouped.where(F.exists("p0", lambda p: close(1)(p) & close(2)(p))).select("row", "item").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, within: int = 20) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, row``.
+    """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, near_items, row``.
 
     NULL texts and items have no words; items with fewer words than ``width`` are one window. Rows
     equal in id and text get the same result; an empty table gives an empty one.
@@ -147,12 +152,12 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, within:
         F.greatest(a["upto"], s["end"]).alias("upto"), (a["n"] + F.greatest(s["end"] - F.greatest(s["start"], a["upto"]), F.lit(0))).alias("n")
     )
     counted = hits.select("row", F.aggregate("spans", origin, step, lambda a: a["n"]).alias("n_hit"), F.size("names").cast("long").alias("n_items"), F.array_join("names", ",").alias("names"))
-    near = proximity_matches(index, items, within).groupBy("row").agg(F.count(F.lit(1)).alias("n_near"))
+    near = proximity_matches(index, items, within).groupBy("row").agg(F.count(F.lit(1)).alias("n_near"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("near_items"))
     texts = index.where(F.col("term") == F.xxhash64(F.lit(""))).select("doc_id", "row", F.col("pos").cast("long").alias("n_words"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return texts.join(counted, "row", "left").join(near, "row", "left").select(
         "doc_id", "n_words", zero("n_hit"), zero("n_items"), F.sha2(F.coalesce("names", F.lit("")), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), zero("n_near"), "row",
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), zero("n_near"), F.coalesce("near_items", F.lit("")).alias("near_items"), "row",
     )
 
 

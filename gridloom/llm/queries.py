@@ -165,6 +165,13 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+# The columns of the query above are those of its twin; the twin does not state proximity.
+@query("op9_proximity")
+def op9_proximity(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_near", "near_items")
+
+
 @query("op5_quality_model")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.classified(table(spark, sf, "documents"), table(spark, sf, "labels"))

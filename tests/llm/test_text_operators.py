@@ -323,6 +323,18 @@ def test_rarest_terms_near_each_other(spark):
     assert got == {1: 1, 2: 0, 3: 0}
 
 
+def test_near_items_are_named_when_edited_or_long(spark, tmp_path):
+    from gridloom.llm import queries
+
+    long = "alpha " + " ".join(f"the{k % 5}" for k in range(50)) + " beta " + " ".join(f"the{k % 5}" for k in range(20)) + " gamma"
+    items = [(1, "delta nowhere epsilon zeta"), (2, long), (3, "absent missing lacking the1"), (3, "eta theta iota")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, "q delta changed epsilon zeta q", "en", "a"), (2, "q q " + long + " q", "en", "a"), (3, "the1 the2 the3 the4 the0 " * 9, "en", "a"), (4, "iota q eta theta", "en", "a")]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_near, r.near_items) for r in queries.QUERIES["op9_proximity"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, "1"), 2: (1, "2"), 3: (0, ""), 4: (1, "3")}
+
+
 def test_licenses_are_found_and_verified(spark):
     filler = " ".join(f"word{i}" for i in range(300))
     rows = [(100 * k + shift, " ".join(filler.split()[: 20 + shift]) + " " + text + " " + filler, "en", "a") for k, (_, text) in enumerate(licenses.TEMPLATES) for shift in range(4)]
