@@ -16,6 +16,8 @@ from gridloom.llm.common import WORD, attach, stored, words_of
 
 GAMMA = 1.02
 SPREADS = 6
+# Groups of fewer passing documents take the pooled fences of their parent group.
+LEAST_DOCUMENTS = 30
 # Metric: numerator, denominator, least spread, whether low values are outliers too.
 METRICS = {
     "symbols": ("n_symbols", "n_words", 0.05, False),
@@ -87,12 +89,8 @@ def sketch(metrics: DataFrame, by: list[str]) -> DataFrame:
     return metrics.select(*by, F.inline(F.array(*entries))).groupBy(*by, "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """One row per group: ``<metric>_low`` and ``<metric>_high``, median plus or minus ``SPREADS`` spreads.
-
-    The spread above is the distance from the median to the upper quartile, below to the lower one,
-    and at least the metric's own. Windows hold the buckets of one group, whose number is bounded.
-    """
+def quartiles_of(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """``by, metric, q25, q50, q75, n``. Windows hold the buckets of one group, whose number is bounded."""
     order = Window.partitionBy(*by, "metric").orderBy("bucket")
     total = F.sum("n").over(Window.partitionBy(*by, "metric"))
     walked = sketches.withColumns({"upto": F.sum("n").over(order), "total": total})
@@ -101,7 +99,16 @@ def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
     def at(q: float) -> Column:
         return F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) * q), F.round(value, 9)))
 
-    quartiles = walked.groupBy(*by, "metric").agg(at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
+    return walked.groupBy(*by, "metric").agg(at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"), F.max("total").alias("n"))
+
+
+def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """One row per group: ``<metric>_low`` and ``<metric>_high``, median plus or minus ``SPREADS`` spreads.
+
+    The spread above is the distance from the median to the upper quartile, below to the lower one,
+    and at least the metric's own.
+    """
+    quartiles = quartiles_of(sketches, by)
     out = []
     for m, (_, _, least, low) in METRICS.items():
         above = F.col("q50") + SPREADS * F.greatest(F.col("q75") - F.col("q50"), F.lit(least))
@@ -111,16 +118,50 @@ def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
     return quartiles.groupBy(*by).agg(*out)
 
 
-def quality_rules(docs: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+def pooled_fences(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """The columns of ``fences`` from sketches merged upward: ``by``, ``by`` without its last column, and so on to all.
+
+    A group of fewer than ``LEAST_DOCUMENTS`` takes its parent's fences. Otherwise the half of the
+    group on the far side of the median gives its norm, and its own outer quartile widens that up to
+    the parent's fence only: junk of less than half of a source cannot set the source's norm, and a
+    source whose usual documents differ from its parent's keeps them.
+    """
+    least = F.coalesce(*[F.when(F.col("metric") == m, F.lit(x)) for m, (_, _, x, _) in METRICS.items()])
+    fence = lambda sign, spread: F.col("q50") + sign * SPREADS * F.greatest(spread, least)
+    above, below = F.col("q75") - F.col("q50"), F.col("q50") - F.col("q25")
+    upper = None
+    for k in range(len(by) + 1):
+        own = by[:k]
+        merged = sketches.groupBy(*own, "metric", "bucket").agg(F.sum("n").alias("n"))
+        level = quartiles_of(merged, own)
+        if upper is None:
+            upper = level.select("metric", fence(1, below).alias("high"), fence(-1, above).alias("low"))
+            continue
+        joined = attach(level, upper.select(*by[: k - 1], "metric", F.col("high").alias("_high"), F.col("low").alias("_low")), [*by[: k - 1], "metric"])
+        high = F.greatest(fence(1, below), F.least(fence(1, above), F.col("_high")))
+        low = F.least(fence(-1, above), F.greatest(fence(-1, below), F.col("_low")))
+        few = F.col("n") < LEAST_DOCUMENTS
+        upper = joined.select(
+            *own, "metric", F.when(few, F.col("_high")).otherwise(high).alias("high"), F.when(few, F.col("_low")).otherwise(low).alias("low"),
+        )
+    out = []
+    for m, (_, _, _, low) in METRICS.items():
+        out.append(F.max(F.when(F.col("metric") == m, F.col("high"))).alias(f"{m}_high"))
+        out.append(F.max(F.when(F.col("metric") == m, F.col("low") if low else F.lit(-1.0))).alias(f"{m}_low"))
+    return upper.groupBy(*by).agg(*out)
+
+
+def quality_rules(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), pooled: bool = False) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``by``, the metrics, ``base_failed`` and ``kept``.
 
     Cut-offs come from the documents that pass the base rules. NULL and empty texts have no words
-    and fail; a NULL language or source is a group; a group without passing documents keeps none.
+    and fail; ``pooled`` takes ``pooled_fences``; a NULL language or source is a group; a group without passing documents keeps none.
     Metrics are stored once (a few numbers a document) and read for the sketch and for the verdict.
     """
     by = list(by)
     metrics = stored(text_metrics(docs, ["doc_id", *by]).withColumn("base_failed", base_failed()), "quality-metrics")
-    limits = stored(fences(sketch(metrics.where(~F.col("base_failed")), by), by), "quality-fences")
+    sketches = sketch(metrics.where(~F.col("base_failed")), by)
+    limits = stored(pooled_fences(stored(sketches, "quality-sketches"), by) if pooled else fences(sketches, by), "quality-fences")
     judged = attach(metrics, limits, by)
     inside = F.lit(True)
     for m, (a, b, _, _) in METRICS.items():

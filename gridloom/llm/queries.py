@@ -129,6 +129,13 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+# The fences of the query above are those of its twin, which knows no parent groups.
+@query("op6_pooled_rules")
+def op6_pooled(spark: SparkSession, sf: str) -> DataFrame:
+    judged = quality_rules.quality_rules(table(spark, sf, "documents"), pooled=True)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op10_secrets")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf, "documents"))

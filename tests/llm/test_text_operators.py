@@ -266,6 +266,16 @@ def test_secrets_equal_brute_force(spark):
     assert got[6].spans == f"entropy:{4 + high[0]}:{4 + high[-1] + 20}"
 
 
+def test_pooled_fences_hold_for_thin_and_polluted_groups(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    plain = lambda mark: " ".join(word() + mark for _ in range(80))
+    rows = [(i, plain(""), "en", "prose") for i in range(120)] + [(200, plain("%%%"), "en", "thin"), (201, plain(""), "en", "thin"), (202, plain("%%%"), "xx", "thin")]
+    rows += [(300 + i, plain("%%%" if i < 30 else ""), "en", "mixed") for i in range(100)] + [(500 + i, plain("%"), "en", "code") for i in range(40)]
+    kept = {r.doc_id for r in quality_rules.quality_rules(documents(spark, rows), pooled=True).collect() if r.kept}
+    assert kept == {*range(120), 201, *range(330, 400), *range(500, 540)}
+
+
 def test_hexadecimal_of_any_case_and_parts_beside_allowed_text(spark):
     rng = random.Random(6)
     key = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
