@@ -20,12 +20,14 @@ will do and a lost executor leaves no half-written file behind.
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -36,8 +38,8 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 from gridloom.llm.common import importable
 
 BLOCK = 65_536
-# Entries a worker keeps: chunks met in two batches, chunks met in one, words.
-OFTEN, ONCE, WORDS = 500_000, 300_000, 300_000
+# Chunks (and words) of a generation that a worker keeps; bytes of text encoded at a time.
+KEPT, SLICE_BYTES = 250_000, 1 << 22
 SCHEMA = (
     "shard int, chunk int, at long, n_ids int, kind string, crc long, planes array<binary>, doc_no array<long>, "
     "doc_id array<long>, doc_at array<long>, doc_ids array<long>, piece_ids array<int>"
@@ -70,15 +72,100 @@ def from_planes(planes: list[bytes], n_ids: int, kind: str) -> bytes:
     return out.tobytes()
 
 
+def _shape(specification: dict) -> tuple:
+    """What of a tokenizer's file decides whether words can be encoded apart: all but its vocabulary."""
+    model = {k: v for k, v in specification["model"].items() if k not in ("vocab", "merges")}
+    parts = (specification.get("normalizer"), specification.get("pre_tokenizer"), model)
+    return tuple(json.dumps(p, sort_keys=True) for p in parts)
+
+
+# The pattern and the steps of the files whose words can be encoded apart.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLIT_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "model": {
+        "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>",
+        "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
+
+
+class Runs:
+    """Runs of ids by slot, in one growing array."""
+
+    def __init__(self) -> None:
+        self.ids, self.at, self.sizes = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids))
+
+    def take(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these slots one after the other, and how many of each."""
+        sizes = self.sizes[slots]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.at[slots] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], sizes
+
+
+class Kept:
+    """Slots by name in two generations, and their runs.
+
+    What is met moves to the young generation. When that is full it becomes the old one, and entries
+    that were not met since the last change are gone.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.runs = limit, Runs()
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+
+    def slots(self, names: list[str], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The slot of each of these distinct names; ``learn`` gives ids and sizes of those not known."""
+        if len(self.young) > self.limit:
+            ids, sizes = self.runs.take(np.fromiter(self.young.values(), dtype=np.int64, count=len(self.young)))
+            self.runs = Runs()
+            self.runs.add(ids, sizes)
+            self.old, self.young = dict(zip(self.young, range(len(sizes)))), {}
+        get, old, young = self.young.get, self.old, self.young
+        slots = np.array([get(n, -1) for n in names], dtype=np.int64)
+        unmet, base, new = np.flatnonzero(slots < 0).tolist(), len(self.runs), []
+        for i in unmet:
+            name = names[i]
+            slot = old.get(name, -1)
+            if slot < 0:
+                slot = base + len(new)
+                new.append(name)
+            slots[i] = young[name] = slot
+        if new:
+            self.runs.add(*learn(new))
+        return slots
+
+
 class CachedEncoder:
-    """Ids of texts as little-endian 32-bit bytes, equal to the tokenizer's own.
+    """Ids of texts, equal to the tokenizer's own.
 
-    For tokenizers whose pre-tokenizer drops white space and whose words end in a marked token.
-    Texts are cut at spaces and line feeds, and what lies between is encoded once and kept.
+    For tokenizers of the shape ``SPLIT_WORDS`` (white space is dropped, words end in a marked token),
+    texts are cut at spaces and line feeds by Arrow, and each distinct chunk of a batch is looked up or
+    encoded once. Chunks and words are kept in two generations: what is met moves to the young one,
+    and when that is full it becomes the old one, whose unused entries are then gone. Any other
+    tokenizer encodes whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = KEPT):
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            specification = json.load(file)
+        self.added = [t["content"] for t in specification.get("added_tokens", [])]
+        whole = specification.get("truncation") is None and specification.get("padding") is None
+        self.by_words = whole and _shape(specification) == _shape(SPLIT_WORDS) and all(t.startswith("<|") for t in self.added)
+        if not self.by_words:
+            return
         # The same for words that are in lower case and cut already.
         self.of_words = Tokenizer.from_file(path)
         self.of_words.normalizer = normalizers.Sequence([])
@@ -88,19 +175,15 @@ class CachedEncoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.last[i] = token.endswith("</w>")
-        # The file's own pre-tokenizer pattern.
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.words = regex.compile(WORD_PATTERN)
         # Special strings, and letters whose lower case depends on context, are left to the tokenizer.
         self.odd = regex.compile(r"<\||[\u0130\u03a3]")
-        self.pieces: dict[str, bytes] = {}
-        # Chunks met again are kept; those met once make room for others.
-        self.known: dict[str, bytes] = {}
-        self.young: dict[str, bytes] = {}
+        self.chunks, self.known_words = Kept(limit), Kept(limit)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, chunk: str) -> list[str]:
+    def _chunk_words(self, chunk: str) -> list[str]:
         """The words of a chunk in lower case; the pattern is only needed beyond letters and one mark."""
         if chunk.isalpha():
             return [chunk.lower()]
@@ -108,54 +191,57 @@ class CachedEncoder:
             return [chunk[:-1].lower(), chunk[-1]]
         return self.words.findall(chunk.lower())
 
-    def _learn(self, new: list[str]) -> None:
-        """Encodes new chunks by the words in them; words not met before are encoded as one text.
-
-        Each word ends in exactly one token marked as last, which cuts the ids of that text again.
-        """
-        pieces = self.pieces
-        plain = [
-            (c, self._words(c)) for c in new
-            if c.isprintable() and ("<|" not in c if c.isascii() else not self.odd.search(c) and is_normalized("NFC", c))
-        ]
-        fresh = list({p for _, own in plain for p in own}.difference(pieces))
-        if len(pieces) + len(fresh) > WORDS:
-            pieces.clear()
-            fresh = list({p for _, own in plain for p in own})
-        for i in range(0, len(fresh), 512):
-            part = fresh[i : i + 512]
-            ids = np.array(self.of_words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
-            if len(ends) != len(part):
-                pieces.update(zip(part, self._ids(part)))
-                continue
-            raw, a = ids.tobytes(), 0
-            for p, b in zip(part, ends.tolist()):
-                pieces[p] = raw[a:b]
-                a = b
-        known, get = self.young, pieces.__getitem__
-        for c, own in plain:
-            known[c] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
-        rest = [c for c in new if c not in known]
-        known.update(zip(rest, self._ids(rest)))
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        met = set().union(*chunks)
-        if len(self.known) > OFTEN:
-            self.known = {}
-        if len(self.young) > ONCE:
-            self.young = {}
-        fresh = met.difference(self.known)
-        for c in self.young.keys() & fresh:
-            self.known[c] = self.young.pop(c)
-        new = fresh.difference(self.known)
-        if new:
-            self._learn(list(new))
-        # Looked up once per distinct chunk; the small table then stays in the processor's cache.
-        own = {c: self.known[c] for c in met.difference(new)} | {c: self.young[c] for c in new}
-        get = own.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+    def _learn_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, encoded as one text: each ends in exactly one token marked as last, which cuts it again."""
+        ids = np.array(self.of_words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        sizes = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+        if len(sizes) == len(words):
+            return ids, sizes
+        each = self._ids(words)
+        return np.concatenate(each), np.array([len(i) for i in each])
+
+    def _learn_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks by the words in them; what is not plain is left to the tokenizer."""
+        odd, words, counts, odd_at = self.odd.search, [], [], []
+        for i, c in enumerate(chunks):
+            if c.isprintable() and ("<|" not in c if c.isascii() else not odd(c) and is_normalized("NFC", c)):
+                if c.isalpha():
+                    words.append(c.lower())
+                    counts.append(1)
+                else:
+                    own = self._chunk_words(c)
+                    words += own
+                    counts.append(len(own))
+            else:
+                odd_at.append(i)
+                counts.append(0)
+        distinct = list(set(words))
+        slot_of = dict(zip(distinct, self.known_words.slots(distinct, self._learn_words).tolist()))
+        ids, of_word = self.known_words.runs.take(np.array([slot_of[w] for w in words], dtype=np.int64))
+        upto = np.concatenate(([0], np.cumsum(of_word)))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
+        if not odd_at:
+            return ids, np.diff(upto)
+        parts, sizes, a = [], np.diff(upto), 0
+        for i, own in zip(odd_at, self._ids([chunks[i] for i in odd_at])):
+            parts += [ids[a : upto[i]], own]
+            a, sizes[i] = upto[i], len(own)
+        return np.concatenate([*parts, ids[a:]]), sizes
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text begins (one more at the end)."""
+        if not self.by_words:
+            ids = self._ids(texts.to_pylist())
+            return np.concatenate([np.zeros(0, dtype="<u4"), *ids]), np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int64)
+        lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        chunks = lists.flatten().dictionary_encode()
+        slots = self.chunks.slots(chunks.dictionary.to_pylist(), self._learn_chunks)
+        own, sizes = self.chunks.runs.take(slots)
+        offsets = np.concatenate(([0], np.cumsum(sizes))) * 4
+        distinct = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(own)])
+        laid = distinct.take(chunks.indices)
+        upto = np.frombuffer(laid.buffers()[1], dtype=np.int64, count=len(laid) + 1) // 4
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.frombuffer(laid.buffers()[2] or b"", dtype="<u4", count=int(upto[-1])), upto[np.concatenate(([0], np.cumsum(counts)))]
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
@@ -168,6 +254,15 @@ def encoder(path: str) -> CachedEncoder:
     return _ENCODERS[path]
 
 
+def text_slices(texts: pa.Array, n_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """A column without NULLs in parts of about so many bytes (one text at least), each with its first row."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // n_bytes
+    bounds = np.flatnonzero(np.diff(part, prepend=-1, append=len(texts) * n_bytes + 1) != 0) if len(texts) else []
+    for a, b in zip(bounds, bounds[1:]):
+        yield int(a), texts.slice(a, b - a)
+
+
 def _schema_of(batch: list[dict]) -> pa.RecordBatch:
     types = pa.schema([
         ("shard", pa.int32()), ("chunk", pa.int32()), ("at", pa.int64()), ("n_ids", pa.int32()), ("kind", pa.string()),
@@ -189,46 +284,43 @@ def write_token_files(
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shard = encoder(vocabulary), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4").tobytes()
-        pending, size, at, chunk, doc_no, out = [], 0, 0, 0, 0, []
-
-        def emit(n_bytes: int) -> dict:
-            nonlocal pending, size, at, chunk
-            parts, row, need = [], {k: [] for k in ("doc_no", "doc_id", "doc_at", "doc_ids", "piece_ids")}, n_bytes
-            while need:
-                no, key, first, ids, offset = pending[0]
-                take = min(need, len(ids) - offset)
-                parts.append(ids[offset : offset + take])
-                for k, v in zip(row, (no, key, first, len(ids) // 4, take // 4)):
-                    row[k].append(v)
-                need -= take
-                if offset + take == len(ids):
-                    pending.pop(0)
-                else:
-                    pending[0] = (no, key, first, ids, offset + take)
-            raw = b"".join(parts)
-            made = row | {
-                "shard": shard, "chunk": chunk, "at": at, "n_ids": n_bytes // 4, "kind": kind, "crc": zlib.crc32(raw),
-                "planes": to_planes(raw, kind, level),
-            }
-            at, chunk, size = at + n_bytes // 4, chunk + 1, size - n_bytes
-            return made
-
-        first = 0
+        # Ids not yet written, where they begin in the file, and the documents they are of.
+        ids, at, chunk, doc_no = np.zeros(0, dtype="<u4"), 0, 0, 0
+        number, key, first, size = (np.zeros(0, dtype=np.int64) for _ in range(4))
+        key = pa.array([], pa.int64())
+
+        def emit(n: int, last: bool) -> Iterator[dict]:
+            """Blocks of ``n`` ids, and what remains if it is the last; forgets what they hold."""
+            nonlocal ids, at, chunk, number, key, first, size
+            a = 0
+            while len(ids) - a >= n or (last and a < len(ids)):
+                raw = ids[a : a + n]
+                lo, hi = at + a, at + a + len(raw)
+                i, j = int(np.searchsorted(first + size, lo, side="right")), int(np.searchsorted(first, hi))
+                inside = np.minimum(first[i:j] + size[i:j], hi) - np.maximum(first[i:j], lo)
+                yield {
+                    "shard": shard, "chunk": chunk, "at": lo, "n_ids": len(raw), "kind": kind, "crc": zlib.crc32(raw), "planes": to_planes(raw.tobytes(), kind, level),
+                    "doc_no": number[i:j], "doc_id": key.slice(i, j - i).to_pylist(), "doc_at": first[i:j], "doc_ids": size[i:j], "piece_ids": inside,
+                }
+                chunk, a = chunk + 1, a + len(raw)
+            ids, at = ids[a:], at + a
+            i = int(np.searchsorted(first + size, at, side="right"))
+            number, key, first, size = number[i:], key.slice(i), first[i:], size[i:]
+
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(keys), 256):
-                for key, ids in zip(keys[i : i + 256], own.batch(texts.slice(i, 256).to_pylist())):
-                    ids += end
-                    pending.append((doc_no, key, first, ids, 0))
-                    doc_no, first, size = doc_no + 1, first + len(ids) // 4, size + len(ids)
-                    while size >= block * 4:
-                        out.append(emit(block * 4))
-                if len(out) >= 16:
+            for row, part in text_slices(batch.column(1)):
+                more, begins = own.flat(part)
+                more = np.insert(more, begins[1:], end_id).astype("<u4", copy=False)
+                sizes, base = np.diff(begins) + 1, at + len(ids)
+                ids = np.concatenate((ids, more))
+                number = np.concatenate((number, doc_no + np.arange(len(sizes))))
+                key = pa.concat_arrays([key, batch.column(0).slice(row, len(sizes))])
+                first, size = np.concatenate((first, base + np.cumsum(sizes) - sizes)), np.concatenate((size, sizes))
+                doc_no += len(sizes)
+                out = list(emit(block, False))
+                if out:
                     yield _schema_of(out)
-                    out = []
-        if size:
-            out.append(emit(size))
+        out = list(emit(block, True))
         if out:
             yield _schema_of(out)
 

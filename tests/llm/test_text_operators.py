@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,21 @@ def test_token_files_round_trip(spark, docs, texts, kind, block):
         "last", F.expr("at + n_ids = max(at + n_ids) OVER (PARTITION BY shard)")).collect())
 
 
+def test_encoder_equals_the_library_whatever_it_keeps(texts):
+    """Few entries kept, so that generations change; and a tokenizer whose words cannot be encoded apart."""
+    column = pa.array([t or "" for t in texts])
+    for name, by_words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        library, own = Tokenizer.from_file(path), token_files.CachedEncoder(path, limit=50)
+        assert own.by_words == by_words
+        for n_bytes in (1, 3000, 1 << 23):
+            got = []
+            for _, part in token_files.text_slices(column, n_bytes):
+                ids, begins = own.flat(part)
+                got += [ids[a:b].tolist() for a, b in zip(begins, begins[1:])]
+            assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_planes_round_trip_for_any_length():
     for n in (1, 7, 8, 9, 1000):
         ids = np.random.default_rng(n).integers(0, 1 << 32, n, dtype=np.uint32).tobytes()
