@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.session import scratch_path
+from gridloom.session import scratch_path, shared_folder
 
 # A word of the counting rules: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +44,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``stored`` wrote, once nothing reads it any more."""
+    spark, shared = df.sparkSession, shared_folder(df.sparkSession).rstrip("/")
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getParent().toUri().getPath() != spark._jvm.org.apache.hadoop.fs.Path(shared).toUri().getPath():
+            raise ValueError(f"not a table of the shared folder: {folder}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # A look-up is broadcast up to this many rows, of some hundred bytes each; beyond, it is joined with salt.
 BROADCAST_ROWS = 50_000
 SALTS = 32

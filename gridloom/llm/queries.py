@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontamination, jaccard_join, licenses, mixing, quality_model, quality_rules, quote_links, secret_scan, token_counts, token_files
+from gridloom.llm import centroids, decontamination, jaccard_join, licenses, mixing, packing, quality_model, quality_rules, quote_links, secret_scan, token_counts, token_files, vector_codes
 from gridloom.llm.common import table
 from gridloom.session import scratch_path
 
@@ -197,3 +197,81 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_licenses")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.license_matches(table(spark, sf, "documents"))
+
+
+@query("op11_packing")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = packing.packed_sequences(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def _floor_of(s: str, n: str) -> str:
+    """SQL of ``floor(s / n)`` of whole numbers; DuckDB's own division cuts towards zero."""
+    return f"CAST(({s} - (({s} % {n}) + {n}) % {n}) // {n} AS BIGINT)"
+
+
+SQUARE = "CAST(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = len(embedding)"
+
+
+def _op12_sql(k: int = 40, rounds: int = 5) -> str:
+    parts = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND {FINITE}),
+c0 AS MATERIALIZED (
+  SELECT j, x FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) - 1 AS j, x FROM v) WHERE j < {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, min({{'d': d, 'j': j}}) AS best FROM (SELECT v.r, c.j, {SQUARE.format(a="v.x", b="c.x")} AS d FROM v, c{i} c) GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT c.j, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+    SELECT j, list(q ORDER BY p) AS x FROM (
+      SELECT j, p, {_floor_of("sum(e)", "count(*)")} AS q
+      FROM (SELECT best.j AS j, unnest(x) AS e, unnest(range(64)) AS p FROM a{i} JOIN v USING (r)) GROUP BY j, p) GROUP BY j) m USING (j))""")
+    return ",".join(parts) + f"""
+SELECT vec_id, CAST(best.j AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} c ON c.j = best.j
+"""
+
+
+@query("op12_ns_bounds", _op12_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf, "embeddings"))
+
+
+def _op13_sql(parts: int = 4, size: int = 256, rounds: int = 4) -> str:
+    steps = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE {FINITE}),
+s AS MATERIALIZED (SELECT r, p, x[p * len(x) // {parts} + 1 : (p + 1) * len(x) // {parts}] AS y FROM v, range({parts}) t(p)),
+c0 AS MATERIALIZED (
+  SELECT p, e, y FROM s JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS e FROM v) USING (r) WHERE e < {size})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, p, min({{'d': d, 'e': e}}) AS best FROM (SELECT s.r, s.p, c.e, {SQUARE.format(a="s.y", b="c.y")} AS d FROM s JOIN c{i} c USING (p)) GROUP BY r, p)""")
+        if i < rounds:
+            steps.append(f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT c.p, c.e, coalesce(m.y, c.y) AS y FROM c{i} c LEFT JOIN (
+    SELECT p, e, list(q ORDER BY k) AS y FROM (
+      SELECT p, e, k, {_floor_of("sum(z)", "count(*)")} AS q
+      FROM (SELECT p, best.e AS e, unnest(y) AS z, unnest(range(len(y))) AS k FROM a{i} JOIN s USING (r, p)) GROUP BY p, e, k) GROUP BY p, e) m USING (p, e))""")
+    return ",".join(steps) + f""",
+codes AS (
+  SELECT r, string_agg(lower(lpad(to_hex(best.e), 2, '0')), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256
+FROM codes JOIN v USING (r)
+"""
+
+
+@query("op13_vector_codes", _op13_sql())
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf, "embeddings"))

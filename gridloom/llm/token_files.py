@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from gridloom.llm.common import importable
+from gridloom.llm.kept import Kept
 
 BLOCK = 65_536
 # Chunks (and words) of a generation that a worker keeps; bytes of text encoded at a time.
@@ -93,60 +94,6 @@ SPLIT_WORDS = {
 }
 
 
-class Runs:
-    """Runs of ids by slot, in one growing array."""
-
-    def __init__(self) -> None:
-        self.ids, self.at, self.sizes = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-
-    def __len__(self) -> int:
-        return len(self.at)
-
-    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(sizes) - sizes))
-        self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids))
-
-    def take(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these slots one after the other, and how many of each."""
-        sizes = self.sizes[slots]
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.at[slots] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], sizes
-
-
-class Kept:
-    """Slots by name in two generations, and their runs.
-
-    What is met moves to the young generation. When that is full it becomes the old one, and entries
-    that were not met since the last change are gone.
-    """
-
-    def __init__(self, limit: int):
-        self.limit, self.runs = limit, Runs()
-        self.young: dict[str, int] = {}
-        self.old: dict[str, int] = {}
-
-    def slots(self, names: list[str], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The slot of each of these distinct names; ``learn`` gives ids and sizes of those not known."""
-        if len(self.young) > self.limit:
-            ids, sizes = self.runs.take(np.fromiter(self.young.values(), dtype=np.int64, count=len(self.young)))
-            self.runs = Runs()
-            self.runs.add(ids, sizes)
-            self.old, self.young = dict(zip(self.young, range(len(sizes)))), {}
-        get, old, young = self.young.get, self.old, self.young
-        slots = np.array([get(n, -1) for n in names], dtype=np.int64)
-        unmet, base, new = np.flatnonzero(slots < 0).tolist(), len(self.runs), []
-        for i in unmet:
-            name = names[i]
-            slot = old.get(name, -1)
-            if slot < 0:
-                slot = base + len(new)
-                new.append(name)
-            slots[i] = young[name] = slot
-        if new:
-            self.runs.add(*learn(new))
-        return slots
-
-
 class CachedEncoder:
     """Ids of texts, equal to the tokenizer's own.
 
@@ -159,6 +106,8 @@ class CachedEncoder:
 
     def __init__(self, path: str, limit: int = KEPT):
         self.tokenizer = Tokenizer.from_file(path)
+        # All ids are below.
+        self.n_ids = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         with open(path, encoding="utf-8") as file:
             specification = json.load(file)
         self.added = [t["content"] for t in specification.get("added_tokens", [])]
