@@ -6,7 +6,8 @@
    the band can differ in, so at least one segment is equal in both. A tile is one band, segment and
    segment content; sets that share no tile cannot be similar.
 3. Every set of a tile is checked against the tile's hub. Links found make components; only sets of
-   a tile that are still in different components are compared with each other, in blocks.
+   a tile that are still in different components are compared with each other, in blocks. There, a
+   link joins two components at once and pairs within one are skipped, so that links, not pairs, come out.
 4. A check bounds the overlap from above by the sizes and by hashed parity bitmaps (every differing
    shingle flips one bit, so differing bits never exceed differing shingles); what passes is decided
    by intersecting the sorted arrays.
@@ -28,8 +29,8 @@ from gridloom.llm.components import component_labels
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SLICE = 256
-BLOCK = 1024
-SKETCH = 64
+# Sets, and bytes of their hashes, in a block.
+BLOCK, BLOCK_BYTES = 1024, 1 << 25
 # A shingle is frequent in a batch from this share of its rows on, and at least so many; the most
 # frequent ones, a list of fixed size, are left out of tiles first. No link depends on the list.
 OFTEN_SHARE, OFTEN_LEAST, OFTEN_SIZE = 0.005, 8, 50_000
@@ -164,8 +165,11 @@ def tile_rows(hashes: np.ndarray, begins: np.ndarray, bands: Bands, often: np.nd
 
 
 def parity_bitmap(hashes: np.ndarray) -> bytes:
-    """One bit per residue, flipped by each shingle; longer for larger sets, always a power of two."""
-    bits = max(512, 1 << (max(len(hashes), 1).bit_length() - 1))
+    """One bit per residue, flipped by each shingle; a power of two of at least as many bits as shingles, 512 at least.
+
+    So many that two unrelated sets of any size differ in more bits than a link of 80 percent allows.
+    """
+    bits = max(512, 1 << max(len(hashes) - 1, 0).bit_length())
     return np.packbits((np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -183,10 +187,18 @@ def may_link(a: bytes, b: bytes, n_a: int, n_b: int, percent: int) -> bool:
     return (100 + percent) * differ <= (n_a + n_b) * (100 - percent)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with so many underscores before it that ``df`` has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    keys = ids.select(F.col(ids.columns[0]).alias("_only")).distinct()
+    name = fresh(docs, "only")
+    keys = ids.select(F.col(ids.columns[0]).alias(name)).distinct()
     few = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(keys) if few else keys, F.col("doc_id") == F.col("_only"), how)
+    return docs.join(F.broadcast(keys) if few else keys, F.col("doc_id") == F.col(name), how)
 
 
 def frequent(hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,19 +257,25 @@ def tile_members(docs: DataFrame, width: int, percent: int, often: np.ndarray) -
 
 
 def set_cards(docs: DataFrame, width: int) -> DataFrame:
-    """``node, n, bitmap, hashes`` of each row, and ``sketch``, the bitmap folded to ``SKETCH`` bytes."""
+    """``node, n, bitmap, hashes`` of each row."""
 
     def cards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, hashes, begins in _slices(batches, width):
             own = [hashes[a:b] for a, b in zip(begins, begins[1:])]
-            maps = [parity_bitmap(h) for h in own]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(np.diff(begins), pa.int64()), pa.array(maps, pa.binary()),
-                 pa.array([folded(m, SKETCH).tobytes() for m in maps], pa.binary()), pa.array([h.tobytes() for h in own], pa.binary())],
-                names=["node", "n", "bitmap", "sketch", "hashes"],
+                [ids, pa.array(np.diff(begins), pa.int64()), pa.array([parity_bitmap(h) for h in own], pa.binary()), pa.array([h.tobytes() for h in own], pa.binary())],
+                names=["node", "n", "bitmap", "hashes"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(cards, "node long, n long, bitmap binary, sketch binary, hashes binary")
+    return docs.select("doc_id", "text").mapInArrow(cards, "node long, n long, bitmap binary, hashes binary")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted arrays without repeats link."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def _of(cards: DataFrame, side: str, columns: list[str]) -> DataFrame:
@@ -274,13 +292,7 @@ def verified(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            keep = []
-            for x, y in zip(p["hashes_a"], p["hashes_b"]):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            keep = [similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(p["hashes_a"], p["hashes_b"])]
             yield p.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
     light = ["n", "bitmap"]
@@ -304,34 +316,55 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(tiles.where("lo < hi").select("key", "m"), "key")
 
 
-def _block_pairs(open_rows: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of different components in a tile that pass the bound, on bitmaps folded to one length.
+def _near_steps(n: np.ndarray, maps: np.ndarray, part: np.ndarray, mine: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one ``part`` that sizes and bitmaps allow, one distance between the two at a time.
+
+    Rows of a part lie together; ``mine`` tells the two sides of a part that joins two blocks (-1 where
+    any two rows may meet).
+    """
+    i, step = np.arange(len(n) - 1), 1
+    while len(i):
+        i = i[i + step < len(n)]
+        i = i[part[i] == part[i + step]]
+        j = i + step
+        fit = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((mine[i] < 0) | (mine[i] != mine[j]))
+        x, y = i[fit], j[fit]
+        differ = np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int64)
+        near = (100 + percent) * differ <= (n[x] + n[y]) * (100 - percent)
+        yield x[near], y[near]
+        step += 1
+
+
+def _one_length(bitmaps: list[bytes]) -> np.ndarray:
+    size = min(map(len, bitmaps), default=8)
+    return np.stack([folded(b, size).view(np.uint64) for b in bitmaps]) if len(bitmaps) else np.zeros((0, 1), dtype=np.uint64)
+
+
+def _candidates(open_rows: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
+    """``part, node, comp, mine`` of the nodes that the bound lets meet one of another component in a part.
 
-    A tile of many nodes is cut into blocks, and each pair of blocks is a group of its own.
+    A part is a tile, or two of its blocks where it has many or large sets. It is named by its nodes, as many
+    tiles hold the same ones.
     """
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = open_rows.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = spread.join(cards.select("node", "n", "sketch"), "node").select(
-        "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "comp", "n", "sketch"
-    )
-
-    def compare(part: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
-        """All rows of a group with those after them, one distance between the two at a time."""
-        node, comp, n, mine, lo, hi = (part[c].to_numpy() for c in ("node", "comp", "n", "mine", "lo", "hi"))
-        maps = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint64).reshape(len(node), -1)
-        found, i, step = [], np.arange(len(node) - 1), 1
-        while len(i):
-            i = i[i + step < len(node)]
-            i = i[group[i] == group[i + step]]
-            j = i + step
-            fit = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((lo[i] == hi[i]) | (mine[i] != mine[j]))
-            x, y = i[fit], j[fit]
-            differ = np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int64)
-            near = (100 + percent) * differ <= (n[x] + n[y]) * (100 - percent)
-            found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1)[near])
-            step += 1
-        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2)), columns=["a", "b"], dtype="int64").drop_duplicates()
+    sized = open_rows.join(cards.select("node", "n", "bitmap"), "node")
+    tiles = sized.groupBy("key").agg(F.max("n").alias("most"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("m") * F.col("most") * 8 / BLOCK_BYTES)).cast("int")
+    spread = sized.join(tiles, "key").withColumn("blocks", blocks)
+    spread = spread.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = spread.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "comp", "n", "bitmap")
+
+    def meeting(batch: pd.DataFrame, part: np.ndarray) -> pd.DataFrame:
+        node, comp, n, mine, lo, hi = (batch[c].to_numpy() for c in ("node", "comp", "n", "mine", "lo", "hi"))
+        side, maps, meets = np.where(lo == hi, -1, mine), _one_length(list(batch["bitmap"])), np.zeros(len(node), dtype=bool)
+        for x, y in _near_steps(n, maps, part, side, percent):
+            apart = comp[x] != comp[y]
+            meets[x[apart]] = meets[y[apart]] = True
+        names, at = [], np.flatnonzero(meets)
+        for own in np.split(at, np.flatnonzero(np.diff(part[at])) + 1) if len(at) else []:
+            own = own[np.argsort(node[own], kind="stable")]
+            names += [(xxhash.xxh3_128_digest(node[own].tobytes() + side[own].astype(np.int64).tobytes()), i) for i in own]
+        rows = [i for _, i in names]
+        return pd.DataFrame({"part": pd.Series([k for k, _ in names], dtype=object), "node": node[rows], "comp": comp[rows], "mine": side[rows]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -343,38 +376,79 @@ def _block_pairs(open_rows: DataFrame, cards: DataFrame, percent: int) -> DataFr
             whole = int(np.searchsorted(group, group[-1])) if len(group) else 0
             held = batch.iloc[whole:]
             if whole:
-                yield compare(batch.iloc[:whole], group[:whole])
+                yield meeting(batch.iloc[:whole], group[:whole])
         if held is not None and len(held):
-            yield compare(held, np.zeros(len(held), dtype=np.int64))
+            yield meeting(held, np.zeros(len(held), dtype=np.int64))
 
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(run, "a long, b long").distinct()
+    found = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(run, "part binary, node long, comp long, mine int")
+    return found.dropDuplicates(["part", "node"])
 
 
-def linked_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, component_id``.
+def joined_components(node: np.ndarray, comp: np.ndarray, n: np.ndarray, mine: np.ndarray, bitmaps: list[bytes], hashes: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of one part as all links would: fewer than there are rows."""
+    maps, sets, links = _one_length(bitmaps), [np.frombuffer(h, dtype=np.uint64) for h in hashes], []
+    names, of_row = np.unique(comp, return_inverse=True)
+    root = np.arange(len(names))
+    for x, y in _near_steps(n, maps, np.zeros(len(node), dtype=np.int64), mine, percent):
+        apart = root[of_row[x]] != root[of_row[y]]
+        for i, j in zip(x[apart].tolist(), y[apart].tolist()):
+            a, b = root[of_row[i]], root[of_row[j]]
+            if a != b and similar(sets[i], sets[j], percent):
+                root[root == b] = a
+                links.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+    return links
 
-    Two documents link when ``100 * intersection >= percent * union`` of their shingle sets;
-    ``component_id`` is the smallest id reachable by links. Texts without words (NULL too) have no
-    shingles and link with nothing. Rows that share an id are one node; rows without an id are only
-    linked to nothing and get a NULL component. An empty table gives an empty result.
+
+def _block_links(candidates: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that join the components of each part; a group is a part, so its size is bounded."""
+
+    def verify(part: pd.DataFrame) -> pd.DataFrame:
+        numbers = [part[c].to_numpy() for c in ("node", "comp", "n", "mine")]
+        return pd.DataFrame(joined_components(*numbers, list(part["bitmap"]), list(part["hashes"]), percent), columns=["a", "b"], dtype="int64")
+
+    return candidates.join(cards, "node").groupBy("part").applyInPandas(verify, "a long, b long").distinct()
+
+
+def _sets_apart(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``node, doc_id, digest, text``: one row for each set of the ids that have several (``doc_id, least``), and of rows without id.
+
+    The set of the least digest keeps its id as node; the others get numbers beyond all ids.
     """
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                hashes, begins = shingle_sets(part.column(1).to_pylist(), width)
+                names = [xxhash.xxh3_128_digest(hashes[a:b].tobytes()) if a < b else None for a, b in zip(begins, begins[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.binary())], names=["doc_id", "text", "digest"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    known = ids.select(F.col("doc_id").alias("k"), "least")
+    several = rows.join(known, F.col("doc_id") == F.col("k"), "left").where("k IS NOT NULL OR doc_id IS NULL").select("doc_id", "text")
+    each = several.mapInArrow(digests, "doc_id long, text string, digest binary").where("digest IS NOT NULL").dropDuplicates(["doc_id", "digest"])
+    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    numbered = each.join(known, F.col("doc_id") == F.col("k"), "left")
+    node = F.when(F.col("digest") == F.col("least"), F.col("doc_id")).otherwise(F.monotonically_increasing_id() + F.lit(top + 1))
+    return stored(numbered.select(node.alias("node"), "doc_id", "digest", "text"), "sets-apart")
+
+
+def _links(docs: DataFrame, summaries: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(a, b)``: links whose components are those of all links. ``docs`` has one set for each id."""
     spark = docs.sparkSession
-    summaries = stored(set_summaries(docs, width), "set-summaries")
-    filled = summaries.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    filled = summaries.where("n_shingles > 0")
     classes = stored(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "set-classes")
     copies = stored(filled.join(classes, "digest").where("doc_id != rep").select("doc_id", "rep"), "set-copies")
-    distinct = _only(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), copies.select("doc_id"), "left_anti")
+    distinct = _only(docs, copies.select("doc_id"), "left_anti")
     members = stored(tile_members(distinct, width, percent, often_list(summaries)), "tile-members")
     nodes = members.select("node").distinct()
-    texts = _only(docs.select("doc_id", "text"), nodes, "left_semi")
-    cards = set_cards(texts, width)
+    cards = set_cards(_only(docs, nodes, "left_semi"), width)
     if not filled.groupBy("doc_id").count().where("count > 1").isEmpty():
-        cards = cards.dropDuplicates(["node"])  # rows that share an id; else the sets need no shuffle
+        cards = cards.dropDuplicates(["node"])  # equal sets of one id; else the sets need no shuffle
     cards = stored(cards, "set-cards")
 
     links = spark.createDataFrame([], "a long, b long")
     checked = links
-    labels = spark.createDataFrame([], "node long, comp long")
     open_rows = members
     for seed in range(HUB_ROUNDS):
         pairs = _hub_pairs(open_rows, seed).join(checked, ["a", "b"], "left_anti") if seed else _hub_pairs(open_rows, seed)
@@ -384,17 +458,69 @@ def linked_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
         labels = component_labels(links)
         # A tile in one component stays in one.
         open_rows = stored(_open_members(open_rows.select("key", "node"), labels), "open-tiles")
-    rest = stored(_block_pairs(open_rows, cards, percent).join(checked, ["a", "b"], "left_anti"), "block-pairs")
-    links = links.unionByName(stored(verified(rest, cards, percent), "block-links"))
-    # Rows that share an id but not a set are joined through that id.
-    labels = component_labels(links.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
-    return summaries.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id")
-    )
+    candidates = stored(_candidates(open_rows, cards, percent), "block-candidates")
+    links = links.unionByName(stored(_block_links(candidates, cards, percent), "block-links"))
+    return links.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+
+
+def linked_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_shingles, component_id``.
+
+    Two documents link when ``100 * intersection >= percent * union`` of their shingle sets;
+    ``component_id`` is the smallest id reachable by links. Texts without words (NULL too) have no
+    shingles and link with nothing. Rows that share an id are one document with as many sets: it has the
+    links of each. A row without an id links as others do and has a NULL component if only rows without
+    an id can be reached. An empty table gives an empty result; other columns are not looked at.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    summaries = stored(set_summaries(docs, width), "set-summaries")
+    filled = summaries.where("n_shingles > 0")
+    several = filled.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("greatest")).where("doc_id IS NULL OR least < greatest")
+    several = stored(several.select("doc_id", "least"), "ids-of-several-sets")
+    if several.isEmpty():
+        labels = component_labels(_links(docs, summaries, width, percent))
+        return summaries.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+    several = several.where("doc_id IS NOT NULL")
+    apart = _sets_apart(docs, several, width)
+    one_each = _only(docs.where("doc_id IS NOT NULL"), several, "left_anti").unionByName(apart.select(F.col("node").alias("doc_id"), "text"))
+    one_each = stored(one_each, "one-set-each")
+    links = _links(one_each, stored(set_summaries(one_each, width), "set-summaries"), width, percent)
+    own = apart.where("doc_id IS NOT NULL AND node != doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    labels = stored(component_labels(links.unionByName(own)), "set-labels")
+    # Numbers beyond all ids are the labels of groups without an id.
+    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    with_id = summaries.where("doc_id IS NOT NULL").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    nameless = apart.where("doc_id IS NULL").join(labels, "node").where(F.col("comp") <= top).select("digest", "comp")
+    without = summaries.where("doc_id IS NULL").join(nameless, "digest", "left")
+    both = with_id.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+    return both.unionByName(without.select("doc_id", "n_shingles", F.col("comp").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are first in their group: the smallest id stays, copies of it go."""
-    groups = linked_groups(docs, width, percent)
-    gone = stored(groups.where("component_id < doc_id").select("doc_id"), "near-copies")
-    return _only(docs, gone, "left_anti").drop("_only")
+    """One row of ``docs``, with all its columns, for each group of ``linked_groups``: one of the smallest id.
+
+    Rows that share an id are one document, of which the row of the least text stays (NULL first; equal texts
+    by a hash of all columns). Of rows without an id, equal texts stay once, NULL being one; links between
+    different texts without an id are not looked at. Texts without words stay once for each id.
+    """
+    groups = stored(linked_groups(docs.where("doc_id IS NOT NULL"), width, percent), "near-groups")
+    gone = groups.where("component_id < doc_id").select("doc_id")
+    kept = _only(docs.where("doc_id IS NOT NULL"), gone, "left_anti")
+    repeated = stored(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    nameless = docs.where("doc_id IS NULL")
+    parts = [kept]
+    if not repeated.isEmpty():
+        parts = [_only(kept, repeated, "left_anti"), _least_row(_only(kept, repeated, "left_semi"), "doc_id")]
+    if not nameless.isEmpty():
+        parts.append(_least_row(nameless, "text"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _least_row(docs: DataFrame, key: str) -> DataFrame:
+    """One row per value of ``key``: that of the least text, then hash."""
+    row, name = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), fresh(docs, "row")
+    order = F.struct(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNotNull(), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return docs.groupBy(F.col(key).alias(fresh(docs, "key"))).agg(F.min_by(row, order).alias(name)).select(f"{name}.*")

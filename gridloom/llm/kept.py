@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Hashable
+from itertools import repeat
 
 import numpy as np
 
@@ -28,34 +29,32 @@ class Runs:
 
 
 class Kept:
-    """Slots by name in two generations, and their runs.
-
-    What is met moves to the young generation. When that is full it becomes the old one, and entries
-    that were not met since the last change are gone.
-    """
+    """Slots by name, and their runs; when there are more than ``limit``, the half used last stays."""
 
     def __init__(self, limit: int, dtype: str = "<u4"):
         self.limit, self.runs = limit, Runs(dtype)
-        self.young: dict[Hashable, int] = {}
-        self.old: dict[Hashable, int] = {}
+        # In order of slots; when each slot was used last.
+        self.index: dict[Hashable, int] = {}
+        self.used, self.clock = np.zeros(0, dtype=np.int32), 0
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(self.used, kind="stable")[-(self.limit // 2 + 1) :])
+        names, runs = list(self.index), Runs(self.runs.ids.dtype.str)
+        runs.add(*self.runs.take(keep))
+        self.index, self.used, self.runs = {names[i]: k for k, i in enumerate(keep.tolist())}, self.used[keep], runs
 
     def slots(self, names: list[Hashable], learn: Callable[[list[Hashable]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The slot of each of these distinct names; ``learn`` gives numbers and sizes of those not known."""
-        if len(self.young) > self.limit:
-            ids, sizes = self.runs.take(np.fromiter(self.young.values(), dtype=np.int64, count=len(self.young)))
-            self.runs = Runs(self.runs.ids.dtype.str)
-            self.runs.add(ids, sizes)
-            self.old, self.young = dict(zip(self.young, range(len(sizes)))), {}
-        get, old, young = self.young.get, self.old, self.young
-        slots = np.array([get(n, -1) for n in names], dtype=np.int64)
-        unmet, base, new = np.flatnonzero(slots < 0).tolist(), len(self.runs), []
-        for i in unmet:
-            name = names[i]
-            slot = old.get(name, -1)
-            if slot < 0:
-                slot = base + len(new)
-                new.append(name)
-            slots[i] = young[name] = slot
-        if new:
+        if len(self.index) > self.limit:
+            self._forget()
+        slots = np.fromiter(map(self.index.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        unmet = np.flatnonzero(slots < 0)
+        if len(unmet):
+            new, base = [names[i] for i in unmet.tolist()], len(self.index)
+            slots[unmet] = base + np.arange(len(new))
+            self.index.update(zip(new, range(base, base + len(new))))
+            self.used = np.concatenate((self.used, np.zeros(len(new), dtype=np.int32)))
             self.runs.add(*learn(new))
+        self.clock += 1
+        self.used[slots] = self.clock
         return slots

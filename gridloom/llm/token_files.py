@@ -39,7 +39,7 @@ from gridloom.llm.common import importable
 from gridloom.llm.kept import Kept
 
 BLOCK = 65_536
-# Chunks (and words) of a generation that a worker keeps; bytes of text encoded at a time.
+# Chunks (and words) that a worker keeps; bytes of text encoded at a time.
 KEPT, SLICE_BYTES = 250_000, 1 << 22
 SCHEMA = (
     "shard int, chunk int, at long, n_ids int, kind string, crc long, planes array<binary>, doc_no array<long>, "
@@ -99,8 +99,7 @@ class CachedEncoder:
 
     For tokenizers of the shape ``SPLIT_WORDS`` (white space is dropped, words end in a marked token),
     texts are cut at spaces and line feeds by Arrow, and each distinct chunk of a batch is looked up or
-    encoded once. Chunks and words are kept in two generations: what is met moves to the young one,
-    and when that is full it becomes the old one, whose unused entries are then gone. Any other
+    encoded once. Chunks and words are kept, those used least recently make room for others. Any other
     tokenizer encodes whole texts.
     """
 
@@ -183,7 +182,7 @@ class CachedEncoder:
             return np.concatenate([np.zeros(0, dtype="<u4"), *ids]), np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int64)
         lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
         chunks = lists.flatten().dictionary_encode()
-        slots = self.chunks.slots(chunks.dictionary.to_pylist(), self._learn_chunks)
+        slots = self.chunks.slots(chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), self._learn_chunks)
         own, sizes = self.chunks.runs.take(slots)
         offsets = np.concatenate(([0], np.cumsum(sizes))) * 4
         distinct = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(own)])

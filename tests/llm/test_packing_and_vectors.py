@@ -216,7 +216,7 @@ def test_cells_spare_most_entries_and_forget():
         memo = vector_codes.CellMemo(entries, 64, limit)
         code, squares = memo.nearest(x)
         assert (code == full.argmin(axis=1)).all() and (squares == full.min(axis=1)).all()
-        assert memo.n_measured < 0.2 * full.size and len(memo.cells.young) <= limit + vector_codes.ROWS
+        assert memo.n_measured < 0.2 * full.size and len(memo.cells.index) <= limit + vector_codes.ROWS
 
 
 def test_no_vectors_no_codes(spark, rows):

@@ -87,6 +87,65 @@ def test_sets_that_fail_with_the_hub_are_found_in_blocks(spark, monkeypatch):
     assert got == {**{i: 0 for i in range(30)}, 99: 99}
 
 
+def test_rows_that_share_an_id_have_the_links_of_all_their_sets(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(100)) for k in "ABCD"}
+    near = {k: t.replace("50", "changed") for k, t in text.items()}
+    rows = [(1, text["A"]), (1, text["B"]), (2, near["A"]), (3, near["B"]), (3, near["B"]), (5, text["C"]), (None, near["C"]), (None, near["C"]), (None, text["D"]), (None, "")]
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_join.linked_groups(documents(spark, [(i, t, "en", "a") for i, t in rows])).collect()), key=str)
+    assert got == sorted([(1, 96, 1)] * 2 + [(2, 96, 1), (3, 96, 1), (3, 96, 1), (5, 96, 5), (0, 96, 5), (0, 96, 5), (0, 96, None), (0, 0, None)], key=str)
+    rows = [(1, text["A"]), (5, text["A"]), (5, text["B"]), (7, near["B"])]
+    assert {r.component_id for r in jaccard_join.linked_groups(documents(spark, [(i, t, "en", "a") for i, t in rows])).collect()} == {1}
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(4, text, "en", "a"), (4, text, "en", "a"), (4, text + " x", "en", "a"), (9, text, "en", "b"), (None, "no id", "en", None), (None, "no id", "en", None), (None, None, "en", None), (6, "", "en", "a"), (6, None, "en", "a")]
+    docs = documents(spark, rows).withColumns({"_only": F.lit(1), "only": F.lit(2), "row": F.lit(3), "component_id": F.lit(4)})
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text or "", r._only, r.only, r.component_id) for r in kept.collect())) == [(0, "", 1, 2, 4), (0, "no id", 1, 2, 4), (4, text, 1, 2, 4), (6, "", 1, 2, 4)]
+    assert jaccard_join.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_a_part_gives_fewer_links_than_rows_and_the_same_components():
+    """A clique of near copies, each in a component of its own, large sets that a short bitmap could not tell apart, and a chain."""
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 1 << 62, 5000, dtype=np.uint64))
+    sets = [np.sort(np.concatenate((base[40:], np.unique(rng.integers(0, 1 << 62, 20, dtype=np.uint64))))) for _ in range(60)]
+    sets += [np.unique(rng.integers(0, 1 << 62, 5000, dtype=np.uint64)) for _ in range(60)]
+    chain = np.unique(rng.integers(0, 1 << 62, 9000, dtype=np.uint64))
+    sets += [chain[i * 400 : i * 400 + 5000] for i in range(10)]
+    order = rng.permutation(len(sets))
+    sets = [sets[i] for i in order]
+    node, n = np.arange(len(sets)), np.array([len(s) for s in sets])
+    tried = []
+    exact = jaccard_join.similar
+    jaccard_join.similar = lambda x, y, p: tried.append(1) or exact(x, y, p)
+    try:
+        links = jaccard_join.joined_components(node, node, n, np.full(len(sets), -1), [jaccard_join.parity_bitmap(s) for s in sets], [s.tobytes() for s in sets], 80)
+    finally:
+        jaccard_join.similar = exact
+    group = list(range(len(sets)))
+    for a, b in links:
+        group = [group[a] if g == group[b] else g for g in group]
+    want = {frozenset(np.flatnonzero(order < 60)), frozenset(np.flatnonzero(order >= 120))} | {frozenset([i]) for i in np.flatnonzero((order >= 60) & (order < 120))}
+    assert {frozenset(i for i, g in enumerate(group) if g == own) for own in group} == want
+    assert len(links) == 59 + 9 and len(tried) < 200
+
+
+def test_a_large_clique_of_near_copies(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(2000):
+        own = list(words)
+        own[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(own), "en", "a"))
+    rows += [(5000 + i, " ".join(f"{i}_{k}" for k in range(100)), "en", "a") for i in range(30)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.linked_groups(documents(spark, rows).repartition(4)).collect()}
+    assert got == {**{i: 0 for i in range(2000)}, **{5000 + i: 5000 + i for i in range(30)}}
+
+
 def test_sizes_and_bitmaps_never_exclude_a_link():
     rng = np.random.default_rng(3)
     for n in (1, 5, 40, 700, 5000):
