@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import stored
 from gridloom.operators.ranking import prefix_sums
 
-MARKS = r"^([ \t]*>)+"
-# Line that introduces a quotation and goes with it.
-INTRODUCTION = r"^[^\n]{0,200} wrote:[ \t]*$"
+# Up to the last mark of those a line begins with. No groups are repeated, so lines may be of any length.
+MARKS = r"^[ \t>]*>"
+# End of a line that introduces a quotation and goes with it.
+INTRODUCTION = " wrote:"
+# White space at the ends; a run within is passed once.
+ENDS = r"^\s+|(?<!\s)\s++$"
 # Turns are looked up in stretches of this many, so a passage repeated all along a long conversation is split.
 STRETCH = 1024
 NO_ID = -(1 << 63)
@@ -48,7 +51,7 @@ def parsed_lines(messages: DataFrame) -> DataFrame:
     blank = ~F.col("line").rlike(r"\S")
     fresh = F.when(blank | (F.lag("level").over(order) != F.col("level")) | F.lag("pos").over(order).isNull(), 1).otherwise(0)
     marked = leveled.withColumns({"blank": blank, "fresh": fresh, "next": F.lead("level").over(order)})
-    lead_in = (F.col("level") == 0) & F.col("line").rlike(INTRODUCTION) & (F.coalesce("next", F.lit(0)) > 0)
+    lead_in = (F.col("level") == 0) & F.rtrim("line", F.lit(" \t")).endswith(INTRODUCTION) & (F.coalesce("next", F.lit(0)) > 0)
     runs = marked.withColumn("run", F.when(~F.col("blank"), F.sum("fresh").over(order)))
     return runs.select("c", "t", "m", "pos", "level", "line", "run", lead_in.alias("lead_in"))
 
@@ -130,7 +133,7 @@ def linked_conversations(conversations: DataFrame) -> DataFrame:
     ).select("m", F.concat_ws("\n", F.transform("kept", lambda k: k["line"])).alias("body"), "n_quotes", "max_level")
     rows = messages.join(own, "m", "left").join(links, "m", "left").join(trees, "m", "left").select(
         "conv_id", "turn", "role", "c", "t", "m",
-        F.regexp_replace(F.coalesce("body", "text", F.lit("")), r"^\s+|\s+$", "").alias("body"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
+        F.regexp_replace(F.coalesce("body", "text", F.lit("")), ENDS, "").alias("body"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
         F.coalesce("max_level", F.lit(0)).cast("int").alias("max_level"), F.col("parent_t").alias("reply_to"),
         F.coalesce("root_t", "t").alias("root_turn"), F.coalesce("root", "m").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
     )

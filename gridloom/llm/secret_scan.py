@@ -31,9 +31,11 @@ CLASSES = {
     "key": ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3.7),
 }
 ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|x{6}|0{6}|1234567|abcdefg"
-# An allow-list match takes up to three letters and digits on both sides along, so that a token that is
-# hardly longer than a window is told by it; it never reaches beyond a separator.
-CUT = rf"(?i)[a-z0-9]{{0,3}}(?:{ALLOWED[4:]})(?:[a-z0-9]{{0,3}}(?:{ALLOWED[4:]}))*[a-z0-9]{{0,3}}"
+# One entry of the list, long runs of one letter whole and without stepping back.
+ENTRY = r"(?i)example|sample|dummy|placeholder|changeme|x{6,}+|0{6,}+|1234567|abcdefg"
+# An entry takes up to so many letters and digits on both sides along, so that a token that is hardly
+# longer than a window is told by it; it never reaches beyond a separator.
+BESIDE = 3
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
@@ -172,8 +174,17 @@ def secret_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def parts(c: Column) -> Column:
         word = c["word"]
-        allowed = _spans(word, CUT, F.regexp_extract_all(word, F.lit(CUT), F.lit(0)), 1, "allowed", entropy)
-        moved = F.transform(allowed, lambda s: F.struct((s["start"] + c["start"]).alias("start"), s["rank"].alias("rank"), (s["end"] + c["start"]).alias("end"), s["kind"].alias("kind")))
+        allowed = _spans(word, ENTRY, F.regexp_extract_all(word, F.lit(ENTRY), F.lit(0)), 1, "allowed", entropy)
+
+        def widened(s: Column) -> Column:
+            begin = F.greatest(s["start"] - BESIDE, F.lit(0))
+            left = F.regexp_extract(F.substring(word, (begin + 1).cast("int"), (s["start"] - begin).cast("int")), "[A-Za-z0-9]*$", 0)
+            right = F.regexp_extract(F.substring(word, (s["end"] + 1).cast("int"), F.lit(BESIDE)), "^[A-Za-z0-9]*", 0)
+            return F.struct(
+                (s["start"] + c["start"] - F.length(left)).alias("start"), s["rank"].alias("rank"), (s["end"] + c["start"] + F.length(right)).alias("end"), s["kind"].alias("kind")
+            )
+
+        moved = F.transform(allowed, widened).cast(SPAN)
         cuts = F.sort_array(F.concat("base", F.when(word.rlike(ALLOWED), moved).otherwise(_none())))
         kept = F.filter(_outside(c["start"], word, cuts), lambda p: p["word"].rlike("[0-9]") & p["word"].rlike("[A-Za-z]"))
         return kept
@@ -196,7 +207,11 @@ def joined(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, spans of each kind counted, digest of the base ones, all spans as text."""
+    """Per row of ``docs``: ``doc_id``, spans of each kind counted, digest of the base ones, all spans as text.
+
+    NULL and empty texts have no spans. Texts and candidates of any length are scanned whole. Repeated rows
+    have a row each, a NULL id is kept; other columns are not looked at. An empty table gives an empty result.
+    """
     found = secret_spans(docs, ["doc_id"])
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(

@@ -494,3 +494,26 @@ def test_empty_tables(spark):
         quote_links.linked_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")),
     ]
     assert all(r.count() == 0 for r in results)
+
+
+def test_secrets_in_very_long_runs(spark):
+    key = "Zk3Qw8Lm5Vb2Xn7Cd4Rt"
+    texts = ["a1" + "0" * 1_000_000, "x" * 300_000 + "1", key + "0" * 200_000 + "/" + key, "password=" + "a" * 500_000, "password" + " " * 300_000 + "= " + key]
+    got = {r.doc_id: r for r in secret_scan.secret_report(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert got[0].spans == f"hex:0:{len(texts[0])}" and got[1].spans == "" and got[3].n_assign == 1
+    assert got[2].spans.split(",")[-1] == f"entropy:{len(texts[2]) - 21}:{len(texts[2])}"
+    assert got[4].n_assign == 1
+
+
+def test_quotes_of_very_long_lines(spark):
+    inner = "x" + " " * 1_000_000 + "y"
+    name = "n" * 5000
+    rows = [
+        (1, 0, "a", "the first message here"), (1, 1, "b", ">" * 1_000_000 + " the first message here"),
+        (2, 0, "a", inner), (2, 1, "b", name + " wrote: \t\n> " + inner + "\nreply\n" + " " * 100_000), (3, 0, "a", " > " * 300_000 + "z"),
+    ]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quote_links.linked_conversations(messages).collect()}
+    assert got[1, 1].reply_to == 0 and got[1, 1].max_level == 1_000_000 and got[1, 1].body == ""
+    assert got[2, 0].body == inner and got[2, 1].body == "reply" and got[2, 1].reply_to == 0
+    assert got[3, 0].max_level == 300_000 and got[3, 0].body == ""
