@@ -12,17 +12,18 @@ def density_histogram(df: DataFrame, value: str, bins: int, by: list[str] | None
     """Count and density per bin between minimum and maximum; the last bin is closed.
 
     Rows collapse to ``(group, bin)`` before the shuffle. Bounds come from a first pass, one row per
-    group, and are joined; NULL is a group of its own.
+    group, and are joined (without groups: one scalar); NULL is a group of its own.
     """
     by = by or []
     v = F.col(value)
     shown = df.where(v > 0).select(*by, F.log10(v).alias("v")) if log10 else df.where(v.isNotNull()).select(*by, v.alias("v"))
-    shown = shown.withColumn("_all", F.lit(0))
-    keys = [*by, "_all"]
-    bounds = shown.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(
+    bounds = shown.groupBy(*[F.col(k).alias(f"_of_{k}") for k in by]).agg(
         F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")).alias("b")
     )
-    placed = shown.join(bounds, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    if by:
+        placed = shown.join(bounds, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by])
+    else:
+        placed = shown.withColumn("b", bounds.scalar())
     width = (F.col("b.hi") - F.col("b.lo")) / bins
     at = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("b.lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
     counted = placed.select(*by, "b", width.alias("w"), at.cast("int").alias("bin")).groupBy(*by, "b", "w", "bin").agg(

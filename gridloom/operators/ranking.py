@@ -28,13 +28,6 @@ def prefix_sums(df: DataFrame, order: list[Column], weights: dict[str, Column])
     return joined.select(*df.columns, *[(F.col(f"_o_{n}") + F.col(f"_r_{n}")).alias(n) for n in weights])
 
 
-def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Rank of each distinct value, ties averaged: ``(value, out)``."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = prefix_sums(counts, [F.col(value)], {"_before": F.col("_n")})
-    return ranked.select(value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
-
-
 def top_cells(df: DataFrame, value: str, n: int = 5) -> DataFrame:
     """The ``n`` highest cells; equal values in cell order."""
     return df.where(F.col(value).isNotNull()).orderBy(F.desc(value), "iy", "ix").limit(n)

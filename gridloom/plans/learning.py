@@ -17,6 +17,7 @@ from pyspark.sql.utils import AnalysisException
 from gridloom import config
 from gridloom.functions import scores
 from gridloom.operators import datasets, labels, metrics
+from gridloom.session import scratch_path
 
 REGRESSORS = ("GBT", "RandomForest", "Linear", "NoSkill")
 CLASSIFIERS = REGRESSORS
@@ -266,14 +267,20 @@ def compare(
     )
 
 
-def _class_measures(rows: DataFrame) -> list:
-    """All class and ranking metrics of one window; each is a one-row result."""
-    tables = (
-        metrics.class_metrics(rows), metrics.roc_auc(rows), metrics.spearman(rows, "y", "score"),
-        metrics.hit_at_k(rows, key=("iy", "ix", "time")),
-    )
-    found = {k: v for row in (t.first() for t in tables) if row is not None for k, v in row.asDict().items()}
-    return [found.get(m) for m in CLASS_MEASURES]
+WINDOWS = {"val": "val", "test": "hold"}
+
+
+def _by_window(scored: DataFrame, species: str, learner: str) -> DataFrame:
+    """The scored rows of the validation and the holdout window, named by species, learner and window."""
+    shown = F.filter(F.array(*[F.when(F.col(w), F.lit(w)) for w in WINDOWS]), lambda w: w.isNotNull())
+    names = [F.lit(species).alias("species"), F.lit(learner).alias("algorithm"), F.explode(shown).alias("window")]
+    return scored.select(*names, "iy", "ix", "time", "y", "y_bin", F.col("predicted").cast("int").alias("predicted"), F.col("score").cast("double").alias("score"))
+
+
+def _class_measures(spark: SparkSession, path: str) -> DataFrame:
+    """``species, algorithm, window`` and all class and ranking metrics, of all groups in one job over the scored rows below ``path``."""
+    scored = spark.read.parquet(path)
+    return metrics.ranking_metrics(scored, ["species", "algorithm", "window"], value="y", key=("iy", "ix", "time"))
 
 
 def compare_classifiers(
@@ -281,8 +288,11 @@ def compare_classifiers(
     policy: str = "prefer_catch", requested: list[str] | None = None, splits=None, settings: dict | None = None,
     positive_ratio: float = 0.5,
 ) -> DataFrame:
-    """Hotspot study: class and ranking metrics per species, learner and window."""
-    parts = []
+    """Hotspot study: class and ranking metrics per species, learner and window.
+
+    The fits append their scored rows to one table; the metrics of all of them come from one pass over it.
+    """
+    spark, path = matrix.sparkSession, scratch_path(matrix.sparkSession, "study")
     for code in species:
         ready = prepare(matrix, code, catches, policy, requested, splits)
         rows = datasets.hotspot_labels(ready.rows, positive_ratio).persist()
@@ -293,16 +303,11 @@ def compare_classifiers(
                 model = None if name == "NoSkill" else _fit_with_early_stop(
                     name, ready.features, rows, n_train, classify=True, **options
                 )
-                columns = ["iy", "ix", "time", "val", "test", "y", "y_bin", "predicted", "score"]
-                scored = _score_classes(model, rows).where("val OR test").select(*columns).persist()
-                try:
-                    parts += [(code, name, w, *_class_measures(scored.where(F.col(w)))) for w in ("val", "test")]
-                finally:
-                    scored.unpersist()
+                _by_window(_score_classes(model, rows), code, name).write.mode("append").parquet(path)
         finally:
             rows.unpersist()
-    columns = ", ".join(f"{m} double" for m in CLASS_MEASURES)
-    return matrix.sparkSession.createDataFrame(parts, f"species string, algorithm string, window string, {columns}")
+    columns = [F.col(m).cast("double").alias(m) for m in CLASS_MEASURES]
+    return _class_measures(spark, path).select("species", "algorithm", "window", *columns)
 
 
 REGRESSION_MEASURES = ("rmse", "mae", "r2")
@@ -318,7 +323,7 @@ def unified_study(
     ``threshold`` separates hot spots on the training rows; class, rank and regression measures come
     for the validation window (``_val``) and the holdout (``_hold``); ``train_s`` covers both fits.
     """
-    parts = []
+    spark, path, parts = matrix.sparkSession, scratch_path(matrix.sparkSession, "study"), []
     for code in species:
         ready = prepare(matrix, code, catches, policy, requested, splits)
         rows = datasets.hotspot_labels(ready.rows, positive_ratio).persist()
@@ -333,19 +338,22 @@ def unified_study(
                     sorter = _fit_with_early_stop(name, ready.features, rows, n_train, classify=True, **options)
                     values = _fit_with_early_stop(name, ready.features, rows, n_train, **options).transform(rows)
                 seconds = clock.perf_counter() - started
-                columns = ["iy", "ix", "time", "val", "test", "y", "y_bin", "predicted", "score"]
-                scored = _score_classes(sorter, rows).where("val OR test").select(*columns).persist()
-                try:
-                    found = [m for w in ("val", "test") for m in (*_class_measures(scored.where(F.col(w))), *split_metrics(values, w).values())]
-                finally:
-                    scored.unpersist()
+                _by_window(_score_classes(sorter, rows), code, name).write.mode("append").parquet(path)
+                found = [m for w in WINDOWS for m in split_metrics(values, w).values()]
                 parts.append((code, name, ready.label_kind, facts["threshold"], facts["train"], facts["val"], facts["test"], *found, seconds))
         finally:
             rows.unpersist()
-    measures = ", ".join(f"{m}_{w} double" for w in ("val", "hold") for m in (*CLASS_MEASURES, *REGRESSION_MEASURES))
-    return matrix.sparkSession.createDataFrame(
+    measures = ", ".join(f"{m}_{w} double" for w in WINDOWS.values() for m in REGRESSION_MEASURES)
+    fits = spark.createDataFrame(
         parts, f"species string, algorithm string, label_kind string, threshold double, n_train long, n_val long, n_holdout long, {measures}, train_s double"
     )
+    wide = [
+        F.max(F.when(F.col("window") == w, F.col(m))).cast("double").alias(f"{m}_{short}") for w, short in WINDOWS.items() for m in CLASS_MEASURES
+    ]
+    ranked = _class_measures(spark, path).groupBy("species", "algorithm").agg(*wide)
+    order = ["species", "algorithm", "label_kind", "threshold", "n_train", "n_val", "n_holdout"]
+    order += [f"{m}_{w}" for w in WINDOWS.values() for m in (*CLASS_MEASURES, *REGRESSION_MEASURES)]
+    return fits.join(ranked, ["species", "algorithm"], "left").select(*order, "train_s")
 
 
 def train_all(

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,10 +68,7 @@ def test_shared_cells_take_the_area_of_the_largest_volume(spark):
     assert [tuple(r) for r in catches.to_cells(df).collect()] == [(2, "scad", 2020, 1, 11.0, 10.0, 120.0)]
 
 
-@pytest.mark.parametrize("small", [0, 10**9])
-def test_quantiles_equal_numpy_with_a_hot_group(spark, monkeypatch, small):
-    monkeypatch.setattr(quantiles, "SMALL_GROUP", small)
-    monkeypatch.setattr(quantiles, "ACCURACY", 1000)
+def test_quantiles_equal_numpy_with_a_hot_group(spark):
     rng = np.random.default_rng(0)
     data = {"hot": np.round(rng.exponential(size=30_000), 3), "flat": np.full(5_000, 2.5), "spread": rng.normal(size=9_001)}
     rows = [(k, float(v)) for k, a in data.items() for v in a]
@@ -81,6 +79,32 @@ def test_quantiles_equal_numpy_with_a_hot_group(spark, monkeypatch, small):
             assert r[name] == pytest.approx(np.quantile(data[r.g], p), abs=1e-12)
 
 
+def test_rank_metrics_of_a_thousand_groups_and_a_hot_one(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(1000):
+        n = int(rng.integers(1, 9))
+        rows += [(f"g{g}", i, int(rng.random() < 0.5), float(rng.integers(0, 4)), float(rng.integers(0, 3))) for i in range(n)]
+    rows += [("hot", i, int(rng.random() < 0.3), float(np.round(rng.random(), 2)), float(rng.normal())) for i in range(8000)]
+    rows += [(None, i, i % 2, float(i), float(-i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, k long, y_bin int, score double, y_cont double").repartition(5)
+    auc = {r.g: r.roc_auc for r in metrics.roc_auc(df, by=["g"]).collect()}
+    rho = {r.g: r.spearman for r in metrics.spearman(df, by=["g"]).collect()}
+    hit = {r.g: r.hit_at_k for r in metrics.hit_at_k(df, by=["g"]).collect()}
+    frame = pd.DataFrame(rows, columns=["g", "k", "y", "s", "c"])
+    frame["g"] = frame["g"].fillna("-")
+    assert len(auc) == len(rho) == len(hit) == 1002
+    for g, own in frame.groupby("g"):
+        g = None if g == "-" else g
+        pos, ranks = own.y.sum(), own.s.rank()
+        want = None if pos in (0, len(own)) else (ranks[own.y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(own) - pos))
+        assert auc[g] == pytest.approx(want, abs=1e-12)
+        want = None if own.s.nunique() < 2 or own.c.nunique() < 2 else np.corrcoef(ranks, own.c.rank())[0, 1]
+        assert rho[g] == pytest.approx(want, abs=1e-9)
+        top = own.sort_values(["s", "k"], ascending=[False, True]).head(pos)
+        assert hit[g] == pytest.approx(top.y.mean() if pos else None)
+
+
 def test_prefix_sums_follow_the_global_order(spark):
     rng = np.random.default_rng(1)
     values = rng.integers(0, 50, 2000)
