@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import time as clock
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -17,8 +22,11 @@ from pyspark.sql.utils import AnalysisException
 from gridloom import config
 from gridloom.functions import scores
 from gridloom.operators import datasets, labels, metrics
+from gridloom.plans import boosting
 from gridloom.session import scratch_path
 
+T = TypeVar("T")
+
 REGRESSORS = ("GBT", "RandomForest", "Linear", "NoSkill")
 CLASSIFIERS = REGRESSORS
 CLASS_MEASURES = ("accuracy", "precision", "recall", "f1", "roc_auc", "spearman", "hit_at_k")
@@ -43,16 +51,15 @@ def _stages(features: list[str], learner, scaled: bool = False) -> Pipeline:
     return Pipeline(stages=[assembler, *scaler, learner])
 
 
-def make_learner(name: str, features: list[str], classify: bool = False, rows: int = 1, validation: str | None = None, **settings):
+def make_learner(name: str, features: list[str], classify: bool = False, rows: int = 1, **settings):
     """An unfitted pipeline. ``settings`` override tree counts and depths."""
     gbt, forest = {**config.BOOSTED_TREES, **settings}, {**config.FOREST, **settings}
     common = {"featuresCol": "inputs", "labelCol": "y_bin" if classify else "y"}
     if name == "GBT":
-        early = {"validationIndicatorCol": validation} if validation else {}
         kind = GBTClassifier if classify else GBTRegressor
         return _stages(features, kind(
             maxIter=gbt["trees"], maxDepth=gbt["depth"], stepSize=gbt["rate"], subsamplingRate=gbt["rows"],
-            featureSubsetStrategy=str(gbt["columns"]), seed=gbt["seed"], **common, **early,
+            featureSubsetStrategy=str(gbt["columns"]), seed=gbt["seed"], **common,
         ))
     if name == "RandomForest":
         kind = RandomForestClassifier if classify else RandomForestRegressor
@@ -118,13 +125,25 @@ def prepare(
     return Prepared(datasets.training_set(labelled, features, transform, medians, splits=splits), features, medians, kind, transform)
 
 
+def _together(spark: SparkSession, jobs: list[Callable[[], T]], at_once: int = 4) -> list[T]:
+    """Results of jobs in their order; up to ``at_once`` run at a time, each in a pool of its own where jobs are scheduled fairly."""
+
+    def pooled(i: int, job: Callable[[], T]) -> T:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{i % at_once}")
+        return job()
+
+    with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(jobs)))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(pooled), i, job) for i, job in enumerate(jobs)]]
+
+
 def _fit_with_early_stop(name: str, features: list[str], rows: DataFrame, n_train: int, classify: bool = False, **settings):
-    """Study fit: boosting runs long and stops on the validation rows; the others use training rows."""
+    """Study fit on the training rows; boosting runs long and keeps the stage that the validation rows pick."""
+    train = boosting.packed(rows.where("train"), n_train)
     if name == "GBT":
-        options = {"trees": config.BOOSTED_TREES_STUDY["trees"], **settings}
-        learner = make_learner(name, features, classify, n_train, validation="val", **options)
-        return learner.fit(rows.where("train OR val"))
-    return make_learner(name, features, classify, n_train, **settings).fit(rows.where("train"))
+        options = {**config.BOOSTED_TREES_STUDY, **settings}
+        patience = options.pop("patience")
+        return boosting.fit_with_patience(make_learner(name, features, classify, n_train, **options), train, rows.where("val"), classify, patience)[0]
+    return make_learner(name, features, classify, n_train, **settings).fit(train)
 
 
 def split_metrics(scored: DataFrame, split: str) -> dict:
@@ -143,7 +162,7 @@ def train(
     rows = ready.rows.select(*ready.features, "label", "y", "train", "val", "test").persist()
     try:
         sizes = rows.agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in ("train", "val", "test")]).first()
-        fitted = make_learner(learner, ready.features, rows=sizes["train"] or 1, **settings).fit(rows.where("train"))
+        fitted = make_learner(learner, ready.features, rows=sizes["train"] or 1, **settings).fit(boosting.packed(rows.where("train"), sizes["train"] or 1))
         scored = fitted.transform(rows)
         report = {
             "n_train": sizes["train"], "n_val": sizes["val"], "n_holdout": sizes["test"],
@@ -166,7 +185,7 @@ def train_classifier(
     matrix: DataFrame, species: str, catches: DataFrame | None = None, policy: str = "prefer_catch",
     requested: list[str] | None = None, splits=None, learner: str = "GBT", positive_ratio: float = 0.5, **settings,
 ) -> tuple[PipelineModel | None, DataFrame]:
-    """Hotspot classifier; boosting stops early on the validation rows. Returns model and scored rows."""
+    """Hotspot classifier; boosting keeps the stage of the best area under the curve on the validation rows. Returns model and scored rows."""
     ready = prepare(matrix, species, catches, policy, requested, splits)
     rows = datasets.hotspot_labels(ready.rows, positive_ratio)
     if learner == "NoSkill":
@@ -238,9 +257,10 @@ def compare(
     policy: str = "prefer_catch", requested: list[str] | None = None, splits=None, settings: dict | None = None,
 ) -> DataFrame:
     """Species x learner study on the same rows and split: fit seconds and metrics per window."""
-    spark, rows_out = matrix.sparkSession, []
-    for code in species:
-        ready = prepare(matrix, code, catches, policy, requested, splits)
+    spark = matrix.sparkSession
+
+    def study(code: str) -> list[tuple]:
+        ready, out = prepare(matrix, code, catches, policy, requested, splits), []
         rows = ready.rows.select(*ready.features, "label", "y", "train", "val", "test").persist()
         try:
             sizes = rows.agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in ("train", "val", "test")]).first()
@@ -255,12 +275,15 @@ def compare(
                     scored = fitted.transform(rows)
                 seconds = clock.perf_counter() - started
                 val, hold = split_metrics(scored, "val"), split_metrics(scored, "test")
-                rows_out.append((
+                out.append((
                     code, name, ready.label_kind, sizes["train"], sizes["val"], sizes["test"], seconds,
                     *val.values(), *hold.values(),
                 ))
         finally:
             rows.unpersist()
+        return out
+
+    rows_out = [r for out in _together(spark, [partial(study, code) for code in species]) for r in out]
     measures = ", ".join(f"{m}_{w} double" for w in ("val", "hold") for m in ("rmse", "mae", "r2"))
     return spark.createDataFrame(
         rows_out, f"species string, algorithm string, label_kind string, n_train long, n_val long, n_holdout long, train_s double, {measures}"
@@ -279,7 +302,7 @@ def _by_window(scored: DataFrame, species: str, learner: str) -> DataFrame:
 
 def _class_measures(spark: SparkSession, path: str) -> DataFrame:
     """``species, algorithm, window`` and all class and ranking metrics, of all groups in one job over the scored rows below ``path``."""
-    scored = spark.read.parquet(path)
+    scored = spark.read.parquet(f"{path}/*")
     return metrics.ranking_metrics(scored, ["species", "algorithm", "window"], value="y", key=("iy", "ix", "time"))
 
 
@@ -290,10 +313,11 @@ def compare_classifiers(
 ) -> DataFrame:
     """Hotspot study: class and ranking metrics per species, learner and window.
 
-    The fits append their scored rows to one table; the metrics of all of them come from one pass over it.
+    The fits write their scored rows below one folder; the metrics of all of them come from one pass over it.
     """
     spark, path = matrix.sparkSession, scratch_path(matrix.sparkSession, "study")
-    for code in species:
+
+    def study(code: str) -> None:
         ready = prepare(matrix, code, catches, policy, requested, splits)
         rows = datasets.hotspot_labels(ready.rows, positive_ratio).persist()
         try:
@@ -303,9 +327,11 @@ def compare_classifiers(
                 model = None if name == "NoSkill" else _fit_with_early_stop(
                     name, ready.features, rows, n_train, classify=True, **options
                 )
-                _by_window(_score_classes(model, rows), code, name).write.mode("append").parquet(path)
+                _by_window(_score_classes(model, rows), code, name).write.parquet(f"{path}/{code}-{name}")
         finally:
             rows.unpersist()
+
+    _together(spark, [partial(study, code) for code in species])
     columns = [F.col(m).cast("double").alias(m) for m in CLASS_MEASURES]
     return _class_measures(spark, path).select("species", "algorithm", "window", *columns)
 
@@ -323,8 +349,10 @@ def unified_study(
     ``threshold`` separates hot spots on the training rows; class, rank and regression measures come
     for the validation window (``_val``) and the holdout (``_hold``); ``train_s`` covers both fits.
     """
-    spark, path, parts = matrix.sparkSession, scratch_path(matrix.sparkSession, "study"), []
-    for code in species:
+    spark, path = matrix.sparkSession, scratch_path(matrix.sparkSession, "study")
+
+    def study(code: str) -> list[tuple]:
+        parts = []
         ready = prepare(matrix, code, catches, policy, requested, splits)
         rows = datasets.hotspot_labels(ready.rows, positive_ratio).persist()
         try:
@@ -338,11 +366,14 @@ def unified_study(
                     sorter = _fit_with_early_stop(name, ready.features, rows, n_train, classify=True, **options)
                     values = _fit_with_early_stop(name, ready.features, rows, n_train, **options).transform(rows)
                 seconds = clock.perf_counter() - started
-                _by_window(_score_classes(sorter, rows), code, name).write.mode("append").parquet(path)
+                _by_window(_score_classes(sorter, rows), code, name).write.parquet(f"{path}/{code}-{name}")
                 found = [m for w in WINDOWS for m in split_metrics(values, w).values()]
                 parts.append((code, name, ready.label_kind, facts["threshold"], facts["train"], facts["val"], facts["test"], *found, seconds))
         finally:
             rows.unpersist()
+        return parts
+
+    parts = [r for out in _together(spark, [partial(study, code) for code in species]) for r in out]
     measures = ", ".join(f"{m}_{w} double" for w in WINDOWS.values() for m in REGRESSION_MEASURES)
     fits = spark.createDataFrame(
         parts, f"species string, algorithm string, label_kind string, threshold double, n_train long, n_val long, n_holdout long, {measures}, train_s double"
@@ -364,12 +395,15 @@ def train_all(
 
     The report table of all of them, with ``fitted`` telling which were trained now.
     """
-    spark, bundles, fitted = matrix.sparkSession, [], []
-    for code in species:
+    spark = matrix.sparkSession
+
+    def one(code: str) -> tuple[Bundle, bool]:
         if not force and _saved(spark, f"{path}/{code}"):
-            bundles.append(load_bundle(spark, f"{path}/{code}"))
-            continue
-        bundles.append(train(matrix, code, catches, policy, requested, splits, learner, **settings))
-        save_bundle(bundles[-1], f"{path}/{code}", spark, force=True)
-        fitted.append(code)
+            return load_bundle(spark, f"{path}/{code}"), False
+        bundle = train(matrix, code, catches, policy, requested, splits, learner, **settings)
+        save_bundle(bundle, f"{path}/{code}", spark, force=True)
+        return bundle, True
+
+    done = _together(spark, [partial(one, code) for code in species])
+    bundles, fitted = [b for b, _ in done], [b.species for b, new in done if new]
     return report_table(spark, bundles).withColumn("fitted", F.col("species").isin(fitted))
