@@ -310,10 +310,10 @@ def _hub_pairs(members: DataFrame, seed: int) -> DataFrame:
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``key, node, comp, m`` of tiles that hold different components; ``m`` counts the tile's nodes."""
+    """``key, node, n, comp, m, most`` of tiles that hold different components; ``m`` counts the tile's nodes, ``most`` is its largest set."""
     labelled = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    tiles = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
-    return labelled.join(tiles.where("lo < hi").select("key", "m"), "key")
+    tiles = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.max("n").alias("most"))
+    return labelled.join(tiles.where("lo < hi").select("key", "m", "most"), "key").select("key", "node", "n", "comp", "m", "most")
 
 
 def _near_steps(n: np.ndarray, maps: np.ndarray, part: np.ndarray, mine: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -340,31 +340,31 @@ def _one_length(bitmaps: list[bytes]) -> np.ndarray:
     return np.stack([folded(b, size).view(np.uint64) for b in bitmaps]) if len(bitmaps) else np.zeros((0, 1), dtype=np.uint64)
 
 
-def _candidates(open_rows: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
-    """``part, node, comp, mine`` of the nodes that the bound lets meet one of another component in a part.
+def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a group (``key, node, n, m``) once for each pair of blocks they are in: ``lo, hi``, and the own block, ``mine``.
 
-    A part is a tile, or two of its blocks where it has many or large sets. It is named by its nodes, as many
-    tiles hold the same ones.
+    ``m`` counts the rows of a group; groups of many or large sets are cut into more than one block.
     """
-    sized = open_rows.join(cards.select("node", "n", "bitmap"), "node")
-    tiles = sized.groupBy("key").agg(F.max("n").alias("most"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("m") * F.col("most") * 8 / BLOCK_BYTES)).cast("int")
-    spread = sized.join(tiles, "key").withColumn("blocks", blocks)
-    spread = spread.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = spread.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "comp", "n", "bitmap")
+    spread = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("blocks", "other", "m", "most")
+
+
+def _near_edges(open_rows: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: nodes of different components that the bound lets meet in a tile; not all pairs, but the same groups as all would make."""
+    rows = _in_blocks(open_rows, "key").join(cards.select("node", "bitmap"), "node").select("key", "lo", "hi", "mine", "node", "comp", "n", "bitmap")
 
     def meeting(batch: pd.DataFrame, part: np.ndarray) -> pd.DataFrame:
         node, comp, n, mine, lo, hi = (batch[c].to_numpy() for c in ("node", "comp", "n", "mine", "lo", "hi"))
-        side, maps, meets = np.where(lo == hi, -1, mine), _one_length(list(batch["bitmap"])), np.zeros(len(node), dtype=bool)
-        for x, y in _near_steps(n, maps, part, side, percent):
-            apart = comp[x] != comp[y]
-            meets[x[apart]] = meets[y[apart]] = True
-        names, at = [], np.flatnonzero(meets)
-        for own in np.split(at, np.flatnonzero(np.diff(part[at])) + 1) if len(at) else []:
-            own = own[np.argsort(node[own], kind="stable")]
-            names += [(xxhash.xxh3_128_digest(node[own].tobytes() + side[own].astype(np.int64).tobytes()), i) for i in own]
-        rows = [i for _, i in names]
-        return pd.DataFrame({"part": pd.Series([k for k, _ in names], dtype=object), "node": node[rows], "comp": comp[rows], "mine": side[rows]})
+        root, edges = np.arange(len(node)), []
+        for x, y in _near_steps(n, _one_length(list(batch["bitmap"])), part, np.where(lo == hi, -1, mine), percent):
+            new = (comp[x] != comp[y]) & (root[x] != root[y])
+            for i, j in zip(x[new].tolist(), y[new].tolist()):
+                if root[i] != root[j]:
+                    root[root == root[j]] = root[i]
+                    edges.append((node[i], node[j]))
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64").drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -380,15 +380,21 @@ def _candidates(open_rows: DataFrame, cards: DataFrame, percent: int) -> DataFra
         if held is not None and len(held):
             yield meeting(held, np.zeros(len(held), dtype=np.int64))
 
-    found = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(run, "part binary, node long, comp long, mine int")
-    return found.dropDuplicates(["part", "node"])
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(run, "a long, b long").distinct()
 
 
-def joined_components(node: np.ndarray, comp: np.ndarray, n: np.ndarray, mine: np.ndarray, bitmaps: list[bytes], hashes: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Links that join the components of one part as all links would: fewer than there are rows."""
-    maps, sets, links = _one_length(bitmaps), [np.frombuffer(h, dtype=np.uint64) for h in hashes], []
+def joined_components(node: np.ndarray, comp: np.ndarray, mine: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of a group of sets as all links would: fewer than there are rows.
+
+    Pairs within one component are skipped, others bounded by bitmaps eight times as long as the sets.
+    """
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    bits = 8 << max(int(n.max(initial=1)) - 1, 63).bit_length()
+    maps = np.zeros((len(sets), bits // 64), dtype=np.uint64)
+    for i, own in enumerate(sets):
+        maps[i] = np.packbits((np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
     names, of_row = np.unique(comp, return_inverse=True)
-    root = np.arange(len(names))
+    root, links = np.arange(len(names)), []
     for x, y in _near_steps(n, maps, np.zeros(len(node), dtype=np.int64), mine, percent):
         apart = root[of_row[x]] != root[of_row[y]]
         for i, j in zip(x[apart].tolist(), y[apart].tolist()):
@@ -399,14 +405,18 @@ def joined_components(node: np.ndarray, comp: np.ndarray, n: np.ndarray, mine: n
     return links
 
 
-def _block_links(candidates: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` that join the components of each part; a group is a part, so its size is bounded."""
+def _group_links(groups: DataFrame, labels: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that join the components (``labels``) within each group of ``groups (node, comp)``; a set is sent once for each block."""
+    members = groups.withColumnRenamed("comp", "key").join(cards.select("node", "n"), "node")
+    sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most"))
+    spread = _in_blocks(members.select("key", "node").join(sized, "key"), "key").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
     def verify(part: pd.DataFrame) -> pd.DataFrame:
-        numbers = [part[c].to_numpy() for c in ("node", "comp", "n", "mine")]
-        return pd.DataFrame(joined_components(*numbers, list(part["bitmap"]), list(part["hashes"]), percent), columns=["a", "b"], dtype="int64")
+        side = np.where(part["lo"] == part["hi"], -1, part["mine"])
+        sets = [np.frombuffer(h, dtype=np.uint64) for h in part["hashes"]]
+        return pd.DataFrame(joined_components(part["node"].to_numpy(), part["comp"].to_numpy(), side, sets, percent), columns=["a", "b"], dtype="int64")
 
-    return candidates.join(cards, "node").groupBy("part").applyInPandas(verify, "a long, b long").distinct()
+    return spread.join(cards.select("node", "hashes"), "node").groupBy("key", "lo", "hi").applyInPandas(verify, "a long, b long").distinct()
 
 
 def _sets_apart(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -449,7 +459,7 @@ def _links(docs: DataFrame, summaries: DataFrame, width: int, percent: int) -> D
 
     links = spark.createDataFrame([], "a long, b long")
     checked = links
-    open_rows = members
+    open_rows = members.join(cards.select("node", "n"), "node")
     for seed in range(HUB_ROUNDS):
         pairs = _hub_pairs(open_rows, seed).join(checked, ["a", "b"], "left_anti") if seed else _hub_pairs(open_rows, seed)
         pairs = stored(pairs, "hub-pairs")
@@ -457,9 +467,10 @@ def _links(docs: DataFrame, summaries: DataFrame, width: int, percent: int) -> D
         links = links.unionByName(stored(verified(pairs, cards, percent), "hub-links"))
         labels = component_labels(links)
         # A tile in one component stays in one.
-        open_rows = stored(_open_members(open_rows.select("key", "node"), labels), "open-tiles")
-    candidates = stored(_candidates(open_rows, cards, percent), "block-candidates")
-    links = links.unionByName(stored(_block_links(candidates, cards, percent), "block-links"))
+        open_rows = stored(_open_members(open_rows.select("key", "node", "n"), labels), "open-tiles")
+    # Nodes that may still link, in groups that no such pair leaves.
+    groups = component_labels(stored(_near_edges(open_rows, cards, percent), "near-edges"))
+    links = links.unionByName(stored(_group_links(groups, labels, cards, percent), "group-links"))
     return links.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
 
 
