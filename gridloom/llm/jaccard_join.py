@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import importable, stored
@@ -29,8 +29,8 @@ from gridloom.llm.components import component_labels
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SLICE = 256
-# Sets, and bytes of their hashes, in a block.
-BLOCK, BLOCK_BYTES = 1024, 1 << 25
+# Sets of a tile in a block; sets, and bytes of their hashes, in a block of a group.
+BLOCK, GROUP_BLOCK, BLOCK_BYTES = 1024, 4096, 1 << 25
 # A shingle is frequent in a batch from this share of its rows on, and at least so many; the most
 # frequent ones, a list of fixed size, are left out of tiles first. No link depends on the list.
 OFTEN_SHARE, OFTEN_LEAST, OFTEN_SIZE = 0.005, 8, 50_000
@@ -310,10 +310,10 @@ def _hub_pairs(members: DataFrame, seed: int) -> DataFrame:
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``key, node, n, comp, m, most`` of tiles that hold different components; ``m`` counts the tile's nodes, ``most`` is its largest set."""
+    """``key, node, comp, m`` of tiles that hold different components; ``m`` counts the tile's nodes."""
     labelled = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    tiles = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.max("n").alias("most"))
-    return labelled.join(tiles.where("lo < hi").select("key", "m", "most"), "key").select("key", "node", "n", "comp", "m", "most")
+    tiles = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
+    return labelled.join(tiles.where("lo < hi").select("key", "m"), "key")
 
 
 def _near_steps(n: np.ndarray, maps: np.ndarray, part: np.ndarray, mine: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -340,20 +340,16 @@ def _one_length(bitmaps: list[bytes]) -> np.ndarray:
     return np.stack([folded(b, size).view(np.uint64) for b in bitmaps]) if len(bitmaps) else np.zeros((0, 1), dtype=np.uint64)
 
 
-def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of a group (``key, node, n, m``) once for each pair of blocks they are in: ``lo, hi``, and the own block, ``mine``.
-
-    ``m`` counts the rows of a group; groups of many or large sets are cut into more than one block.
-    """
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("m") * F.col("most") * 8 / BLOCK_BYTES)).cast("int")
-    spread = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Rows with ``node`` once for each pair of blocks they are in: ``lo, hi``, and the own block, ``mine``."""
+    spread = rows.withColumn("blocks", F.greatest(blocks, F.lit(1)).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return spread.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("blocks", "other", "m", "most")
+    return spread.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("blocks", "other")
 
 
 def _near_edges(open_rows: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
     """``(a, b)``: nodes of different components that the bound lets meet in a tile; not all pairs, but the same groups as all would make."""
-    rows = _in_blocks(open_rows, "key").join(cards.select("node", "bitmap"), "node").select("key", "lo", "hi", "mine", "node", "comp", "n", "bitmap")
+    rows = _in_blocks(open_rows, F.ceil(F.col("m") / BLOCK)).join(cards.select("node", "n", "bitmap"), "node").select("key", "lo", "hi", "mine", "node", "comp", "n", "bitmap")
 
     def meeting(batch: pd.DataFrame, part: np.ndarray) -> pd.DataFrame:
         node, comp, n, mine, lo, hi = (batch[c].to_numpy() for c in ("node", "comp", "n", "mine", "lo", "hi"))
@@ -408,8 +404,9 @@ def joined_components(node: np.ndarray, comp: np.ndarray, mine: np.ndarray, sets
 def _group_links(groups: DataFrame, labels: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
     """Links ``(a, b)`` that join the components (``labels``) within each group of ``groups (node, comp)``; a set is sent once for each block."""
     members = groups.withColumnRenamed("comp", "key").join(cards.select("node", "n"), "node")
-    sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most"))
-    spread = _in_blocks(members.select("key", "node").join(sized, "key"), "key").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("m") / GROUP_BLOCK), F.ceil(F.col("total") * 8 / BLOCK_BYTES))
+    spread = _in_blocks(members.select("key", "node").join(sized, "key"), blocks).drop("m", "total").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
     def verify(part: pd.DataFrame) -> pd.DataFrame:
         side = np.where(part["lo"] == part["hi"], -1, part["mine"])
@@ -459,7 +456,7 @@ def _links(docs: DataFrame, summaries: DataFrame, width: int, percent: int) -> D
 
     links = spark.createDataFrame([], "a long, b long")
     checked = links
-    open_rows = members.join(cards.select("node", "n"), "node")
+    open_rows = members
     for seed in range(HUB_ROUNDS):
         pairs = _hub_pairs(open_rows, seed).join(checked, ["a", "b"], "left_anti") if seed else _hub_pairs(open_rows, seed)
         pairs = stored(pairs, "hub-pairs")
@@ -467,7 +464,7 @@ def _links(docs: DataFrame, summaries: DataFrame, width: int, percent: int) -> D
         links = links.unionByName(stored(verified(pairs, cards, percent), "hub-links"))
         labels = component_labels(links)
         # A tile in one component stays in one.
-        open_rows = stored(_open_members(open_rows.select("key", "node", "n"), labels), "open-tiles")
+        open_rows = stored(_open_members(open_rows.select("key", "node"), labels), "open-tiles")
     # Nodes that may still link, in groups that no such pair leaves.
     groups = component_labels(stored(_near_edges(open_rows, cards, percent), "near-edges"))
     links = links.unionByName(stored(_group_links(groups, labels, cards, percent), "group-links"))
