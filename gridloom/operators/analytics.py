@@ -23,7 +23,7 @@ def by_every_region(df: DataFrame, regions=config.REGIONS, out: str = "region")
 def region_ranking(scored: DataFrame, value: str = "value", regions=config.REGIONS) -> DataFrame:
     """Cells, mean, 90th percentile and maximum per region, best mean first."""
     rows = with_region(scored.where(F.col(value).isNotNull()), regions).where(F.col("region").isNotNull())
-    table = exact_quantiles(rows, value, {"p90": 0.9}, ["region"], totals=True)
+    table = exact_quantiles(rows, value, {"p90": 0.9}, ["region"], totals=True, few_groups=True)
     ordered = table.select("region", F.col("count").alias("cells"), "mean", "p90", "max")
     return ordered.orderBy(F.desc("mean"), "region")
 

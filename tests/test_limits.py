@@ -30,6 +30,42 @@ def test_quantile_of_one_group_over_many_partitions(spark):
     assert whole.m == pytest.approx(statistics.median(values))
 
 
+def test_quantiles_of_neighbouring_doubles_extremes_and_other_types(spark):
+    near = [1.0]
+    for _ in range(400):
+        near.append(float(np.nextafter(near[-1], 2.0)))
+    data = {
+        "near": near, "tiny": [5e-324 * i for i in range(50)], "wide": [-1.7e308, -1.0, -5e-324, 0.0, 1e-300, 3.0, 1.7e308],
+        "mixed": [float(np.float64(m) * 10.0 ** e) for e in range(-30, 30) for m in (-3.7, 1.1, 9.9)],
+    }
+    df = spark.createDataFrame([(k, v) for k, a in data.items() for v in a], "g string, v double").repartition(7)
+    probs = {f"p{i}": i / 8 for i in range(9)}
+    for few in (False, True):
+        got = quantiles.exact_quantiles(df, "v", probs, ["g"], few_groups=few).collect()
+        assert {r.g for r in got} == set(data)
+        for r in got:
+            values = sorted(data[r.g])
+            for name, p in probs.items():
+                at = round((len(values) - 1) * p, 9)
+                lo, hi = values[int(at)], values[-int(-at // 1)]
+                want = lo if lo == hi else lo + (hi - lo) * (at - int(at))
+                assert r[name] == want, (r.g, name)
+    ends = spark.createDataFrame([(float("-inf"),), (1.0,), (float("inf"),), (float("inf"),)], "v double")
+    assert tuple(quantiles.exact_quantiles(ends, "v", {"a": 0.0, "b": 1 / 3, "c": 1.0}).first()) == (float("-inf"), 1.0, float("inf"))
+    whole = quantiles.exact_quantiles(spark.range(101), "id", {"m": 0.25}, totals=True).first()
+    assert tuple(whole) == (101, 50.0, 100.0, 25.0)
+    assert quantiles.exact_quantiles(ends.where("v = 7"), "v", {"m": 0.5}).count() == 0
+
+
+def test_quantiles_store_nothing_and_shuffle_the_values_once(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "pin", lambda df: pytest.fail("a checkpoint while the plan is built"))
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.rand(1).alias("v"))
+    out = quantiles.exact_quantiles(df, "v", {"m": 0.5}, ["g"], few_groups=True)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Range (") == 1 and "ReusedExchange" in plan and "rangepartitioning" not in plan
+
+
 def test_histogram_keeps_a_group_without_a_name(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(10)] + [(None, 5.0), (None, 5.0)], "g string, v double")
     got = {(r.g, r.bin): r.n for r in histograms.density_histogram(df, "v", 2, ["g"]).collect()}
