@@ -335,11 +335,6 @@ def _near_steps(n: np.ndarray, maps: np.ndarray, part: np.ndarray, mine: np.ndar
         step += 1
 
 
-def _one_length(bitmaps: list[bytes]) -> np.ndarray:
-    size = min(map(len, bitmaps), default=8)
-    return np.stack([folded(b, size).view(np.uint64) for b in bitmaps]) if len(bitmaps) else np.zeros((0, 1), dtype=np.uint64)
-
-
 def _in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
     """Rows with ``node`` once for each pair of blocks they are in: ``lo, hi``, and the own block, ``mine``."""
     spread = rows.withColumn("blocks", F.greatest(blocks, F.lit(1)).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -353,13 +348,21 @@ def _near_edges(open_rows: DataFrame, cards: DataFrame, percent: int) -> DataFra
 
     def meeting(batch: pd.DataFrame, part: np.ndarray) -> pd.DataFrame:
         node, comp, n, mine, lo, hi = (batch[c].to_numpy() for c in ("node", "comp", "n", "mine", "lo", "hi"))
+        side, bitmaps = np.where(lo == hi, -1, mine), batch["bitmap"].to_numpy()
         root, edges = np.arange(len(node)), []
-        for x, y in _near_steps(n, _one_length(list(batch["bitmap"])), part, np.where(lo == hi, -1, mine), percent):
-            new = (comp[x] != comp[y]) & (root[x] != root[y])
-            for i, j in zip(x[new].tolist(), y[new].tolist()):
-                if root[i] != root[j]:
-                    root[root == root[j]] = root[i]
-                    edges.append((node[i], node[j]))
+        # A tile holds sets of about one size: parts of one length at a time, as short bitmaps tell long sets not apart.
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        length = np.repeat(np.minimum.reduceat([len(b) for b in bitmaps], starts), np.diff(np.append(starts, len(part))))
+        for size in np.unique(length):
+            own = np.flatnonzero(length == size)
+            maps = np.stack([folded(b, size).view(np.uint64) for b in bitmaps[own]])
+            for x, y in _near_steps(n[own], maps, part[own], side[own], percent):
+                x, y = own[x], own[y]
+                new = (comp[x] != comp[y]) & (root[x] != root[y])
+                for i, j in zip(x[new].tolist(), y[new].tolist()):
+                    if root[i] != root[j]:
+                        root[root == root[j]] = root[i]
+                        edges.append((node[i], node[j]))
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64").drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
