@@ -23,57 +23,66 @@ def _year(cell):
     return F.when(F.trim(cell).rlike(r"^\d+$") & number.between(low, high), number)
 
 
-def _header_rows(cells: DataFrame) -> DataFrame:
-    """Per file: quarter row and year row (the nearest within three rows above)."""
-    quarters = cells.where(F.col("cell") == "Quarter 1").groupBy("file").agg(F.min("row_no").alias("quarter_row"))
-    years = cells.where(_year(F.col("cell")).isNotNull()).select("file", F.col("row_no").alias("at")).distinct()
-    above = (F.col("at") < F.col("quarter_row")) & (F.col("at") >= F.col("quarter_row") - 4)
-    return (
-        quarters.join(years, "file", "left")
-        .groupBy("file", "quarter_row")
-        .agg(F.coalesce(F.max(F.when(above, F.col("at"))), F.col("quarter_row") - 1).alias("year_row"))
+def _header_of_file(cells: DataFrame) -> DataFrame:
+    """``(file, quarter_row, header)`` from one pass: per quarter column ``col_no, year, quarter``.
+
+    The quarter row is the first that holds "Quarter 1", the year row the nearest dated one within
+    four rows above. A column belongs to the nearest year label at or left of it. Only label cells are
+    shuffled; a file has one row, as wide as its sheet.
+    """
+    quarter = F.when(F.startswith("cell", F.lit("Quarter")), F.element_at(F.split("cell", r"\s+"), -1).try_cast("int"))
+    marks = cells.select(
+        "file", "row_no", "col_no", _year(F.col("cell")).alias("year"), quarter.alias("quarter"), (F.col("cell") == "Quarter 1").alias("first")
+    ).where("year IS NOT NULL OR quarter IS NOT NULL")
+    rows = marks.groupBy("file", "row_no").agg(
+        F.bool_or("first").alias("first"),
+        F.collect_list(F.when(F.col("year").isNotNull(), F.struct("col_no", "year"))).alias("years"),
+        F.collect_list(F.when(F.col("quarter").isNotNull(), F.struct("col_no", "quarter"))).alias("quarters"),
     )
+    at = F.min(F.when(F.col("first"), F.col("row_no"))).over(Window.partitionBy("file"))
+    head = rows.withColumn("quarter_row", at).where("row_no BETWEEN quarter_row - 4 AND quarter_row")
+    above = F.when((F.size("years") > 0) & (F.col("row_no") < F.col("quarter_row")), F.col("row_no"))
+    files = head.groupBy("file", "quarter_row").agg(
+        F.array_sort(F.max_by("years", above)).alias("years"),
+        F.max_by("quarters", F.when(F.col("row_no") == F.col("quarter_row"), F.col("row_no"))).alias("quarters"),
+    )
+
+    def labelled(column):
+        left = F.filter("years", lambda y: y["col_no"] <= column["col_no"])
+        return F.struct(column["col_no"].alias("col_no"), F.try_element_at(left, F.lit(-1))["year"].alias("year"), column["quarter"].alias("quarter"))
+
+    whole = F.filter(F.transform("quarters", labelled), lambda c: c["year"].isNotNull())
+    return files.select("file", "quarter_row", whole.alias("header"))
 
 
 def matrix_headers(cells: DataFrame) -> DataFrame:
     """``(file, col_no, year, quarter)``: a quarter column belongs to the nearest year label at or
     left of it."""
-    # One row per file; the header cells of a file are one row wide.
-    head = cells.join(_header_rows(cells), "file")
-    labels = head.where(F.col("row_no").isin(F.col("quarter_row"), F.col("year_row"))).groupBy("file", "col_no").agg(
-        F.max(F.when(F.col("row_no") == F.col("year_row"), _year(F.col("cell")))).alias("year"),
-        F.max(
-            F.when(
-                (F.col("row_no") == F.col("quarter_row")) & F.startswith("cell", F.lit("Quarter")),
-                F.element_at(F.split("cell", r"\s+"), -1).cast("int"),
-            )
-        ).alias("quarter"),
-    )
-    leftwards = Window.partitionBy("file").orderBy("col_no").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        labels.withColumn("year", F.last("year", ignorenulls=True).over(leftwards))
-        .where(F.col("quarter").isNotNull() & F.col("year").isNotNull())
-        .select("file", "col_no", "year", "quarter")
-    )
+    return _header_of_file(cells).select("file", F.inline("header"))
 
 
-def matrix_rows(cells: DataFrame) -> DataFrame:
-    """``(file, row_no, geo, label)`` below the header, the place carried down its block.
+def _body(cells: DataFrame) -> DataFrame:
+    """``(file, row_no, geo, label, numbers, header)`` below the header, the place carried down its block.
 
-    The window runs over the two label columns of one file; a sheet cannot have more than
-    1,048,576 rows, so no file outgrows a task.
+    ``numbers`` holds the row's ``col_no, volume_mt``. The window runs over the rows of one file; a
+    sheet cannot have more than 1,048,576 of them, so no file outgrows a task.
     """
-    below = cells.join(_header_rows(cells), "file").where(
-        (F.col("row_no") > F.col("quarter_row")) & (F.col("col_no") <= 2) & F.col("cell").isNotNull()
-    )
-    rows = below.groupBy("file", "row_no").agg(
+    number = F.when(F.col("col_no") > 2, F.expr("try_cast(cell AS DOUBLE)"))
+    used = cells.withColumn("volume_mt", number).where("cell IS NOT NULL AND (col_no <= 2 OR volume_mt IS NOT NULL)")
+    rows = used.groupBy("file", "row_no").agg(
         F.max(F.when(F.col("col_no") == 1, F.col("cell"))).alias("own"),
         F.max(F.when(F.col("col_no") == 2, F.col("cell"))).alias("label"),
+        F.collect_list(F.when(F.col("volume_mt").isNotNull(), F.struct("col_no", "volume_mt"))).alias("numbers"),
     )
+    below = rows.join(_header_of_file(cells), "file").where("row_no > quarter_row")
     downwards = Window.partitionBy("file").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("file", "row_no", F.last("own", ignorenulls=True).over(downwards).alias("geo"), "label").where(
-        F.col("label").isNotNull()
-    )
+    filled = below.withColumn("geo", F.last("own", ignorenulls=True).over(downwards))
+    return filled.where(F.col("label").isNotNull()).select("file", "row_no", "geo", "label", "numbers", "header")
+
+
+def matrix_rows(cells: DataFrame) -> DataFrame:
+    """``(file, row_no, geo, label)`` below the header, the place carried down its block."""
+    return _body(cells).select("file", "row_no", "geo", "label")
 
 
 def is_province(geo):
@@ -89,14 +98,12 @@ def species_of(label, names: dict[str, str]):
 def matrix_values(cells: DataFrame, names: dict[str, str] = config.SHEET_SPECIES) -> DataFrame:
     """Unpivoted sheet: ``(file, geo_raw, species, year, quarter, volume_mt)``.
 
-    Empty cells, dots and text that is no number are left out.
+    Empty cells, dots and text that is no number are left out. Cells are read twice: for the headers
+    and for the rows, which carry their numbers, so that nothing is joined but one header per file.
     """
-    rows = matrix_rows(cells).withColumn("species", species_of(F.col("label"), names))
+    rows = _body(cells).withColumn("species", species_of(F.col("label"), names))
     rows = rows.where(is_province(F.col("geo")) & F.col("species").isNotNull())
-    return (
-        cells.withColumn("volume_mt", F.expr("try_cast(cell AS DOUBLE)"))
-        .where(F.col("volume_mt").isNotNull() & (F.col("col_no") > 2))
-        .join(matrix_headers(cells), ["file", "col_no"])
-        .join(rows, ["file", "row_no"])
-        .select("file", F.col("geo").alias("geo_raw"), "species", "year", "quarter", "volume_mt")
-    )
+    places = F.map_from_entries(F.transform("header", lambda c: F.struct(c["col_no"], F.struct(c["year"].alias("year"), c["quarter"].alias("quarter")))))
+    each = rows.withColumn("places", places).select("file", "geo", "species", "places", F.inline("numbers"))
+    placed = each.withColumn("place", F.try_element_at("places", F.col("col_no"))).where("place IS NOT NULL")
+    return placed.select("file", F.col("geo").alias("geo_raw"), "species", "place.year", "place.quarter", "volume_mt")

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from gridloom.functions import geo
-from gridloom.operators import cube, temporal
+from gridloom.operators import cube, sheets, temporal
 from gridloom.operators.grid import Grid
 from gridloom.sources import observations
 from pyspark.sql import functions as F
@@ -75,3 +75,10 @@ def test_scan_prunes_partitions_and_pushes_the_box(spark, pixels, tmp_path):
 def test_region_assignment_is_an_expression(spark):
     df = spark.range(5).select((F.col("id") * 1.0).alias("lat"), (F.col("id") + 116.0).alias("lon"))
     assert "Join" not in plan_of(df.withColumn("r", geo.first_region(F.col("lat"), F.col("lon"))))
+
+
+@pytest.mark.parametrize("job, scans", [(sheets.matrix_headers, 1), (sheets.matrix_rows, 2), (sheets.matrix_values, 2)])
+def test_sheets_read_their_cells_at_most_twice(spark, tmp_path, job, scans):
+    tables.sheet_cells(spark, SF).write.parquet(str(tmp_path / "cells"))
+    plan = plan_of(job(spark.read.parquet(str(tmp_path / "cells"))))
+    assert len(re.findall(r"FileScan parquet", plan)) == scans
