@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from gridloom import config
 from gridloom.functions import geo, names, scores
@@ -15,6 +16,17 @@ def standardize(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({old: new for old, new in wanted.items() if old in df.columns and old != new})
 
 
+def _tolerant(spark: SparkSession, path: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Rows of all readable files. Should the file that gives the schema be damaged, all footers are asked for it."""
+    reader = spark.read.options(**(options or {})).option("ignoreCorruptFiles", "true")
+    try:
+        return reader.parquet(path)
+    except AnalysisException as error:
+        if "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+        return reader.option("mergeSchema", "true").parquet(path)
+
+
 def read_observations(
     spark: SparkSession, path: str, variable: str, years: list[int] | None = None,
     bbox: tuple[float, float, float, float] | None = config.STUDY_BBOX, pad: float = config.GRANULE_PAD,
@@ -26,7 +38,7 @@ def read_observations(
     row groups. Unreadable files are skipped, ``skipped_files`` names them; with ``required`` an empty
     result is an error.
     """
-    df = standardize(spark.read.option("ignoreCorruptFiles", "true").parquet(path))
+    df = standardize(_tolerant(spark, path))
     missing = {"variable", "time", "lat", "lon", "value"} - set(df.columns)
     if missing:
         raise ValueError(f"observation table lacks {sorted(missing)}")
@@ -40,15 +52,50 @@ def read_observations(
     return picked.select("time", "lat", "lon", scores.nan_to_null(F.col("value").cast("double")).alias("value"))
 
 
-def skipped_files(spark: SparkSession, path: str) -> DataFrame:
-    """``file`` of every Parquet file below ``path`` that yields no row, as a damaged one does."""
+def file_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``file, promised, read, checksum`` of every Parquet file below ``path``.
+
+    ``promised`` are the rows its footer tells (NULL: no row, or no footer), ``read`` those that a tolerant
+    scan of all its columns yields, ``checksum`` combines their hashes and does not depend on their order.
+    """
     plain = lambda c: F.regexp_replace(F.regexp_replace(c, "%20", " "), "^file:/+", "/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    # A column that no file has: rows are met, and a damaged file is not asked for a schema.
-    reader = spark.read.schema("_none string").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
-    rows = reader.option("pathGlobFilter", "*.parquet").parquet(path)
-    read = rows.select(plain(F.col("_metadata.file_path")).alias("file")).distinct()
-    return found.select(plain(F.col("path")).alias("file")).join(read, "file", "left_anti")
+    within = {"recursiveFileLookup": "true", "pathGlobFilter": "*.parquet"}
+    found = spark.read.format("binaryFile").options(**within).load(path).select(plain(F.col("path")).alias("file"))
+    reader = spark.read.options(**within).option("ignoreCorruptFiles", "true")
+    at = plain(F.col("_metadata.file_path")).alias("file")
+    # A column that no file has: rows are taken from the footers, no page is read.
+    footers = reader.schema("_none string").parquet(path).groupBy(at).agg(F.count(F.lit(1)).alias("promised"))
+    rows = _tolerant(spark, path, within)
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    read = rows.select(at, whole.alias("hash")).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("hash").alias("checksum"))
+    # Tied to the checksum, the count cannot be answered without reading the pages.
+    seen = F.when(F.col("checksum").isNull(), F.lit(0)).otherwise(F.col("n")).cast("long")
+    return found.join(footers, "file", "left").join(read, "file", "left").select("file", "promised", seen.alias("read"), "checksum")
+
+
+# A file without rows is little more than its footer; one beyond this size that yields none is damaged.
+FOOTER_BYTES = 16 << 20
+
+
+def skipped_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, promised, read`` of every damaged Parquet file below ``path``: without a footer, or read in part.
+
+    Files with a sound end and no rows are not damaged. Only files that yield no row are listed on the
+    driver, which looks at the end of each.
+    """
+    counted = file_rows(spark, path)
+    rowless = [r["file"] for r in counted.where("promised IS NULL").select("file").collect()]
+    partly = counted.where("read < promised").select("file", "promised", "read")
+    if not rowless:
+        return partly
+    ends = spark.read.format("binaryFile").load(rowless).where(F.col("length") <= FOOTER_BYTES)
+    # Parquet ends with its footer, the footer's length as four little-endian bytes, and a mark.
+    length = F.expr("CAST(conv(concat(hex(substring(content, -5, 1)), hex(substring(content, -6, 1)), hex(substring(content, -7, 1)), hex(substring(content, -8, 1))), 16, 10) AS BIGINT)")
+    marks = (F.expr("substring(content, 1, 4)") == F.lit(b"PAR1")) & (F.expr("substring(content, -4, 4)") == F.lit(b"PAR1"))
+    sound = ends.where(marks & (F.col("length") > 12) & (length <= F.col("length") - 12))
+    plain = F.regexp_replace(F.regexp_replace("path", "%20", " "), "^file:/+", "/")
+    unsound = counted.where("promised IS NULL").join(sound.select(plain.alias("file")), "file", "left_anti")
+    return partly.unionByName(unsound.select("file", "promised", "read"))
 
 
 def with_granule_time(df: DataFrame, name: Column, modified: Column | None = None) -> DataFrame:

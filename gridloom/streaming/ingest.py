@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gridloom.sources.catalog import GRANULE_KEY
+from gridloom.sources.catalog import GRANULE_KEY, upsert
 
 COMPOSITE = "8 days"
 
@@ -79,3 +79,64 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     )
     query.awaitTermination()
     return query
+
+
+APPLIED = "app string, batch bigint"
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the complete versions of a manifest, the oldest first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    named = [s.getPath() for s in files.listStatus(root) if s.getPath().getName().startswith("version-")]
+    return sorted(p.toString() for p in named if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_DONE")))
+
+
+def upsert_batch(batch: DataFrame, batch_id: int, path: str, app: str, sequence: str = "seq") -> bool:
+    """Merges a batch into the manifest below ``path``; False where that batch of ``app`` is in it already.
+
+    A version holds all entries, one per granule key, and the last batch of each stream that wrote to it. It
+    counts once its marker exists, so a batch that broke off leaves the version before it and is done again.
+    The version before stays for those who read it, older ones are deleted. One writer at a time.
+    """
+    spark = batch.sparkSession
+    known = _versions(spark, path)
+    applied = {r["app"]: r["batch"] for r in spark.read.schema(APPLIED).parquet(f"{known[-1]}/applied").collect()} if known else {}
+    if applied.get(app, -1) >= batch_id:
+        return False
+    number = int(known[-1].rsplit("-", 1)[1]) + 1 if known else 0
+    folder = f"{path.rstrip('/')}/version-{number:012d}"
+    entries = spark.read.schema(batch.schema).parquet(f"{known[-1]}/entries").unionByName(batch) if known else batch
+    upsert(entries, sequence).select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/entries")
+    rows = sorted((applied | {app: batch_id}).items())
+    spark.createDataFrame(rows, APPLIED).coalesce(1).write.mode("overwrite").parquet(f"{folder}/applied")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.create(hadoop.Path(folder, "_DONE")).close()
+    for old in known[:-1]:
+        files.delete(hadoop.Path(old), True)
+    return True
+
+
+def read_manifest(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Entries of the last complete version; none where there is no version yet."""
+    known = _versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{known[-1]}/entries") if known else spark.createDataFrame([], schema)
+
+
+def manifest_sink(entries: DataFrame, path: str, checkpoint: str, app: str, sequence: str = "seq") -> StreamingQuery:
+    """Upserts a stream into the manifest below ``path``, processes what is there and stops.
+
+    State is the manifest on disk: the stream itself keeps no keys. ``app`` names the stream; a repeat of one of
+    its batches, as after a restart, changes nothing. A new ``checkpoint`` starts batches anew and needs a new name.
+    """
+    query = (
+        entries.writeStream.foreachBatch(lambda batch, number: upsert_batch(batch, number, path, app, sequence) and None)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query

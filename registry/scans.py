@@ -281,3 +281,29 @@ def resolve_features(spark, sf):
     matrix = t.matrix(spark, sf)
     names = resolve(matrix.columns, ["sst", "sst_anomaly", "kd490", "depth"])
     return matrix.select("iy", "ix", "time", *names)
+
+
+@query("stream_manifest", sql_over("granules", """SELECT seq, short_name, granule_name, size_bytes, cloud_cover FROM granules
+    QUALIFY row_number() OVER (PARTITION BY short_name, granule_name ORDER BY seq DESC) = 1"""))
+def stream_manifest(spark, sf):
+    """Granule entries arrive in several files, a batch each, and are merged into a manifest."""
+    out = scratch_path(spark, "stream-manifest")
+    columns = ["seq", "short_name", "granule_name", "size_bytes", "cloud_cover"]
+    arriving = t.granules(spark, sf).select(*columns)
+    arriving.repartitionByRange(4, "seq").write.parquet(f"{out}/in")
+    stream = ingest.granule_stream(spark, f"{out}/in", arriving.schema, files_per_trigger=2)
+    ingest.manifest_sink(stream, f"{out}/manifest", f"{out}/checkpoint", "granules")
+    return ingest.read_manifest(spark, f"{out}/manifest", arriving.schema)
+
+
+@query("scan_file_rows", sql_over("pixels", """SELECT variable, CAST(year(time) AS INTEGER) AS year, count(*) AS promised, count(*) AS read, 0::BIGINT AS damaged
+    FROM pixels GROUP BY ALL"""))
+def scan_file_rows(spark, sf):
+    """Rows that footers promise and rows read from whole files, per folder of the observation table."""
+    path = scratch_path(spark, "observations")
+    observations.write_observations(t.pixels(spark, sf).select("variable", "time", "lat", "lon", "value"), path)
+    folder = lambda name: F.regexp_extract("file", f"/{name}=([^/]+)/", 1)
+    return observations.file_rows(spark, path).groupBy(folder("variable").alias("variable"), folder("year").cast("int").alias("year")).agg(
+        F.sum("promised").alias("promised"), F.sum("read").alias("read"),
+        F.count_if(F.col("promised").isNull() | (F.col("read") < F.col("promised"))).alias("damaged"),
+    )

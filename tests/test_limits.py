@@ -118,3 +118,22 @@ def test_skipped_files_are_named(spark, tmp_path):
     bad.write_bytes(b"PAR1 no table PAR1")
     assert [r.file for r in observations.skipped_files(spark, str(tmp_path / "o")).collect()] == [str(bad)]
     assert observations.read_observations(spark, str(tmp_path / "o"), "sst").count() == 1
+
+
+def test_half_read_files_are_named_and_empty_ones_are_not(spark, tmp_path):
+    rows = spark.range(60_000, numPartitions=1).select(F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    rows.write.option("parquet.block.size", 1 << 18).parquet(str(tmp_path / "o" / "a"))
+    rows.where("id < 0").coalesce(1).write.parquet(str(tmp_path / "o" / "b"))
+    assert observations.skipped_files(spark, str(tmp_path / "o")).collect() == []
+    before = observations.file_rows(spark, str(tmp_path / "o")).where("read > 0").collect()
+    assert [(r.promised, r.read) for r in before] == [(60_000, 60_000)]
+    whole = next((tmp_path / "o" / "a").glob("*.parquet"))
+    data = bytearray(whole.read_bytes())
+    middle = len(data) * 2 // 3
+    data[middle : middle + 5000] = bytes(5000)
+    half = tmp_path / "o" / "a" / "half.parquet"
+    half.write_bytes(data)
+    (tmp_path / "o" / "a" / "cut.parquet").write_bytes(data[: middle])
+    got = {r.file.rsplit("/", 1)[1]: (r.promised, r.read) for r in observations.skipped_files(spark, str(tmp_path / "o")).collect()}
+    assert set(got) == {"half.parquet", "cut.parquet"}
+    assert got["half.parquet"][0] == 60_000 and got["half.parquet"][1] < 60_000 and got["cut.parquet"] == (None, 0)

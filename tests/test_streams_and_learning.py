@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import metrics
 from gridloom.plans import forecasts, learning
+from gridloom.sources import catalog
 from gridloom.streaming import ingest
 from registry import tables
 from registry.evaluation import REQUESTED, SMALL
@@ -38,6 +39,55 @@ def test_stream_composites_equal_batch_for_closed_windows(spark, tmp_path):
     assert all(batch[k] == v for k, v in got.items())
 
 
+ENTRY = "seq long, short_name string, granule_name string, size_bytes long"
+
+
+def _manifest(spark, path):
+    return sorted((r.granule_name, r.seq, r.size_bytes) for r in ingest.read_manifest(spark, path, ENTRY).collect())
+
+
+def test_a_repeated_batch_changes_nothing_and_a_broken_one_is_done_again(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    batch = lambda *rows: spark.createDataFrame([(s, "P", g, b) for s, g, b in rows], ENTRY)
+    assert _manifest(spark, path) == []
+    assert ingest.upsert_batch(batch((1, "a", 10), (2, "a", 20), (3, "b", 30)), 0, path, "one")
+    first = _manifest(spark, path)
+    assert first == [("a", 2, 20), ("b", 3, 30)]
+    assert not ingest.upsert_batch(batch((9, "a", 99)), 0, path, "one") and _manifest(spark, path) == first
+    # Another stream counts its own batches, and the first one's are still known after it.
+    assert ingest.upsert_batch(batch((4, "b", 40)), 0, path, "two")
+    assert not ingest.upsert_batch(batch((9, "a", 99)), 0, path, "one")
+    # A version that was never finished is not read, and written anew.
+    versions = sorted(p.name for p in (tmp_path / "manifest").iterdir())
+    broken = tmp_path / "manifest" / "version-000000000002" / "entries"
+    batch((8, "c", 80)).write.parquet(str(broken))
+    assert len(versions) == 2 and _manifest(spark, path) == [("a", 2, 20), ("b", 4, 40)]
+    assert ingest.upsert_batch(batch((5, "c", 50)), 1, path, "one")
+    assert _manifest(spark, path) == [("a", 2, 20), ("b", 4, 40), ("c", 5, 50)]
+    assert sorted(p.name for p in (tmp_path / "manifest").iterdir()) == ["version-000000000001", "version-000000000002"]
+
+
+def test_a_manifest_stream_restarts_midway(spark, tmp_path, monkeypatch):
+    granules = tables.granules(spark, SF).select("seq", "short_name", "granule_name", "size_bytes")
+    granules.repartitionByRange(6, "seq").write.parquet(str(tmp_path / "in"))
+    stream = ingest.granule_stream(spark, str(tmp_path / "in"), ENTRY, files_per_trigger=2)
+    path, whole = str(tmp_path / "manifest"), ingest.upsert_batch
+
+    def stopping(batch, number, *rest):
+        whole(batch, number, *rest)
+        if number == 1:
+            raise RuntimeError("lost after the batch was merged, before it was noted")
+
+    monkeypatch.setattr(ingest, "upsert_batch", stopping)
+    with pytest.raises(Exception, match="lost after"):
+        ingest.manifest_sink(stream, path, str(tmp_path / "checkpoint"), "granules")
+    monkeypatch.setattr(ingest, "upsert_batch", whole)
+    done = len(list((tmp_path / "manifest").iterdir()))
+    ingest.manifest_sink(stream, path, str(tmp_path / "checkpoint"), "granules")
+    want = catalog.upsert(granules)
+    assert done == 2 and _manifest(spark, path) == sorted((r.granule_name, r.seq, r.size_bytes) for r in want.collect())
+
+
 @pytest.fixture(scope="module")
 def bundle(spark):
     return learning.train(tables.matrix(spark, SF), "scad", tables.catches(spark, SF), requested=REQUESTED, splits=tables.splits(), **SMALL)
