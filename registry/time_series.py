@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from gridloom import config
 from gridloom.functions import scores
 from gridloom.operators import analytics, coast, cube, gradients, temporal
-from gridloom.operators.grid import mask_land
+from gridloom.operators.grid import Grid, mask_land
 from gridloom.plans import features
+from gridloom.session import scratch_path
 from registry import tables as t
 from registry.base import query
 from registry.space import FRONT, _disk_sql
@@ -141,6 +142,22 @@ def feature_matrix(spark, sf):
     return features.feature_matrix(t.pixels(spark, sf), static, g, features.FeatureSettings(lag_radii_km=t.RADII_KM))
 
 
+@query("feature_matrix_from_rasters", sql_over("cube bathy geom", FEATURES))
+def feature_matrix_from_rasters(spark, sf):
+    """The same table from a raster of half the step, off the grid: four unequal pixels around each cell, whose
+    bilinear value is the cell's; depth, slope and distance come from a bathymetry raster."""
+    g = t.grid_of(spark, sf)
+    off = t.RES / 4
+    source = Grid(g.lat_min - off, g.lon_min - off, t.RES / 2, 2 * g.ny, 2 * g.nx)
+    corners = [F.struct(F.lit(y * off).alias("dy"), F.lit(x * off).alias("dx"), F.lit(1.0 - x * y).alias("k")) for y in (-1, 1) for x in (-1, 1)]
+    spread = t.pixels(spark, sf).withColumn("c", F.explode(F.array(*corners)))
+    raster = spread.select("variable", "time", (F.col("lat") + F.col("c.dy")).alias("lat"), (F.col("lon") + F.col("c.dx")).alias("lon"), (F.col("value") * F.col("c.k")).alias("value"))
+    path = scratch_path(spark, "regridded")
+    features.regridded(raster, g, source).write.parquet(path)
+    static = features.static_fields(t.bathy(spark, sf).select("lat", "lon", "depth"), g, g)
+    return features.feature_matrix(spark.read.parquet(path), static, g, features.FeatureSettings(lag_radii_km=t.RADII_KM))
+
+
 @query("habitat_suitability", sql_over("obs", f"SELECT iy, ix, {DAY}, round({habitat_sql('sardinella')}, 6) + 0.0::DOUBLE AS suitability FROM obs"))
 def habitat_suitability(spark, sf):
     return t.obs(spark, sf).select("iy", "ix", "time", scores.habitat_suitability("sardinella").alias("suitability"))
