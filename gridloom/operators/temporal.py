@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from gridloom import CELL, config
 from gridloom.functions import scores
+from gridloom.operators import tiling
 from gridloom.operators.grid import Grid
 
 
@@ -92,11 +93,12 @@ def densify(
 
     Each observation also emits the empty steps up to the next one, so the full table comes out
     of one left join on the cell instead of a join on (cell, time). ``axis_from`` names a cheaper
-    table with the same time steps, such as the pixels that ``df`` was computed from.
+    table with the same time steps, such as the pixels that ``df`` was computed from. A task holds
+    the series of a bounded number of cells.
     """
     steps_of_record = df if axis_from is None else axis_from
     axis = time_axis(steps_of_record, time)
-    cells = grid.cells(df.sparkSession)
+    cells = grid.cells(df.sparkSession).repartition(tiling.parts(df.sparkSession, grid), *CELL)
     placed = cells.join(_on_axis(df.select(*CELL, time, *values), steps_of_record, [], time), CELL, "left")
     order = Window.partitionBy(*CELL).orderBy("_at")
     bounds = placed.withColumns(
@@ -123,6 +125,7 @@ def gap_fill(
     value: str = "value",
     time: str = "time",
     axis_from: DataFrame | None = None,
+    grid: Grid | None = None,
 ) -> DataFrame:
     """Fills short gaps of each cell's series; rows in and out carry values only.
 
@@ -132,10 +135,12 @@ def gap_fill(
     with a single value. ``filled`` tells the new rows apart. ``axis_from(by, time)`` lists the
     composites that exist; without it they are the times of the pixels, so a composite that is
     clouded everywhere would not count as a step. A variable or time that it does not list is an error.
+    ``grid`` bounds the number of cells that one task holds.
     """
     steps_of_record = pixels if axis_from is None else axis_from
     axis = F.element_at(time_axes(steps_of_record, by, time), F.col(by))
-    valid = _on_axis(pixels.where(F.col(value).isNotNull()), steps_of_record, [by], time).repartition(*CELL)
+    tasks = [] if grid is None else [tiling.parts(pixels.sparkSession, grid)]
+    valid = _on_axis(pixels.where(F.col(value).isNotNull()), steps_of_record, [by], time).repartition(*tasks, *CELL)
     series = Window.partitionBy(by, *CELL).orderBy(time)
     here = F.struct(F.col("_at").alias("at"), seconds(pixels, time).alias("t"), F.col(value).alias("v"))
     linked = (

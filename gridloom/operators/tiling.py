@@ -9,13 +9,27 @@ then run inside ``(keys, tile)``: one exchange, and a group never exceeds
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TILE = 128
+# Cells whose series one task holds: a few hundred thousand rows of an eight-day record.
+CELLS_PER_TASK = 1024
 TILE_COLUMNS = ["_ty", "_tx", "_y", "_x"]
 
 
+def parts(spark: SparkSession, grid, joins: bool = True) -> int:
+    """Partitions for one row per cell and time step: as many as the grid needs, so that a task does not grow with it.
+
+    Given as a number, they are not merged by their compressed size, which tells little of rows that are
+    mostly empty or still to be filled in. Tables that are joined take the session's number at least, below
+    which a join would deal them out again.
+    """
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = usual if joins else min(usual, 2 * spark.sparkContext.defaultParallelism)
+    return max(least, -(-grid.ny * grid.nx // CELLS_PER_TASK))
+
+
 def _images(c: Column, size: int, halo: int, repeat_border: bool) -> Column:
     """Positions a cell takes: its own, plus those beyond the border it stands in for."""
     if not repeat_border:
@@ -41,7 +55,7 @@ def spread(df: DataFrame, grid, halo: int, keys: list[str], repeat_border: bool
         .withColumn("_x", F.explode(_images(F.col("ix"), grid.nx, halo, repeat_border)))
         .withColumn("_ty", F.explode(_tiles(F.col("_y"), grid.ny, halo, tile)))
         .withColumn("_tx", F.explode(_tiles(F.col("_x"), grid.nx, halo, tile)))
-        .repartition(*keys, "_ty", "_tx")
+        .repartition(parts(df.sparkSession, grid, joins=False), *keys, "_ty", "_tx")
     )
 
 

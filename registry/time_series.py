@@ -30,7 +30,7 @@ def densify(spark, sf):
 
 @query("gap_fill", sql_over("filled", f"SELECT variable, iy, ix, {DAY}, round(value, 6) + 0.0::DOUBLE AS value, filled FROM filled"))
 def gap_fill(spark, sf):
-    return temporal.gap_fill(t.pixels(spark, sf))
+    return temporal.gap_fill(t.pixels(spark, sf), grid=t.grid_of(spark, sf))
 
 
 CATALOGUE = SQL_TABLES["filled"][1].replace("(SELECT DISTINCT variable, time FROM pixels) a", "(SELECT variable, time FROM (SELECT DISTINCT variable FROM pixels) CROSS JOIN (SELECT time FROM axis)) a")
@@ -40,7 +40,7 @@ CATALOGUE = SQL_TABLES["filled"][1].replace("(SELECT DISTINCT variable, time FRO
 def gap_fill_catalogue(spark, sf):
     """Steps counted on the composites of the catalogue, also those where a variable has no pixel at all."""
     composites = t.obs(spark, sf).select("time", F.explode(F.array(*[F.lit(v) for v in WIDE])).alias("variable")).distinct()
-    return temporal.gap_fill(t.pixels(spark, sf), axis_from=composites)
+    return temporal.gap_fill(t.pixels(spark, sf), axis_from=composites, grid=t.grid_of(spark, sf))
 
 
 @query("long_gap_mask", sql_over("dense", f"""SELECT iy, ix, {DAY}, chl IS NULL AND sum(CASE WHEN chl IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY iy, ix, rid) > 4 AS long_gap
@@ -100,14 +100,14 @@ def temporal_features(spark, sf):
 
 @query("cube_assemble", sql_over("cube", f"SELECT iy, ix, {DAY}, round(sst, 6) + 0.0::DOUBLE AS sst, round(chl, 6) + 0.0::DOUBLE AS chl, round(par, 6) + 0.0::DOUBLE AS par, round(kd490, 6) + 0.0::DOUBLE AS kd490 FROM cube"))
 def cube_assemble(spark, sf):
-    return cube.assemble(temporal.gap_fill(t.pixels(spark, sf)), WIDE)
+    return cube.assemble(temporal.gap_fill(t.pixels(spark, sf), grid=t.grid_of(spark, sf)), WIDE)
 
 
 @query("long_matrix", sql_over("cube bathy", """SELECT c.iy, c.ix, b.lat, b.lon, CAST(c.time AS VARCHAR) AS time, CAST(c.time AS VARCHAR) AS date,
     round(CASE WHEN depth < 0 THEN sst END, 6) + 0.0::DOUBLE AS sst, round(CASE WHEN depth < 0 THEN chl END, 6) + 0.0::DOUBLE AS chl, round(CASE WHEN depth < 0 THEN par END, 6) + 0.0::DOUBLE AS par, round(CASE WHEN depth < 0 THEN kd490 END, 6) + 0.0::DOUBLE AS kd490, depth
     FROM cube c JOIN bathy b ON b.iy = c.iy AND b.ix = c.ix"""))
 def long_matrix(spark, sf):
-    wide = cube.assemble(temporal.gap_fill(t.pixels(spark, sf)), WIDE)
+    wide = cube.assemble(temporal.gap_fill(t.pixels(spark, sf), grid=t.grid_of(spark, sf)), WIDE)
     return cube.to_matrix(mask_land(cube.with_static(wide, t.bathy(spark, sf))))
 
 
@@ -191,4 +191,4 @@ def annual_mean(spark, sf):
 @query("cells_recovered", sql_over("filled", f"""SELECT variable, {DAY}, count(*) FILTER (WHERE NOT filled) AS valid_before, count(*) AS valid_after, count(*) FILTER (WHERE filled) AS recovered
     FROM filled GROUP BY variable, filled.time"""))
 def cells_recovered(spark, sf):
-    return analytics.cells_recovered(temporal.gap_fill(t.pixels(spark, sf)), ["variable", "time"])
+    return analytics.cells_recovered(temporal.gap_fill(t.pixels(spark, sf), grid=t.grid_of(spark, sf)), ["variable", "time"])
